@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontaminate, minhash_dedup, packing, quality_rules, sharding, token_output
-from auditloom.llm.common import shared_path
+from auditloom.llm import chat_format, decontaminate, html_extract, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_output
+from auditloom.llm.common import shared_path, staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 1 << 20
@@ -32,11 +32,19 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
@@ -45,7 +53,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_output, op3_minhash_dedup, op5_quality_rules, op7_packing, op8_decontamination)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(n).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for n, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.digest(staged(chat_format.formatted(rows, TOKENIZER), "windows"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_token_output, op3_minhash_dedup, op4_html_extraction, op5_quality_rules, op6_substring_dedup, op7_packing, op8_decontamination, op9_chat_formatting, op10_quality_classifier)
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
