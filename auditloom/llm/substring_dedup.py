@@ -31,7 +31,8 @@ PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, 12
 _SEED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _CHAIN = pa.schema([(c, pa.int64()) for c in ("doc_id", "source_id", "d0", "d1", "s0", "s1")])
 _PASSAGE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "n_equal")])
-_SEGMENT = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary())])
+_RANGES = ("d0", "d1", "s0", "s1", "d_lo", "d_hi", "s_lo", "s_hi")
+_WORDS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "source_id", *_RANGES)), ("words", pa.binary())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -167,20 +168,31 @@ def chains(pairs: DataFrame) -> DataFrame:
     return by_group(pairs, ["doc_id", "source_id"], run, _CHAIN, ddl(_CHAIN))
 
 
-def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, lo, hi, words (uint32 hashes as bytes) of the wanted ranges (doc_id, lo, hi). Texts are dealt out once."""
+def with_words(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Word hashes (uint32, as bytes) for chains (with d_lo, d_hi, s_lo, s_hi): a row for each chain with the words of its
+    document's range, and a row (source_id, s_lo, s_hi) for each distinct range of a source. Texts are dealt out once, for both."""
+    own = found.select("doc_id", F.struct("source_id", *_RANGES).alias("r"))
+    sources = found.select(F.col("source_id").alias("doc_id"), "s_lo", "s_hi").distinct()
+    none = F.lit(None).cast("bigint")
+    sources = sources.select("doc_id", F.struct(none.alias("source_id"), *(F.col(c) if c in ("s_lo", "s_hi") else none.alias(c) for c in _RANGES)).alias("r"))
+    wanted = own.unionByName(sources).groupBy("doc_id").agg(F.collect_list("r").alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")))
             rows = []
-            for doc_id, text, ranges in columns:
+            for doc_id, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges"))):
                 words = (word_hashes([text])[0] >> np.uint64(32)).astype("<u4")
-                rows += [(doc_id, r["lo"], r["hi"], words[r["lo"] : r["hi"]].tobytes()) for r in ranges]
-            yield rows_to_batch(rows, _SEGMENT)
+                for r in ranges:
+                    if r["source_id"] is None:
+                        rows.append((None, doc_id, *(r[c] for c in _RANGES), words[r["s_lo"] : r["s_hi"]].tobytes()))
+                    else:
+                        rows.append((doc_id, r["source_id"], *(r[c] for c in _RANGES), words[r["d_lo"] : r["d_hi"]].tobytes()))
+                if len(rows) > 2000:
+                    yield rows_to_batch(rows, _WORDS)
+                    rows = []
+            yield rows_to_batch(rows, _WORDS)
 
-    ranges = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return docs.join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, ddl(_SEGMENT)).dropDuplicates(["doc_id", "lo", "hi"])
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, ddl(_WORDS))
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -219,10 +231,9 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     floor = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - PAD) / PAD) * PAD).cast("bigint")
     ceil = lambda c: (F.ceil((F.col(c) + PAD) / PAD) * PAD).cast("bigint")
     found = staged(found.select("*", floor("d0").alias("d_lo"), ceil("d1").alias("d_hi"), floor("s0").alias("s_lo"), ceil("s1").alias("s_hi")), "chains")
-    wanted = found.select("doc_id", F.col("d_lo").alias("lo"), F.col("d_hi").alias("hi")).unionByName(found.select(F.col("source_id").alias("doc_id"), F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi")))
-    texts = staged(segments(docs, wanted), "segments")
-    side = lambda key, p: texts.select(F.col("doc_id").alias(key), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"), F.col("words").alias(p))
-    rows = found.join(side("doc_id", "d"), ["doc_id", "d_lo", "d_hi"]).join(side("source_id", "s"), ["source_id", "s_lo", "s_hi"])
+    rows = staged(with_words(docs, found), "words")
+    of_source = rows.where("doc_id is null").select("source_id", "s_lo", "s_hi", F.col("words").alias("s")).dropDuplicates(["source_id", "s_lo", "s_hi"])
+    rows = rows.where("doc_id is not null").withColumnRenamed("words", "d").join(of_source, ["source_id", "s_lo", "s_hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
