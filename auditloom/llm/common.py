@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import array
+import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -108,21 +111,33 @@ def chunks(ids: list, texts: list, limit: int = 1 << 21) -> Iterator[tuple[list,
 
 
 # ---------------------------------------------------------------- token ids
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class TokenBytes:
     """Token ids of texts as little-endian uint32 bytes, by a tokenizers file, without special tokens.
 
-    Encoding is done by the tokenizers library. With `word_memo`, the text is cut at blanks and line ends and each
-    distinct piece is encoded once; that equals encoding whole texts for vocabularies that drop white space and never
-    join pieces across it, as `word_bpe_49k.json` does (a test holds both ways against each other). The memo is
-    bounded by `limit` pieces and starts anew beyond it.
+    For a byte-level vocabulary that drops white space, lowers case and never joins words and punctuation, as
+    `word_bpe_49k.json` does, a text is cut at blanks and line ends and each distinct piece is encoded once: Latin words,
+    with or without a mark behind, by the library's model itself, all other pieces by its whole pipeline. A test holds
+    this against encoding whole texts. The memo is bounded by `limit` pieces of up to 64 characters and starts anew beyond it.
     """
 
     _of: dict[str, TokenBytes] = {}
+    _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+")
+    _MARKS = ",.!?;:"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, {"": b""}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.marks = {m: self.whole(m) for m in self._MARKS}
 
     @classmethod
     def of(cls, path: str) -> TokenBytes:
@@ -131,7 +146,16 @@ class TokenBytes:
         return cls._of[path]
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, word: str) -> bytes:
+        core, tail = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
+        if self._LATIN.fullmatch(core) is None:
+            return self.whole(word)
+        core = core.lower()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.model.tokenize(core)]).tobytes() + tail
 
     def encode(self, text: str | None) -> bytes:
         pieces = (text or "").replace("\n", " ").split(" ")
@@ -143,12 +167,15 @@ class TokenBytes:
         if len(memo) > self.limit:
             memo.clear()
             memo[""] = b""
-        new = list({p for p in pieces if p not in memo})
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        local = {}
-        for p, e in zip(new, encode(new, add_special_tokens=False)):
-            (memo if len(p) <= 64 else local)[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([memo[p] if p in memo else local[p] for p in pieces])
+        out = []
+        for p in pieces:
+            ids = memo.get(p)
+            if ids is None:
+                ids = self.piece(p)
+                if len(p) <= 64:
+                    memo[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def crc32_of(ids: bytes) -> int:
