@@ -226,9 +226,25 @@ def unimportant(seen: DataFrame, threshold: float = 0.3, own_weight: float = 0.1
     return composite.where((F.col("m") >= min_pages) & (F.col("imp") < threshold)).groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
+def tag_of(path: str) -> str:
+    return path.rsplit("/", 1)[1].split(".", 1)[0]
+
+
+def is_pruned(path: str, pruned: frozenset[str]) -> bool:
+    """Whether a branch on the way from the container (the outermost article, else the body) down to the path is unimportant.
+
+    In a container that is itself unimportant, all pages of the host say the same, and nothing tells text from boilerplate.
+    """
+    up = ancestors(path)
+    top = next((i for i, p in enumerate(up) if tag_of(p) in ARTICLE), None)
+    if top is None:
+        top = max((i for i, p in enumerate(up) if tag_of(p) in ("html", "body")), default=-1)
+    return (top < 0 or up[top] not in pruned) and any(p in pruned for p in up[top + 1 :])
+
+
 def main_text(page: str | None, pruned: frozenset[str]) -> str:
     blocks, _ = parse(page)
-    kept = [b for b in blocks if not b.dropped and not (pruned and any(p in pruned for p in ancestors(b.path)))]
+    kept = [b for b in blocks if not b.dropped and not (pruned and is_pruned(b.path, pruned))]
     inside = [b for b in kept if b.in_article]
     return "\n".join(b.text for b in inside or kept)
 

@@ -220,9 +220,12 @@ def test_style_tree_removes_branches_that_repeat_on_a_host(spark):
     rng = random.Random(2)
     page = lambda i: (i, f"http://h.org/{i}", f"<body><div><b>Our site since 1990</b></div><section><p>{rng.random()} text {i}</p></section></body>")
     rows = [page(i) for i in range(40)] + [(100 + i, "http://m.org/", "<body><section><p>mirrored</p></section></body>") for i in range(40)] + [(200, None, None), (200, None, None), (201, "x", "")]
+    rows += [(300 + i, "http://same.org/", f"<body><nav>{i}</nav><article><h1>Same</h1><p>everywhere</p></article></body>") for i in range(40)]
+    rows += [(400 + i, "http://part.org/", f"<body><article><div class='x'><p>Read more of us</p></div><p>own {i} text</p></article></body>") for i in range(40)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, host int")
     got = {r.page_id: r.text for r in html_extract.extracted(df).collect()}
     assert got[3].endswith("text 3") and "1990" not in got[3] and got[100] == "mirrored" and got[200] == got[201] == ""
+    assert got[305] == "Same\neverywhere" and got[405] == "own 5 text"
     assert html_extract.extracted(df).count() == len(rows) and html_extract.extracted(df.where("false")).count() == 0
 
 
