@@ -39,8 +39,14 @@ def rtrim_slash(url: Column) -> Column:
     return F.regexp_replace(url, r"/+\z", "")
 
 
+#: scheme://host of an absolute URL, and the rest of one after its path's trailing slashes are gone.
+SITE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?.*\z"
+WHOLE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?([^?#]*?)/*(?:[?#].*)?\z"
+
+
 def resolve_relative(relative: Column, base: Column) -> Column:
-    site = F.concat(or_else(scheme(base), "https"), F.lit("://"), host(base))
+    known = base.rlike(SITE)
+    site = F.when(known, F.regexp_replace(base, SITE, "$1://$2")).otherwise("https://")
     folder = rtrim_slash(F.regexp_replace(path(base), r"/[^/]*/?\z", ""))
     return (
         F.when(relative.startswith("//"), F.concat(or_else(scheme(base), "https"), F.lit(":"), relative))
@@ -56,9 +62,9 @@ def absolute(url: Column, base: Column) -> Column:
 def normalize(url: Column, base: Column) -> Column:
     """scheme://host/path without query, fragment, port and trailing slash; null if that's no URL."""
     bare = trim(F.regexp_replace(url, "#.*$", ""))
-    full = absolute(bare, base)
-    clean = F.concat(scheme(full), F.lit("://"), host(full), or_else(rtrim_slash(path(full)), "/"))
-    return F.when((bare != "") & (host(full) != ""), clean)
+    clean = F.regexp_replace(absolute(bare, base), WHOLE, "$1://$2$3")
+    # What isn't a URL stays as it was and has no host; a URL without a path gets its root.
+    return F.when(bare != "", F.when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+\z"), F.concat(clean, F.lit("/"))).when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+/"), clean))
 
 
 def normalize_stored(url: Column) -> Column:

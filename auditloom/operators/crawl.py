@@ -34,7 +34,8 @@ def follow(pages: DataFrame, bases: DataFrame) -> DataFrame:
     """report, url, key (parent's order, position): the admissible URLs that pages (with crawl_order) lead to."""
     found = F.concat(F.coalesce("internal_links", F.array().cast("array<string>")), F.when(F.col("redirect_target") != "", F.array("redirect_target")).otherwise(F.array().cast("array<string>")))
     links = pages.select("report", "crawl_order", F.posexplode(found).alias("pos", "link")).join(bases.select("report", "base_url"), "report")
-    links = links.select("report", U.normalize(F.col("link"), F.col("base_url")).alias("url"), "base_url", F.struct("crawl_order", "pos").alias("key"))
+    # Filters on what explode() makes stay above it; else each would carry a copy of the URL's expression.
+    links = links.select("report", F.explode(F.array(U.normalize(F.col("link"), F.col("base_url")))).alias("url"), "base_url", F.struct("crawl_order", "pos").alias("key"))
     links = links.where(F.col("url").isNotNull() & ~U.is_skipped(F.col("url")) & U.same_domain(F.col("url"), F.col("base_url")))
     return links.groupBy("report", "url").agg(F.min("key").alias("key"))
 
@@ -45,16 +46,17 @@ def crawl(bases: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_levels:
     fetch takes (report, page_id, url) and returns responses; page_id is the crawl order. Budgets bound the depth:
     a report has at most 200 pages, so it is done after 200 levels at most.
     """
-    bases = written(bases.select("report", "base_url", page_budget(F.col("max_pages")).cast("bigint").alias("budget")), "bases")
     start = U.normalize(F.col("base_url"), F.col("base_url"))
-    frontier = bases.select("report", start.alias("url"), F.lit(0).cast("bigint").alias("done"), F.lit(1).cast("bigint").alias("rank")).where(F.col("url").isNotNull() & ~U.is_skipped(F.col("url")))
+    bases = written(bases.select("report", "base_url", start.alias("url"), page_budget(F.col("max_pages")).cast("bigint").alias("budget")), "bases")
+    frontier = bases.select("report", "url", F.lit(0).cast("bigint").alias("done"), F.lit(1).cast("bigint").alias("rank")).where(F.col("url").isNotNull() & ~U.is_skipped(F.col("url")))
     done: list[DataFrame] = []
     for level in range(max_levels):
         room = frontier.join(bases.select("report", "budget"), "report").where(F.col("done") + F.col("rank") <= F.col("budget"))
         room = written(room.select("report", (F.col("done") + F.col("rank")).alias("page_id"), "url"), "frontier")
         if room.isEmpty():
             break
-        pages = written(audited(fetch(room)).withColumn("crawl_order", F.col("page_id")), f"level{level}")
+        answers = written(fetch(room), f"responses{level}")  # so that nothing is fetched twice
+        pages = written(audited(answers).withColumn("crawl_order", F.col("page_id")), f"level{level}")
         done.append(pages)
         seen = done[0].select("report", "url")
         for earlier in done[1:]:
