@@ -434,6 +434,54 @@ def url_guard(spark, sf_dir):
     return guard.guarded(derived.literals(spark, derived.GUARDED, "base_url"), spark.createDataFrame(derived.DNS, "host string, ips array<string>")).select("n", "ok", "error", "url")
 
 
+# ---------------------------------------------------------------- scalar functions
+@query("SELECT event_id, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;') AS escaped FROM events")
+def html_escape(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.escape_html(F.col("props")).alias("escaped"))
+
+
+_ERRORS = ["cURL error 28: Timed out", "SSL Connection Timeout", "The operation timed out", "Connection refused", ""]
+
+
+@query(f"SELECT n, contains(lower(m), 'curl error 28') OR contains(lower(m), 'ssl connection timeout') OR contains(lower(m), 'operation timed out') AS retry FROM {_values(_ERRORS, 'm')}")
+def fetch_retry(spark, sf_dir):
+    return derived.literals(spark, _ERRORS, "m").select("n", T.is_timeout(F.col("m")).alias("retry"))
+
+
+_HEADERS = ["Content-Type: text/html", "LOCATION:  /x ", "X-A: 1:2"]
+
+
+@query(f"SELECT n, lower(trim(split_part(h, ':', 1))) AS name, trim(substr(h, instr(h, ':') + 1)) AS value FROM {_values(_HEADERS, 'h')}")
+def header_lines(spark, sf_dir):
+    one = derived.literals(spark, _HEADERS, "h").select("n", F.explode(T.parse_header_lines(F.array("h"))).alias("name", "values"))
+    return one.select("n", "name", F.get("values", F.lit(0)).alias("value"))
+
+
+@query(S.cross(f"SELECT page_id, {_counts('error')} AS errors, {_counts('notice')} AS notices, array_to_string(list_transform(issues, lambda x: x.type), ' | ') AS types, CAST(len(issues) AS BIGINT) AS n FROM final"))
+def issues_json(spark, sf_dir):
+    """Issues written to the JSON text of the page table, read back and counted."""
+    rows = checked(spark, sf_dir).select("page_id", scoring.issues_from_json(F.to_json("issues")).alias("i"))
+    i = F.col("i")
+    return rows.select("page_id", scoring.severity_count(i, "error").cast("string").alias("errors"), scoring.severity_count(i, "notice").cast("string").alias("notices"), scoring.issue_types(i).alias("types"), F.size("i").alias("n"))
+
+
+@query(S.reports(f"SELECT uid, CASE WHEN queued_at > 0 THEN queued_at ELSE {derived.NOW} END AS queued_at, CASE WHEN status = 2 THEN 'yes' ELSE 'no' END AS done FROM reports"))
+def queue_time(spark, sf_dir):
+    return derived.reports(spark, sf_dir).select("uid", scoring.queue_time(F.col("queued_at"), F.lit(derived.NOW)).alias("queued_at"), scoring.yes_no(F.col("status") == 2).alias("done"))
+
+
+@query(S.cross("SELECT report, count(*) AS n FROM final WHERE report NOT IN (2, 5) GROUP BY report"))
+def clear_report_pages(spark, sf_dir):
+    """Pages left when those of reports 2 and 5 are cleared for another crawl."""
+    gone = spark.createDataFrame([(2,), (5,)], "uid bigint")
+    return R.without_reports(pages(spark, sf_dir), gone, "report").groupBy("report").agg(F.count("*").alias("n"))
+
+
+@query(S.cross("SELECT report, max(page_id) AS progress_pages, arg_max(url, page_id) AS last_crawled_url FROM final GROUP BY report"))
+def crawl_progress(spark, sf_dir):
+    return R.progress(pages(spark, sf_dir).withColumn("crawl_order", F.col("page_id")))
+
+
 # ---------------------------------------------------------------- crawl
 def _bases(spark, sf_dir):
     return crawl_view.read(spark, sf_dir).groupBy("report").agg(F.min_by("url", "page_id").alias("base_url")).withColumn("max_pages", F.lit(12))
