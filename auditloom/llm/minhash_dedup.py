@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, by_group, chunks, mix64, staged, window_hashes, word_hashes
+from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, by_group, chunks, fresh, mix64, staged, window_hashes, word_hashes
 from auditloom.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -253,7 +253,8 @@ def classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, bands: int = BA
 
 def deduplicated(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
     """One row of docs for each class: that of its least doc_id; rows with a null doc_id stay. Columns as in docs."""
-    kept = staged(classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    key = fresh("kept_id", docs.columns)
+    kept = staged(classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct(), "kept")
     one = docs.where("doc_id is not null")
-    one = one.join(kept, one["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    one = one.join(kept, one["doc_id"] == kept[key], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

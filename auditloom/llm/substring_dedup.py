@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import SPACE_CLASS, by_group, chunks, rows_to_batch, staged, window_hashes, word_hashes
+from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
 
 K, W = 8, 16
 PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, 12
@@ -262,13 +262,15 @@ def clean(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> Da
     Columns as in docs; n_chars, where docs has it, is counted anew for the texts that are cut.
     """
     found = passages(docs.where("doc_id is not null"), min_words, min_identity)
-    spans = staged(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias("_spans")), "spans")
     names = docs.columns
+    key, cuts = fresh("cut_id", names), fresh("cut_spans", names)
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias(cuts))
+    spans = staged(spans, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(names)
-            ranges = batch.column("_spans").to_pylist()
+            ranges = batch.column(cuts).to_pylist()
             hit = [i for i, r in enumerate(ranges) if r is not None]
             if not hit:
                 yield rows
@@ -287,4 +289,4 @@ def clean(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> Da
                 columns["n_chars"] = pa.array(chars, type=columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=rows.schema).filter(pa.array(keep))
 
-    return docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id").mapInArrow(run, docs.schema)
+    return docs.join(spans, docs["doc_id"] == spans[key], "left").drop(key).mapInArrow(run, docs.schema)

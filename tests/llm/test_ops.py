@@ -28,7 +28,8 @@ def texts(docs):
 
 def frame(spark, rows, extra=True):
     """doc_id, text with columns whose names the operators use themselves."""
-    df = spark.createDataFrame([(*r, "k", 7, "x") for r in rows], "doc_id bigint, text string, kept string, n_words bigint, _row string")
+    names = "kept n_words _row _spans _kept cut_id kept_id node key hash id bucket part start n_chars"
+    df = spark.createDataFrame([(*r, "k", *[7] * 14) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{c} {'string' if c == 'kept' else 'bigint'}" for c in names.split()))
     return df if extra else df.select("doc_id", "text")
 
 
