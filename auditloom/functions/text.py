@@ -37,9 +37,13 @@ def slug(title: Column) -> Column:
     return F.when(s == "", F.lit("report")).otherwise(s)
 
 
+#: Names of exported files, by kind.
+FILE_NAMES = {"report": "seo-report-%d-%s", "issues": "seo-issues-%d-%s"}
+
+
 def export_filename(kind: str, uid: Column, title: Column, extension: str) -> Column:
     """kind: 'report' or 'issues'."""
-    return F.format_string(f"seo-{kind}-%d-%s.{extension}", uid, slug(title))
+    return F.format_string(f"{FILE_NAMES[kind]}.{extension}", uid, slug(title))
 
 
 def escape_html(c: Column) -> Column:

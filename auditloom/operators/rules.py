@@ -20,6 +20,7 @@ def message(template: str, *args: Column | str) -> Column:
     return F.format_string(template, *(F.col(a) if isinstance(a, str) else a for a in args)) if args else F.lit(template)
 
 
+# Fixed values, in the order in which issues are listed: types, severities, limits and messages.
 def html_rules() -> list[Rule]:
     """Rules over the facts of an HTML page."""
     c = F.col

@@ -60,11 +60,11 @@ HOP = T.StructType(
     ]
 )
 
+#: Report states, their labels and badges, the points that issues cost, limits.
 NEW, RUNNING, COMPLETED, FAILED, QUEUED = range(5)
 STATUS_LABELS = {NEW: "New", RUNNING: "Running", COMPLETED: "Completed", FAILED: "Failed", QUEUED: "Queued"}
 STATUS_BADGES = {NEW: "secondary", RUNNING: "info", COMPLETED: "success", FAILED: "danger", QUEUED: "warning"}
 
-#: Points an issue costs.
 WEIGHTS = {"error": 15, "warning": 8, "notice": 3}
 DEFAULT_MAX_PAGES, LEAST_MAX_PAGES, MOST_MAX_PAGES = 50, 1, 200
 STALE_SECONDS = 30
