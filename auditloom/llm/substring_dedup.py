@@ -76,11 +76,15 @@ def seeds(docs: DataFrame) -> DataFrame:
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, pos, source_id, source_pos: each seed beside the first document that has it.
 
-    A place is packed into one long where document ids and lengths leave room, which was looked up; that lets Spark
-    aggregate in hash tables. Else it is a struct, and Spark sorts.
+    A place is packed into one long where document ids and lengths leave room, which is looked up; that lets Spark
+    aggregate in hash tables. Else it is a struct, and Spark sorts. Ids below 2**32 need no look at the texts: a row of
+    Spark's has fewer than 2**30 words.
     """
-    low, high, longest = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-    pos_bits = max(1, math.ceil(math.log2((longest or 1) / 2 + 2)))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    pos_bits = 30
+    if high is not None and high >= 1 << 32:
+        longest = docs.agg(F.max(F.octet_length("text"))).first()[0]
+        pos_bits = max(1, math.ceil(math.log2((longest or 1) / 2 + 2)))
     found = seeds(docs)
     if low is not None and low >= 0 and high < 1 << (62 - pos_bits):
         found = staged(found.select("hash", (F.shiftleft("doc_id", pos_bits) + F.col("pos")).alias("at")), "seeds")
