@@ -86,10 +86,12 @@ ORACLE_SQL = {
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
                    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+        ), each AS (
+            SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 5
         ), wins AS (
-            SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5
+            SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS r FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)
         ), tagged AS (
-            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) AS c FROM wins
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, r) AS c FROM wins WHERE r IS NOT NULL
         ), starts AS (
             SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM tagged WHERE c > 1
         ), reps AS (
