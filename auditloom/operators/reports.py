@@ -129,32 +129,37 @@ def can_start() -> Column:
 def queue(reports: DataFrame, chosen: Column, now: Column) -> DataFrame:
     """Puts chosen reports into the queue; counts and score of an earlier run stay."""
     go = chosen & can_queue()
-    return _set(reports, go, status=F.lit(QUEUED), queued_at=now, started_at=F.lit(0), finished_at=F.lit(0), progress_pages=F.lit(0), last_crawled_url=F.lit(""), error_message=F.lit(""))
+    return updated(reports, go, status=F.lit(QUEUED), queued_at=now, started_at=F.lit(0), finished_at=F.lit(0), progress_pages=F.lit(0), last_crawled_url=F.lit(""), error_message=F.lit(""))
 
 
 def reset_stale(reports: DataFrame, now: Column) -> DataFrame:
     go = is_stale(now)
     zero = dict.fromkeys(("started_at", "finished_at", "progress_pages", "pages_crawled", "overall_score"), F.lit(0))
-    return _set(reports, go, status=F.lit(QUEUED), queued_at=now, last_crawled_url=F.lit(""), error_message=F.lit(""), **zero)
+    return updated(reports, go, status=F.lit(QUEUED), queued_at=now, last_crawled_url=F.lit(""), error_message=F.lit(""), **zero)
 
 
-def start(reports: DataFrame, chosen: Column, now: Column) -> DataFrame:
+def begin(reports: DataFrame, go: Column, now: Column) -> DataFrame:
+    """Running reports for those where go holds, whatever their status was."""
     zero = dict.fromkeys(("finished_at", "progress_pages", "pages_crawled", "overall_score", "robots_txt_status", "sitemap_status", "sitemap_url_count"), F.lit(0))
     empty = dict.fromkeys(("error_message", "last_crawled_url", "robots_txt_url", "robots_txt_sitemaps", "sitemap_url"), F.lit(""))
-    return _set(reports, chosen & can_start(), status=F.lit(RUNNING), queued_at=scoring.queue_time(F.col("queued_at"), now), started_at=now, **zero, **empty)
+    return updated(reports, go, status=F.lit(RUNNING), queued_at=scoring.queue_time(F.col("queued_at"), now), started_at=now, **zero, **empty)
+
+
+def start(reports: DataFrame, chosen: Column, now: Column) -> DataFrame:
+    return begin(reports, chosen & can_start(), now)
 
 
-def finish(reports: DataFrame, pages: DataFrame, scores: DataFrame, now: Column) -> DataFrame:
-    """Running reports that have pages, completed with their counts and overall scores (report, overall_score)."""
+def finish(reports: DataFrame, pages: DataFrame, scores: DataFrame, now: Column, chosen: Column | None = None) -> DataFrame:
+    """Running (and chosen) reports, completed with the counts of their pages and their overall scores (report, overall_score)."""
     counts = pages.groupBy("report").agg(F.count("*").alias("_n")).join(scores.select("report", F.col("overall_score").alias("_score")), "report", "left").withColumnRenamed("report", "uid")
     rows = reports.join(counts, "uid", "left")
-    go = F.col("status") == RUNNING
-    done = _set(rows, go, status=F.lit(COMPLETED), finished_at=now, pages_crawled=F.coalesce("_n", F.lit(0)), progress_pages=F.coalesce("_n", F.lit(0)), overall_score=F.coalesce("_score", F.lit(0)))
+    go = (F.col("status") == RUNNING) & (F.lit(True) if chosen is None else chosen)
+    done = updated(rows, go, status=F.lit(COMPLETED), finished_at=now, pages_crawled=F.coalesce("_n", F.lit(0)), progress_pages=F.coalesce("_n", F.lit(0)), overall_score=F.coalesce("_score", F.lit(0)))
     return done.select(*reports.columns)
 
 
 def fail(reports: DataFrame, chosen: Column, message: Column, now: Column) -> DataFrame:
-    return _set(reports, chosen & (F.col("status") == RUNNING), status=F.lit(FAILED), error_message=message, finished_at=now)
+    return updated(reports, chosen & (F.col("status") == RUNNING), status=F.lit(FAILED), error_message=message, finished_at=now)
 
 
 def without_reports(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -174,7 +179,8 @@ def status_lines(reports: DataFrame) -> DataFrame:
     return reports.select("uid", begins.alias("begins"), ends.alias("ends"))
 
 
-def _set(reports: DataFrame, go: Column, **new: Column) -> DataFrame:
+def updated(reports: DataFrame, go: Column, **new: Column) -> DataFrame:
+    """reports with new values, cast to their columns' types, where go holds."""
     types = dict(reports.dtypes)
     # One projection: every new value and `go` read the row as it was.
     return reports.select(*(F.when(go, new[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in reports.columns))

@@ -13,6 +13,7 @@ from auditloom import schemas
 from auditloom.operators import crawl, crosspage, export, extract_dom, reports
 from auditloom.operators.audit import audited, classified, extracted
 from auditloom.plans import catalogue
+from auditloom.plans import worker as queue
 from auditloom.sources import crawl_view, derived, http
 from auditloom.streaming import worker
 from tests.conftest import SMALL
@@ -142,6 +143,23 @@ def test_crawl_follows_the_queue(spark, budget):
     assert last.progress_pages == got.where("report = 1").count()
 
 
+def test_queue_worker(spark):
+    rows = [{"url": "https://h.com/", "html": links("/1", "/2")}, {"url": "https://h.com/1", "html": page()}, {"url": "https://h.com/2", "status_code": 404, "html": page()}]
+    site = responses(spark, rows)
+    base = {f.name: "" if f.dataType.simpleString() == "string" else 0 for f in schemas.REPORT} | {"deleted": False, "max_pages": 50, "status": schemas.QUEUED, "title": "t"}
+    rows = [{"uid": 1, "base_url": "https://h.com/", "queued_at": 5}, {"uid": 2, "base_url": "http://localhost/", "queued_at": 6}, {"uid": 3, "base_url": "https://h.com", "queued_at": 7}, {"uid": 4, "base_url": "https://h.com", "status": schemas.RUNNING, "started_at": 9}]
+    table = spark.createDataFrame([tuple({**base, **r}[f.name] for f in schemas.REPORT) for r in rows], schemas.REPORT)
+    probes = spark.createDataFrame([("https://h.com/robots.txt", 200, "Sitemap: /s.xml"), ("https://h.com/s.xml", 200, "<urlset><url/></urlset>")], "url string, status int, body string")
+    done = queue.process_queue(table, crawl.from_site_map(site), F.lit(100), limit=2, probes=probes)
+    got = {r.uid: r for r in done.reports.collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == [schemas.COMPLETED, schemas.FAILED, schemas.QUEUED, schemas.RUNNING]
+    assert got[1].pages_crawled == 3 and got[1].sitemap_url_count == 1 and got[1].finished_at == 100 and got[2].error_message == "Private or local network targets are not allowed."
+    assert got[1].overall_score == round(sum(r.page_score for r in done.pages.collect()) / 3) and got[4] == table.where("uid = 4").first()
+    assert {r.uid: r.ends for r in done.lines.collect()}[1] == f"Status: Completed, pages crawled: 3, score: {got[1].overall_score}/100"
+    again = queue.process_queue(done.reports, crawl.from_site_map(site), F.lit(200), uid=4)
+    assert again.reports.where("uid = 4").first().status == schemas.COMPLETED
+
+
 def test_fetch_records_redirects_and_failures():
     site = {"http://a/1": (301, {"location": "/2"}, b""), "http://a/2": (302, {"location": "http://b/x"}, b""), "http://b/x": (404, {"content-type": "text/html"}, b"no"), "http://a/loop": (301, {"location": "/loop"}, b""), "http://a/none": (301, {}, b"body")}
 
