@@ -54,7 +54,10 @@ def broken_by_source(pages: DataFrame) -> DataFrame:
 
 
 def checked(pages: DataFrame) -> DataFrame:
-    """pages with the issues across pages appended in fixed order, and HTML pages that got one rescored."""
+    """pages with the issues across pages appended in fixed order, and HTML pages that got one rescored.
+
+    pages is read several times, so it should be a written table, not a plan that parses documents.
+    """
     out = pages
     for column, kind, severity, text in (
         ("page_title", "duplicate_title", "warning", "Page title is duplicated on multiple crawled pages"),

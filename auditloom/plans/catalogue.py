@@ -42,8 +42,13 @@ def pages(spark, sf_dir):
     return audited(crawl_view.read(spark, sf_dir))
 
 
+def stored(spark, sf_dir):
+    """Audited pages as a written table: checks across pages read them several times, documents are parsed once."""
+    return crawl.written(pages(spark, sf_dir), "pages")
+
+
 def checked(spark, sf_dir):
-    return crosspage.checked(pages(spark, sf_dir))
+    return crosspage.checked(stored(spark, sf_dir))
 
 
 def facts(spark, sf_dir):
@@ -148,8 +153,8 @@ for _rule in RULES:
 
 @query(S.cross("SELECT report, page_id, page_score, old_score FROM final JOIN (SELECT page_id FROM audited) USING (page_id)"))
 def page_score(spark, sf_dir):
-    before = pages(spark, sf_dir).select("page_id", F.col("page_score").alias("old_score"))
-    return checked(spark, sf_dir).select("report", "page_id", "page_score").join(before, "page_id")
+    own = stored(spark, sf_dir)
+    return crosspage.checked(own).select("report", "page_id", "page_score").join(own.select("page_id", F.col("page_score").alias("old_score")), "page_id")
 
 
 _SUMMARY = "SELECT i.type AS type, first(i.severity ORDER BY page_score, page_id, pos) AS severity, first(i.message ORDER BY page_score, page_id, pos) AS message, count(*) AS count FROM issue_rows GROUP BY i.type"
@@ -187,12 +192,12 @@ def duplicate_meta(spark, sf_dir):
 
 @query(S.cross("SELECT report, page_id, pos, url FROM broken"))
 def broken_links(spark, sf_dir):
-    return crosspage.broken_links(pages(spark, sf_dir))
+    return crosspage.broken_links(stored(spark, sf_dir))
 
 
 @query(S.cross("SELECT report, page_id, message FROM messages"))
 def broken_link_message(spark, sf_dir):
-    return crosspage.broken_by_source(pages(spark, sf_dir)).select("report", "page_id", "message")
+    return crosspage.broken_by_source(stored(spark, sf_dir)).select("report", "page_id", "message")
 
 
 @query("SELECT n, CASE WHEN n = 1 THEN 'Page contains 1 broken internal link' ELSE 'Page contains ' || n || ' broken internal links' END || ': ' || array_to_string(list_transform(range(1, least(n, 3) + 1), lambda x: 'u' || x), ', ') || CASE WHEN n > 3 THEN ' (+' || (n - 3) || ' more)' ELSE '' END AS message FROM range(1, 7) t(n)")
@@ -308,7 +313,7 @@ def start_reports(spark, sf_dir):
     CAST(CASE WHEN r.status = 1 THEN coalesce(s, 0) ELSE r.overall_score END AS BIGINT) AS overall_score FROM (WITH {S.REPORTS} SELECT * FROM reports) r
     LEFT JOIN (SELECT report, count(*) AS n, floor(sum(page_score) / count(*) + 0.5) AS s FROM final GROUP BY report) p ON p.report = r.uid"""))
 def finish_reports(spark, sf_dir):
-    done = checked(spark, sf_dir)
+    done = crawl.written(checked(spark, sf_dir), "checked")
     return R.finish(derived.reports(spark, sf_dir), done, crosspage.overall_scores(done), F.lit(derived.NOW)).select("uid", "status", "pages_crawled", "overall_score")
 
 
@@ -371,7 +376,7 @@ def export_json_rows(spark, sf_dir):
 @query()
 def export_json_documents(spark, sf_dir):
     """The JSON document of each report that has pages."""
-    return export.json_documents(derived.reports(spark, sf_dir).where("uid <= 7"), checked(spark, sf_dir))
+    return export.json_documents(derived.reports(spark, sf_dir).where("uid <= 7"), crawl.written(checked(spark, sf_dir), "checked"))
 
 
 @query(S.reports("SELECT uid, 'seo-report-' || uid || '-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.csv' AS pages, 'seo-issues-' || uid || '-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.csv' AS issues FROM reports"))
