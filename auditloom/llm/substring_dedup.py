@@ -236,7 +236,8 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     ceil = lambda c: (F.ceil((F.col(c) + PAD) / PAD) * PAD).cast("bigint")
     found = staged(found.select("*", floor("d0").alias("d_lo"), ceil("d1").alias("d_hi"), floor("s0").alias("s_lo"), ceil("s1").alias("s_hi")), "chains")
     rows = staged(with_words(docs, found), "words")
-    of_source = rows.where("doc_id is null").select("source_id", "s_lo", "s_hi", F.col("words").alias("s")).dropDuplicates(["source_id", "s_lo", "s_hi"])
+    # Staged, so that nothing above the join's exchanges keeps adaptive execution from splitting a range that many documents share.
+    of_source = staged(rows.where("doc_id is null").select("source_id", "s_lo", "s_hi", F.col("words").alias("s")).dropDuplicates(["source_id", "s_lo", "s_hi"]), "ranges")
     rows = rows.where("doc_id is not null").withColumnRenamed("words", "d").join(of_source, ["source_id", "s_lo", "s_hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
