@@ -46,6 +46,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand texts to Python in batches of at most `rows` rows: whole texts are long, and each task holds some batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores behind it if a column has it already."""
     held = {c.lower() for c in taken}

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import chat_format, decontaminate, html_extract, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_output
-from auditloom.llm.common import shared_path, staged
+from auditloom.llm.common import shared_path, small_batches, staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
