@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import TRIMMED
 
+#: An ampersand of a character reference without its semicolon: both tiers leave such a reference as text.
+_UNENDED = re.compile(r"&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))")
+
 _DDL = "page_id bigint, page_title string, meta_description string, h1_count bigint, h1_text string, h2_count bigint, canonical_url string, robots_noindex boolean, robots_nofollow boolean, images_total bigint, images_missing_alt bigint, hrefs array<string>, word_count bigint, has_og_title boolean, has_og_description boolean"
 
 
@@ -64,7 +67,7 @@ class Facts(HTMLParser):
 
 def facts_of(html: str | None) -> tuple:
     p = Facts()
-    p.feed(html or "")
+    p.feed(_UNENDED.sub("&amp;", html or ""))
     p.close()
     joined = lambda parts: "".join(parts or []).strip(TRIMMED)
     words = re.sub(r"^['-]+|-\Z", "", re.sub(r"<[^>]*>", "", "".join(p.body or [])))

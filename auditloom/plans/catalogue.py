@@ -124,10 +124,14 @@ for _name, _columns in {
     query(f"WITH {S.CRAWL}, {S.FACTS} SELECT page_id, {_columns} FROM rich", _name)(lambda spark, sf_dir, c=_columns.split(", "): facts(spark, sf_dir).select("page_id", *c))
 
 
-@query()
+_DOM = "page_title, meta_description, h1_count, h1_text, h2_count, canonical_url, robots_noindex, robots_nofollow, images_total, images_missing_alt, has_og_title, has_og_description"
+
+
+@query(f"WITH {S.CRAWL}, {S.FACTS} SELECT page_id, {_DOM} FROM rich WHERE kind = 'html'")
 def extract_dom_tier(spark, sf_dir):
-    """Facts by an HTML parser instead of patterns."""
-    return extract_dom.extracted(crawl_view.read(spark, sf_dir))
+    """Facts of HTML pages by a parser instead of patterns."""
+    own = classified(crawl_view.read(spark, sf_dir)).where("kind = 'html'")
+    return extract_dom.extracted(own).select("page_id", *_DOM.split(", "))
 
 
 @query(S.cross("SELECT report, page_id, CAST(x.pos AS BIGINT) AS pos, x.url AS url FROM (SELECT report, page_id, unnest(list_transform(list_filter(internal_all, lambda x, i: list_position(internal_all, x) = i), lambda x, i: {'pos': i - 1, 'url': x})) AS x FROM audited)"))
