@@ -146,11 +146,11 @@ class TokenBytes:
     _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+")
     _MARKS = ",.!?;:"
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
-        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, {"": b""}
+        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, PieceMemo(self.piece)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.marks = {m: self.whole(m) for m in self._MARKS}
 
@@ -167,30 +167,32 @@ class TokenBytes:
         core, tail = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
         if self._LATIN.fullmatch(core) is None:
             return self.whole(word)
+        if tail:
+            return self.memo[core] + tail
         core = core.lower()
         if not core.isascii():
             core = core.encode().decode("latin-1").translate(self.letters)
-        return array.array("I", [t.id for t in self.model.tokenize(core)]).tobytes() + tail
+        return array.array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > self.limit:
-            memo.clear()
-            memo[""] = b""
-        out = []
-        for p in pieces:
-            ids = memo.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) <= 64:
-                    memo[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.memo) > self.limit:
+            self.memo.clear()
+            self.memo[""] = b""
+        return b"".join(map(self.memo.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+class PieceMemo(dict):
+    """Ids by piece; a piece that is missing is encoded, and kept if it is short."""
+
+    def __init__(self, piece: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.piece = piece
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.piece(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
 
 def crc32_of(ids: bytes) -> int:
