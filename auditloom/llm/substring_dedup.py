@@ -8,6 +8,11 @@ chained by a Fenwick tree over source positions: the best score of a chain that
 since the cost of a gap is the sum of its two lengths times a constant. Chains are cut at wide gaps, extended word by
 word over the text around them, aligned by the longest common subsequence, and reported if long and alike enough.
 
+One source a seed may split a passage over several earlier documents, none of which has enough of it. So the runs of
+min_words words that no passage covers, though earlier documents have each of their seeds, are looked up as a whole:
+every exact repeat of min_words words is matched with a document that holds all of it. Only documents with a seed of
+such a run are asked, each run goes to its first place, and the work stays linear in the words.
+
 Edge cases: null and short texts have no seeds; rows with a null doc_id have no passages and are never cut; rows that
 repeat a doc_id count as one document; a passage that repeats within one document only isn't reported; ties between
 sources fall to the least (doc_id, position); an empty table has no passages.
@@ -31,6 +36,7 @@ PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, 12
 _SEED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _CHAIN = pa.schema([(c, pa.int64()) for c in ("doc_id", "source_id", "d0", "d1", "s0", "s1")])
 _PASSAGE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "n_equal")])
+_RUN = pa.schema([("hash", pa.int64()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
 _RANGES = ("d0", "d1", "s0", "s1", "d_lo", "d_hi", "s_lo", "s_hi")
 _WORDS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "source_id", *_RANGES)), ("words", pa.binary())])
 
@@ -51,7 +57,7 @@ def minimizers(runs: np.ndarray, w: int = W) -> np.ndarray:
     return at[~again]
 
 
-def seeds(docs: DataFrame) -> DataFrame:
+def seeds(docs: DataFrame, w: int = W) -> DataFrame:
     """hash, doc_id, pos of the seeds of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +68,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 for doc_id, n in zip(ids, counts):
                     if n >= K:
                         runs = window_hashes(words[at : at + n], K)
-                        own = minimizers(runs)
+                        own = minimizers(runs, w)
                         hashes.append(runs[own])
                         places.append(own.astype(np.int32))
                         owners.append(np.full(len(own), doc_id, dtype=np.int64))
@@ -73,8 +79,8 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "hash bigint, doc_id bigint, pos int")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, source_id, source_pos: each seed beside the first document that has it.
+def matches(docs: DataFrame, w: int = W) -> tuple[DataFrame, DataFrame]:
+    """(hash, doc_id of all seeds; hash, doc_id, pos, source_id, source_pos: each seed beside the first document that has it).
 
     A place is packed into one long where document ids and lengths leave room, which is looked up; that lets Spark
     aggregate in hash tables. Else it is a struct, and Spark sorts. Ids below 2**32 need no look at the texts: a row of
@@ -85,7 +91,7 @@ def matches(docs: DataFrame) -> DataFrame:
     if high is not None and high >= 1 << 32:
         longest = docs.agg(F.max(F.octet_length("text"))).first()[0]
         pos_bits = max(1, math.ceil(math.log2((longest or 1) / 2 + 2)))
-    found = seeds(docs)
+    found = seeds(docs, w)
     if low is not None and low >= 0 and high < 1 << (62 - pos_bits):
         found = staged(found.select("hash", (F.shiftleft("doc_id", pos_bits) + F.col("pos")).alias("at")), "seeds")
         doc_of, pos_of = (lambda c: F.shiftright(c, pos_bits)), (lambda c: F.col(c).bitwiseAND((1 << pos_bits) - 1))
@@ -94,7 +100,68 @@ def matches(docs: DataFrame) -> DataFrame:
         doc_of, pos_of = (lambda c: F.col(f"{c}.doc_id")), (lambda c: F.col(f"{c}.pos").cast("bigint"))
     first = found.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(doc_of("first") < doc_of("last")).select("hash", "first")
     both = found.join(first, "hash").where(doc_of("at") > doc_of("first"))
-    return both.select(doc_of("at").alias("doc_id"), pos_of("at").alias("pos"), doc_of("first").alias("source_id"), pos_of("first").alias("source_pos"))
+    both = both.select("hash", doc_of("at").alias("doc_id"), pos_of("at").alias("pos"), doc_of("first").alias("source_id"), pos_of("first").alias("source_pos"))
+    return found.select("hash", doc_of("at").alias("doc_id")), staged(both, "matches")
+
+
+def runs(docs: DataFrame, min_words: int, w: int, whole: bool) -> DataFrame:
+    """hash, seed, doc_id, pos of runs of min_words words of docs (doc_id, text, hashes: array of seeds, spans: array of word ranges).
+
+    whole: the runs whose seeds all are among hashes and which spans don't cover; else those whose first seed is.
+    """
+    n_windows = min_words - K - w + 2  # of w seed places each, that lie within a run and so choose the same seeds wherever it stands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, hashes, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hashes", "spans"))):
+                words = word_hashes([text])[0]
+                n = len(words) - min_words + 1
+                if n < 1:
+                    continue
+                short = window_hashes(words, K)
+                least = np.lib.stride_tricks.sliding_window_view(short, w).argmin(axis=1)
+                least = short[least + np.arange(len(least))].view(np.int64)
+                hit = np.isin(least, np.array(hashes, dtype=np.int64))
+                if whole:
+                    held = np.r_[0, np.cumsum(hit)]
+                    hit = held[n_windows:] - held[:-n_windows] == n_windows
+                    open_ = np.ones(len(words), dtype=bool)
+                    for x in spans or ():
+                        open_[x["a"] : x["b"]] = False
+                    left = np.r_[0, np.cumsum(open_)]
+                    hit &= left[min_words:] > left[:-min_words]
+                at = np.flatnonzero(hit[:n])
+                if len(at):
+                    long = window_hashes(words, min_words).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(long[at]), pa.array(least[at]), pa.array(np.full(len(at), doc_id, dtype=np.int64)), pa.array(at.astype(np.int64))], schema=_RUN)
+
+    return docs.select("doc_id", "text", "hashes", "spans").mapInArrow(run, ddl(_RUN))
+
+
+def split_passages(docs: DataFrame, every: DataFrame, matched: DataFrame, found: DataFrame, min_words: int, w: int) -> DataFrame:
+    """The exact repeats of min_words words and more that found, passages by the first places of seeds, leaves uncovered."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias("spans"))
+    held = matched.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    wanted = staged(runs(docs.join(held, "doc_id").join(spans, "doc_id", "left"), min_words, w, whole=True), "wanted")
+    if wanted.isEmpty():
+        return found
+    asked = every.join(wanted.select(F.col("seed").alias("hash")).distinct(), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    offered = runs(docs.join(asked, "doc_id").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")), min_words, w, whole=False)
+    first = offered.join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    pairs = wanted.join(first, "hash").where("doc_id > first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
+
+    def run(group: dict[str, list]) -> Iterator[tuple]:
+        d, s = np.array(group["pos"], dtype=np.int64), np.array(group["source_pos"], dtype=np.int64)
+        order = np.lexsort((d, d - s))
+        d, s = d[order], s[order]
+        cut = np.ones(len(d), dtype=bool)
+        cut[1:] = (d[1:] - s[1:] != d[:-1] - s[:-1]) | (np.diff(d) > min_words)
+        first = np.flatnonzero(cut)
+        for i, j in zip(first, np.r_[first[1:], len(d)] - 1):
+            n = int(d[j] - d[i]) + min_words
+            yield group["doc_id"][0], int(d[i]), n, group["source_id"][0], int(s[i]), n, n
+
+    return found.unionByName(staged(by_group(pairs, ["doc_id", "source_id"], run, _PASSAGE, ddl(_PASSAGE)), "split"))
 
 
 class Fenwick:
@@ -231,7 +298,9 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     """doc_id, start_word, n_words, source_id, source_start, source_words, n_equal: each passage of at least min_words that an earlier
     document has too, where the words in common are at least min_identity of the longer side."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = chains(matches(docs))
+    w = max(1, min(W, min_words - K + 1))
+    every, matched = matches(docs, w)
+    found = chains(matched.drop("hash"))
     floor = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - PAD) / PAD) * PAD).cast("bigint")
     ceil = lambda c: (F.ceil((F.col(c) + PAD) / PAD) * PAD).cast("bigint")
     found = staged(found.select("*", floor("d0").alias("d_lo"), ceil("d1").alias("d_hi"), floor("s0").alias("s_lo"), ceil("s1").alias("s_hi")), "chains")
@@ -249,7 +318,8 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
                     out.append((doc_id, d0 + d_lo, d1 - d0, source_id, s0 + s_lo, s1 - s0, equal))
             yield rows_to_batch(out, _PASSAGE)
 
-    return rows.mapInArrow(run, ddl(_PASSAGE)).distinct()
+    out = staged(rows.mapInArrow(run, ddl(_PASSAGE)).distinct(), "passages")
+    return out if min_words < K else split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -305,6 +305,20 @@ def test_passages_cover_exact_repeats(spark, docs, texts):
                 assert covered[i].issuperset(range(a, a + 50)), (i, a)
 
 
+def test_passages_whose_seeds_were_first_seen_in_several_documents(spark):
+    """Y repeats X, which has 45 words of A1 and 45 of A2: neither has 50 words of Y."""
+    rng = random.Random(23)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for k in range(0, 80, 4):
+        a, b = plain(45), plain(45)
+        rows += [(k, plain(30) + a + plain(30)), (k + 1, plain(20) + b + plain(20)), (k + 2, plain(15) + a + b + plain(25)), (k + 3, plain(60) + a + b + plain(10))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.source_id, r.source_start, r.n_equal) for r in substring_dedup.passages(df).collect())
+    assert got == [(k + 3, 60, 90, k + 2, 15, 90) for k in range(0, 80, 4)]
+    assert {r.doc_id: len(r.text.split()) for r in substring_dedup.clean(df).collect()} == {i: len(w) - (90 if i % 4 == 3 else 0) for i, w in rows}
+
+
 def test_passages_of_odd_rows(spark):
     odd = frame(spark, [*ODD, (-5, "w " * 200), (2**62, "negative and huge ids " * 40), (2**62 + 1, "negative and huge ids " * 40)])
     assert all(r.doc_id is not None for r in substring_dedup.passages(odd).collect())
