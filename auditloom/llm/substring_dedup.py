@@ -5,7 +5,9 @@ runs of K + W - 1 words share a seed. The first place of a seed, in order of (do
 other document that has the seed is matched with that source alone, which keeps matches linear in the seeds however
 many documents share a passage. Per pair of document and source, matches that lie on one diagonal are merged, and
 chained by a Fenwick tree over source positions: the best score of a chain that ends before (d, s) is a prefix maximum,
-since the cost of a gap is the sum of its two lengths times a constant. Chains are cut at wide gaps, extended word by
+since the cost of a gap is the sum of its two lengths times a constant. Where that best one lies too far back, the
+matches that end within the widest gap are compared one by one: a place of a document has one seed at most, so they are
+few. Chains are cut at wide gaps, extended word by
 word over the text around them, aligned by the longest common subsequence, and reported if long and alike enough.
 
 One source a seed may split a passage over several earlier documents, none of which has enough of it. So the runs of
@@ -199,16 +201,21 @@ def chain(d: np.ndarray, s: np.ndarray) -> list[tuple[int, int, int, int]]:
     order = np.lexsort((s0, d0))
     d0, s0, n = d0[order].tolist(), s0[order].tolist(), n[order].tolist()
     ranks = {v: i + 1 for i, v in enumerate(sorted(set(s0)))}
-    tree, score, back = Fenwick(len(ranks)), [0.0] * len(d0), [-1] * len(d0)
+    tree, score, ends, back = Fenwick(len(ranks)), [0.0] * len(d0), [0.0] * len(d0), [-1] * len(d0)
     waiting: list[int] = []  # of equal d0: they may not follow one another
+    near: list[int] = []  # those in the tree that end within MAX_GAP words before the place, or behind it
     for i in range(len(d0)):
         if waiting and d0[waiting[0]] < d0[i]:
             for j in waiting:
-                tree.put(ranks[s0[j]], (score[j] + GAP_COST * (d0[j] + s0[j] + 2 * n[j]), j))
+                ends[j] = score[j] + GAP_COST * (d0[j] + s0[j] + 2 * n[j])
+                tree.put(ranks[s0[j]], (ends[j], j))
+            near = [j for j in near + waiting if d0[i] - d0[j] - n[j] <= MAX_GAP]
             waiting = []
         value, j = tree.top(ranks[s0[i]] - 1)
+        if j >= 0 and (d0[i] - d0[j] - n[j] > MAX_GAP or s0[i] - s0[j] - n[j] > MAX_GAP):
+            value, j = max(((ends[j], j) for j in near if s0[j] < s0[i] and s0[i] - s0[j] - n[j] <= MAX_GAP), default=(-math.inf, -1))
         gain = value - GAP_COST * (d0[i] + s0[i])
-        if j >= 0 and gain > 0 and d0[i] - d0[j] - n[j] <= MAX_GAP and s0[i] - s0[j] - n[j] <= MAX_GAP:
+        if j >= 0 and gain > 0:
             back[i], score[i] = j, gain + n[i]
         else:
             score[i] = float(n[i])

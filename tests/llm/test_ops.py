@@ -345,6 +345,49 @@ def test_chain_and_common_words_against_plain_dynamic_programming():
         assert tree.top(q)[0] == max([v for i, v in values if i <= q], default=-float("inf"))
 
 
+def plain_chains(frags):
+    """Chains of (d0, s0, n), ascending, by looking at all predecessors."""
+    gap, cost = substring_dedup.MAX_GAP, substring_dedup.GAP_COST
+    score, back = [], []
+    for i, (d, s, n) in enumerate(frags):
+        best = max(((score[j] - cost * (d - a - m + s - b - m), j) for j, (a, b, m) in enumerate(frags[:i]) if a < d and b < s and d - a - m <= gap and s - b - m <= gap), default=(0, -1))
+        back.append(best[1] if best[0] > 0 else -1)
+        score.append(n + max(best[0], 0))
+    used, out = set(), []
+    for i in sorted(range(len(frags)), key=lambda x: -score[x]):
+        if i not in used:
+            a = i
+            used.add(a)
+            while back[a] >= 0 and back[a] not in used:
+                a = back[a]
+                used.add(a)
+            out.append((frags[a][0], frags[i][0] + frags[i][2], frags[a][1], frags[i][1] + frags[i][2]))
+    return sorted(x for x in out if x[1] - x[0] >= substring_dedup.LEAST_CHAIN)
+
+
+def test_chains_equal_plain_ones_also_behind_a_far_better_match():
+    k = substring_dedup.K
+    rng = random.Random(8)
+    for t in range(60):
+        frags, d = [], 0
+        for _ in range(rng.randrange(1, 40)):
+            n = rng.choice([8, 12, 20, 30, 300 if t % 2 else 15])
+            frags.append((d, rng.randrange(0, 800) if rng.random() < 0.3 else d + rng.randrange(-3, 4) * 40 + 200, n))
+            d += n + rng.choice([1, 3, 30, 64, 65, 200])
+        frags = [f for i, f in enumerate(frags) if not any(abs((f[0] - f[1]) - (g[0] - g[1])) < 1 for g in frags[:i])]
+        at = np.array([(a + x, b + x) for a, b, n in frags for x in range(n - k + 1)])
+        assert sorted(substring_dedup.chain(at[:, 0], at[:, 1])) == plain_chains(frags)
+
+
+def test_a_passage_behind_a_longer_far_one(spark):
+    rng = random.Random(31)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    far, near = plain(300), plain(64)
+    rows = [(1, far + plain(200) + near), (2, far + plain(200) + near[:32] + plain(1) + near[32:])]
+    got = sorted((r.start_word, r.n_words, r.n_equal) for r in substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect())
+    assert got == [(0, 300, 300), (500, 65, 64)]
+
+
 # ------------------------------------------------------------------ 7 packing
 def check_pieces(rows, pieces):
     tokens = common.TokenBytes(queries.TOKENIZER)
