@@ -7,8 +7,8 @@ many documents share a passage. Per pair of document and source, matches that li
 chained by a Fenwick tree over source positions: the best score of a chain that ends before (d, s) is a prefix maximum,
 since the cost of a gap is the sum of its two lengths times a constant. Where that best one lies too far back, the
 matches that end within the widest gap are compared one by one: a place of a document has one seed at most, so they are
-few. Chains are cut at wide gaps, extended word by
-word over the text around them, aligned by the longest common subsequence, and reported if long and alike enough.
+few. Chains are cut at wide gaps, extended over the text around them by a banded alignment with a drop-off, which
+bridges edits, aligned by the longest common subsequence, and reported if long and alike enough.
 
 One source a seed may split a passage over several earlier documents, none of which has enough of it. So the runs of
 min_words words that no passage covers, though earlier documents have each of their seeds, are looked up as a whole:
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
 
 K, W = 8, 16
-PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, 12
+PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, K
+#: Edits that an extension bridges at most on a side, and those in a row without a gain at which it ends.
+MAX_EDITS, DROP = 24, 6
 _SEED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _CHAIN = pa.schema([(c, pa.int64()) for c in ("doc_id", "source_id", "d0", "d1", "s0", "s1")])
 _PASSAGE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "n_equal")])
@@ -159,9 +161,17 @@ def split_passages(docs: DataFrame, every: DataFrame, matched: DataFrame, found:
         cut = np.ones(len(d), dtype=bool)
         cut[1:] = (d[1:] - s[1:] != d[:-1] - s[:-1]) | (np.diff(d) > min_words)
         first = np.flatnonzero(cut)
-        for i, j in zip(first, np.r_[first[1:], len(d)] - 1):
-            n = int(d[j] - d[i]) + min_words
-            yield group["doc_id"][0], int(d[i]), n, group["source_id"][0], int(s[i]), n, n
+        pieces = sorted((int(d[i]), int(s[i]), int(d[j] - d[i]) + min_words) for i, j in zip(first, np.r_[first[1:], len(d)] - 1))
+        end, i = -1, 0  # words before end are told; of periodic texts, with a piece at each word, only as many are as cover all
+        while i < len(pieces):
+            best = i
+            while i < len(pieces) and pieces[i][0] <= max(end, pieces[best][0]):
+                best = i if sum(pieces[i][::2]) > sum(pieces[best][::2]) else best
+                i += 1
+            a, b, n = pieces[best]
+            if a + n > end:
+                yield group["doc_id"][0], a, n, group["source_id"][0], b, n, n
+                end = a + n
 
     return found.unionByName(staged(by_group(pairs, ["doc_id", "source_id"], run, _PASSAGE, ddl(_PASSAGE)), "split"))
 
@@ -286,8 +296,44 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - state.bit_count()
 
 
-def align(d: np.ndarray, s: np.ndarray, d0: int, d1: int, s0: int, s1: int) -> tuple[int, int, int, int, int]:
-    """The ranges, extended by the equal words around them, and the words they have in common in order."""
+def extended(d: list[int], s: list[int], costs: tuple[float, ...]) -> list[tuple[int, int, int]]:
+    """For each cost of an edit, (words of d, words of s, equal words) of the best common start, in a band of MAX_EDITS diagonals.
+
+    Furthest places by diagonal are kept for each number of edits, so only edits cost time. A start ends with an equal
+    word; the search drops off where no diagonal is within DROP edits of the best start.
+    """
+    best = [(0.0, 0, 0, 0)] * len(costs)
+    front = {0: (0, 0)}  # diagonal (place in d less place in s): furthest place in d, equal words up to there
+    last = 0
+    for edits in range(MAX_EDITS + 1):
+        for k, (i, equal) in front.items():
+            j, at = i - k, i
+            while i < len(d) and j < len(s) and d[i] == s[j]:
+                i, j = i + 1, j + 1
+            if i > at:
+                equal += i - at
+                front[k] = i, equal
+                for c, cost in enumerate(costs):
+                    if equal - cost * edits > best[c][0]:
+                        best[c] = equal - cost * edits, i, j, equal
+                        last = edits
+        if edits - last >= DROP:
+            break
+        following: dict[int, tuple[int, int]] = {}
+        for k, (i, equal) in front.items():
+            for to, place in ((k, i + 1), (k + 1, i + 1), (k - 1, i)):
+                if place <= len(d) and 0 <= place - to <= len(s) and (place, equal) > following.get(to, (-1, 0)):
+                    following[to] = place, equal
+        front = following
+    return [x[1:] for x in best]
+
+
+def align(d: np.ndarray, s: np.ndarray, d0: int, d1: int, s0: int, s1: int, min_identity: float = 0.8) -> tuple[int, int, int, int, int]:
+    """The ranges, extended on both sides as far as they stay alike enough, and the words they have in common in order.
+
+    Each side is extended by equal words, over edits that more equal words outweigh (the longest way), or over edits that
+    by themselves keep to min_identity; of these ways the longest that keeps the whole to min_identity is taken.
+    """
     n = min(d0, s0)
     apart = np.flatnonzero(d[d0 - n : d0] != s[s0 - n : s0])
     grow = n - (apart[-1] + 1) if len(apart) else n
@@ -296,9 +342,15 @@ def align(d: np.ndarray, s: np.ndarray, d0: int, d1: int, s0: int, s1: int) -> t
     apart = np.flatnonzero(d[d1 : d1 + n] != s[s1 : s1 + n])
     grow = apart[0] if len(apart) else n
     d1, s1 = d1 + int(grow), s1 + int(grow)
-    if d1 - d0 == s1 - s0 and (d[d0:d1] == s[s0:s1]).all():
-        return d0, d1, s0, s1, d1 - d0
-    return d0, d1, s0, s1, common_words(d[d0:d1].tolist(), s[s0:s1].tolist())
+    equal = d1 - d0 if d1 - d0 == s1 - s0 and (d[d0:d1] == s[s0:s1]).all() else common_words(d[d0:d1].tolist(), s[s0:s1].tolist())
+    costs = (1.0, min_identity / max(1 - min_identity, 1e-9))
+    none = [(0, 0, 0)]
+    left = none + extended(d[:d0][::-1].tolist(), s[:s0][::-1].tolist(), costs) if d0 and s0 else none
+    right = none + extended(d[d1:].tolist(), s[s1:].tolist(), costs) if d1 < len(d) and s1 < len(s) else none
+    core = d0, d1, s0, s1, equal
+    ways = {(d0 - a, d1 + x, s0 - b, s1 + y, equal + m + o) for a, b, m in left for x, y, o in right}
+    whole = [w for w in ways if w[4] >= min_identity * max(w[1] - w[0], w[3] - w[2])]
+    return max(whole, key=lambda w: (w[1] - w[0], w[4], w)) if whole else core
 
 
 def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
@@ -320,7 +372,7 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
         for batch in batches:
             out = []
             for doc_id, source_id, d0, d1, s0, s1, d_lo, s_lo, d, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source_id", "d0", "d1", "s0", "s1", "d_lo", "s_lo", "d", "s"))):
-                d0, d1, s0, s1, equal = align(np.frombuffer(d, "<u4"), np.frombuffer(s, "<u4"), d0 - d_lo, d1 - d_lo, s0 - s_lo, s1 - s_lo)
+                d0, d1, s0, s1, equal = align(np.frombuffer(d, "<u4"), np.frombuffer(s, "<u4"), d0 - d_lo, d1 - d_lo, s0 - s_lo, s1 - s_lo, min_identity)
                 if d1 - d0 >= min_words and equal >= min_identity * max(d1 - d0, s1 - s0):
                     out.append((doc_id, d0 + d_lo, d1 - d0, source_id, s0 + s_lo, s1 - s0, equal))
             yield rows_to_batch(out, _PASSAGE)

@@ -388,6 +388,39 @@ def test_a_passage_behind_a_longer_far_one(spark):
     assert got == [(0, 300, 300), (500, 65, 64)]
 
 
+def test_align_bridges_edits_near_the_ends():
+    rng = random.Random(3)
+    plain = lambda n: [rng.randrange(1 << 32) for _ in range(n)]
+    p = plain(55)
+    q = list(p)
+    q[6], q[49] = plain(2)
+    d, s = np.array(plain(64) + q + plain(64)), np.array(plain(64) + p + plain(64))
+    assert substring_dedup.align(d, s, 64 + 10, 64 + 30, 64 + 10, 64 + 30) == (64, 119, 64, 119, 53)
+    d = np.array(plain(64) + p[:8] + plain(1) + p[8:40] + p[41:] + plain(64))  # a word more, and one less
+    assert substring_dedup.align(d, s, 64 + 15, 64 + 35, 64 + 14, 64 + 34) == (64, 119, 64, 119, 54)
+    d = np.array(p + plain(3))
+    assert substring_dedup.align(d, np.array(p), 0, 55, 0, 55) == (0, 55, 0, 55, 55)
+
+
+def test_passages_with_edits_near_their_ends(spark):
+    rng = random.Random(41)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, caught = [], collections.defaultdict(set)
+    kind = {}
+    for i in range(0, 480, 2):
+        kind[i + 1] = ("ends", 0.95, 0.9, 0.85)[i // 2 % 4]
+        p = plain(55 if kind[i + 1] == "ends" else 100)
+        q = list(p)
+        for x in (6, 49) if kind[i + 1] == "ends" else rng.sample(range(100), round(100 * (1 - kind[i + 1]))):
+            q[x] = plain(1)[0]
+        rows += [(i, plain(40) + p + plain(40)), (i + 1, plain(40) + q + plain(40))]
+    for r in substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect():
+        assert r.n_equal >= 0.8 * max(r.n_words, r.source_words)
+        caught[kind[r.doc_id]].add(r.doc_id)
+    share = {k: len(v) / 60 for k, v in caught.items()}
+    assert share["ends"] == 1 and share[0.95] == 1 and share[0.9] > 0.95 and share[0.85] > 0.85, share
+
+
 # ------------------------------------------------------------------ 7 packing
 def check_pieces(rows, pieces):
     tokens = common.TokenBytes(queries.TOKENIZER)
