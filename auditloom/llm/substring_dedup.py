@@ -151,7 +151,8 @@ def split_passages(docs: DataFrame, every: DataFrame, matched: DataFrame, found:
         return found
     asked = every.join(wanted.select(F.col("seed").alias("hash")).distinct(), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     offered = runs(docs.join(asked, "doc_id").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")), min_words, w, whole=False)
-    first = offered.join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    # Combined before they are dealt, and staged, so that a run which most documents have is no hot spot.
+    first = staged(offered.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "first")
     pairs = wanted.join(first, "hash").where("doc_id > first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
 
     def run(group: dict[str, list]) -> Iterator[tuple]:
