@@ -6,6 +6,8 @@ falls on it (one-permutation MinHash), so signatures grow with the class and an
 Jaccard similarity, decides how many coordinates agree. Items are signed for each class; one shared coordinate makes a
 candidate, and the candidate's containment is counted exactly. With the default load an item's shingle survives on its
 coordinate with probability over 0.88, so a contained item of ten shingles stays unseen with probability below 1e-7.
+That says nothing for shorter items: all shingles of items with fewer than ten are looked up among all shingles of each
+document, so none of those is missed.
 
 Edge cases: null, empty and blank texts have no shingles, are never contaminated and contaminate nothing; a text of one
 to four words is one shingle; repeated rows give a row each; extra columns are ignored.
@@ -27,6 +29,8 @@ _PAIRS_DDL = "doc_id bigint, item_id bigint, n_shared bigint, n_item_shingles bi
 _SHINGLES = pa.schema([("id", pa.int64()), ("hash", pa.int64())])
 #: Coordinates for each shingle of a class's largest document, as a power of two.
 LOAD_BITS = 2
+#: Items with fewer shingles are looked up by all of them.
+SIGNED_SHINGLES = 10
 
 
 def shingles_of(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -67,7 +71,7 @@ def exploded(table: DataFrame, key: str) -> DataFrame:
 
 
 class Index:
-    """Items signed for every size class. Memory: 8 bytes for each distinct item shingle, and the same again for each class in use."""
+    """Items signed for every size class. Memory: 8 bytes for each distinct item shingle, again for those of short items, and for those of the others for each class in use."""
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, threshold: float):
         order = np.lexsort((hashes, ids))
@@ -75,11 +79,16 @@ class Index:
         starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
         self.cuts = np.r_[starts, len(ids)].astype(np.int64)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.diff(self.cuts)
+        short = np.repeat(sizes < SIGNED_SHINGLES, sizes)
+        values, items = self.hashes[short], np.repeat(np.arange(len(sizes)), sizes)[short]
+        order = np.argsort(values, kind="stable")
+        self.short = values[order], items[order]
 
     def of_class(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Ascending signature values of all items under this class, and the item of each."""
         if bits not in self.classes:
-            parts = [signature(self.hashes[a:b], bits) for a, b in zip(self.cuts, self.cuts[1:])]
+            parts = [signature(self.hashes[a:b] if b - a >= SIGNED_SHINGLES else self.hashes[:0], bits) for a, b in zip(self.cuts, self.cuts[1:])]
             values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             items = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             order = np.argsort(values, kind="stable")
@@ -91,16 +100,15 @@ class Index:
         if not len(shingles):
             return []
         bits = size_class(len(shingles))
-        values, items = self.of_class(bits)
-        if not len(values):
-            return []
-        own = signature(shingles, bits)
-        lo = np.searchsorted(values, own)
-        agree = values[np.minimum(lo, len(values) - 1)] == own
-        if not agree.any():
-            return []
-        hi = np.searchsorted(values, own[agree], side="right")
-        met = {int(i) for x, y in zip(lo[agree], hi) for i in items[x:y]}
+        met: set[int] = set()
+        for (values, items), own in ((self.of_class(bits), signature(shingles, bits)), (self.short, shingles)):
+            if not len(values):
+                continue
+            lo = np.searchsorted(values, own)
+            agree = values[np.minimum(lo, len(values) - 1)] == own
+            if agree.any():
+                hi = np.searchsorted(values, own[agree], side="right")
+                met.update(int(i) for x, y in zip(lo[agree], hi) for i in items[x:y])
         out = []
         for item in sorted(met):
             wanted = self.hashes[self.cuts[item] : self.cuts[item + 1]]

@@ -485,6 +485,20 @@ def test_containment(spark, docs, texts):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(rows) - {w[0] for w in want}
 
 
+def test_short_items_are_never_missed(spark):
+    items, docs, want = [], [], []
+    for i in range(1200):
+        n = (1, 3, 5, 6, 7, 9, 13)[i % 7]  # one to nine shingles
+        item = [f"q{i}_{j}" for j in range(n)]
+        items.append((i, " ".join(item)))
+        size = (3, 20, 60, 200, 1000, 2050)[i % 6] if n >= 5 else 0  # an item under five words is one shingle: the whole text
+        docs.append((i, " ".join([*(f"a{i}_{j}" for j in range(size)), *item, *(f"b{i}_{j}" for j in range(size // 3))])))
+        want.append((i, i, max(1, n - 4), max(1, n - 4)))
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(map(tuple, decontaminate.contained(docs, items).collect())) == want
+    assert decontaminate.clean(docs, items).count() == 0
+
+
 def test_containment_of_odd_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "one"), (3, "one"), (3, "one"), (4, "one two three")], "item_id bigint, text string")
     got = sorted(map(tuple, decontaminate.contained(frame(spark, ODD), items).collect()))
