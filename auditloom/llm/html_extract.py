@@ -6,11 +6,12 @@ has entropy log n / log m, and the importance is one less the mean entropy of th
 by presentation: the entropy, in units of log m, of the sequences of child elements that pages show there. A branch's
 composite importance weighs its own presentation with the content below it. Branches of low importance are removed from
 each page, besides those that HTML itself names as menus, footers, asides, forms and the like, by tag, role, class or id;
-where a page marks its article, only what is inside is text. Exact copies of a page count once in the tree, and a path
+where a page marks its article, only what is inside is text. Ids of headings, and of running text in an article, are
+anchors and name nothing; there a class has to be such a name as a whole. Exact copies of a page count once in the tree, and a path
 seen on few pages isn't judged, so that mirrored articles aren't mistaken for boilerplate.
 
 Edge cases: null html is empty and gives an empty text; a null url has the empty host; broken markup is read as
-browsers do (a new paragraph ends the open one, stray ends are skipped); extra columns are ignored; repeated rows give
+browsers do (a new paragraph ends the open one, a head ends where something stands that can't be in it, stray ends are skipped); extra columns are ignored; repeated rows give
 repeated results; an empty table gives an empty one.
 """
 
@@ -44,6 +45,10 @@ NAMES = re.compile(
     r"signup|login|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|pagination|pager|search|toolbar|skip|disclaimer|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Elements of running text, whose ids are anchors made of their words, and elements that may stand in a head.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = INLINE | HEADINGS | frozenset("section p li dt dd td th blockquote pre figure figcaption".split())
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar|site-header|page-header)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
@@ -76,11 +81,19 @@ def is_aside(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
         return False, tag
     own = attributes(raw)
     named = f"{own.get('class', '')} {own.get('id', '')}".strip()
-    label = f"{tag}.{re.sub(r'[0-9]+', '0', ' '.join(named.split()))[:80]}" if named else tag
+    label = f"{tag}.{re.sub(r'[0-9]+', '0', ' '.join(named.split()))}" if named else tag
+    if len(label) > 80:
+        label = f"{label[:80]}~{xxhash.xxh64_hexdigest(label.encode('utf-8', 'surrogatepass'))}"
     hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) is not None or re.search(r"display\s*:\s*none", own.get("style", "")) is not None
     if tag in ("body", "html"):
         return False, label
-    return hidden or own.get("role", "").lower() in ROLES or bool(NAMES.search(named)) or (not in_article and bool(PAGE_HEADER.search(named))), label
+    if tag in HEADINGS or in_article and tag in RUNNING:
+        by_name = any(NAMES.fullmatch(x) for x in own.get("class", "").split())
+    elif in_article:
+        by_name = bool(NAMES.search(own.get("class", ""))) or bool(NAMES.fullmatch(own.get("id", "")))
+    else:
+        by_name = bool(NAMES.search(named))
+    return hidden or own.get("role", "").lower() in ROLES or by_name or (not in_article and bool(PAGE_HEADER.search(named))), label
 
 
 def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
@@ -112,6 +125,9 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         m = _TOKEN.search(page, at)
         if m is None:
             break
+        if stack[-1].tag == "head" and page[at : m.start()].strip():
+            stack.pop()
+            settle()
         if m.start() > at and not hidden:
             texts.append(page[at : m.start()])
         at = m.end()
@@ -137,6 +153,10 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                     flush()
             continue
         raw = m[3] or m[6] or ""
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            flush()
+            stack.pop()
+            settle()
         if tag in VOID:
             if tag in INLINE:
                 if tag == "br":
