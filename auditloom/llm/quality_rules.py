@@ -1,8 +1,9 @@
 """Line-first quality rules, with DataFrame functions only.
 
 Rules are read line by line: a line falls when punctuation or symbols drown its words, when it is a row of menu
-entries, when it repeats an earlier line, or when it runs on without any sentence mark. Fallen lines are removed; a
-document that loses more than a stated share of its characters is rejected, whatever lines it keeps.
+entries, when it repeats an earlier line, or when it runs on without any sentence mark. A document that loses more than
+a stated share of its characters is rejected, whatever lines it keeps. clean() removes the fallen lines of the others;
+judge() and kept() leave texts as they are.
 
 Edge cases: a null, empty or blank text has no words and fails the base test; extra columns are carried untouched;
 each row is judged by itself, so repeated rows get equal verdicts; an empty table gives an empty table.
@@ -107,5 +108,20 @@ def judge(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float
 
 
 def clean(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float = 0.1, menu_entry_chars: int = 20, run_on_chars: int = 240) -> DataFrame:
-    """The rows of docs that judge() keeps, with exactly the columns of docs."""
+    """The rows of docs that judge() keeps, without their fallen, repeated and blank lines, with exactly the columns of docs.
+
+    n_chars, where docs has it, is counted anew. Lines that stand are joined by a line feed.
+    """
+    rows = _judged(docs, max_lost_share, max_symbol_share, menu_entry_chars, run_on_chars).where("kept").select("_row")
+    lines = F.array_distinct(F.filter(F.split(F.col("_row.text"), "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
+    rows = rows.select("_row", lines.alias("_lines"))
+    rows = rows.select("_row", F.arrays_zip("_lines", line_verdicts(F.col("_lines"), max_symbol_share, menu_entry_chars, run_on_chars).alias("v")).alias("_lines"))
+    rows = rows.select("_row", F.array_join(F.transform(F.filter("_lines", lambda x: ~x["v"]["bad"]), lambda x: x["_lines"]), "\n").alias("_text"))
+    anew = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    types = dict(docs.dtypes)
+    return rows.select(*(anew[c].cast(types[c]).alias(c) if c in anew else F.col(f"_row.`{c}`") for c in docs.columns))
+
+
+def kept(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float = 0.1, menu_entry_chars: int = 20, run_on_chars: int = 240) -> DataFrame:
+    """The rows of docs that judge() keeps, as they came."""
     return _judged(docs, max_lost_share, max_symbol_share, menu_entry_chars, run_on_chars).where("kept").select("_row.*")

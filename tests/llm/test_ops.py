@@ -217,6 +217,22 @@ def test_html_parts_and_broken_markup():
     assert html_extract.main_text(None, frozenset()) == html_extract.main_text("<", frozenset())[1:] == ""
 
 
+def test_html_anchors_of_an_article_are_text():
+    page = '<body><main><h2 id="notice-periods">Notice</h2><section id="related-work"><p id="search-algorithms">a</p><span id="social-impact">b</span></section><div class="related-posts">no</div><p class="share">no</p></main>'
+    assert html_extract.main_text(page, frozenset()) == "Notice\na\nb"
+    assert html_extract.main_text('<body><div><h2 id="social-impact">x</h2><p>y</p></div><div id="social-links">no</div>', frozenset()) == "x\ny"
+
+
+def test_html_open_head_ends():
+    for page in ("<html><head><title>t</title><meta a=b><body><p>text</p></body></html>", "<head><style>x</style><p>text", "<head><link rel=x>text<br>", "<head><title>t</title></head><body>text"):
+        assert html_extract.main_text(page, frozenset()) == "text"
+
+
+def test_long_labels_stay_apart():
+    a, b = (html_extract.is_aside("div", f' class="{"x y " * 30}{end}"', False)[1] for end in "ab")
+    assert a != b and len(a) < 110
+
+
 def test_style_tree_removes_branches_that_repeat_on_a_host(spark):
     rng = random.Random(2)
     page = lambda i: (i, f"http://h.org/{i}", f"<body><div><b>Our site since 1990</b></div><section><p>{rng.random()} text {i}</p></section></body>")
@@ -258,6 +274,17 @@ def test_quality_lines(spark):
     assert {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows, False)).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
 
 
+def test_quality_clean_removes_fallen_lines(spark):
+    good = "A plain sentence stands here, with words enough to be read by all of us."
+    more = "\n".join(f"Line {i} has words{i} of{i} its{i} own{i}, and{i} it{i} stays{i} here{i} as{i} well{i}." for i in range(20))
+    rows = [(1, f"{good}\nHome | About | Help\n\nAnother one follows, it has its own words, and it stays.\n{good}\nth*** is%%% junk###\n{more}")]
+    df = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id bigint, text string, n_chars int, kept string")
+    want = f"{good}\nAnother one follows, it has its own words, and it stays.\n{more}"
+    got = quality_rules.clean(df)
+    assert [tuple(r) for r in got.collect()] == [(1, want, len(want), "k")] and got.dtypes == df.dtypes
+    assert quality_rules.kept(df).first().text == rows[0][1]
+
+
 # ------------------------------------------------------------------ 6 repeated passages
 def passage_rows(seed=11):
     rng = random.Random(seed)
