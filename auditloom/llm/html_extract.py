@@ -1,14 +1,21 @@
 """Main text of web pages by site style trees.
 
 Pages are read as a stream of tags into blocks of text, each with its path of block elements (tag, class, id). The
-pages of a host are merged by path. A path where text stands is judged by content: a text that n of m pages have there
-has entropy log n / log m, and the importance is one less the mean entropy of the texts. A path of an element is judged
-by presentation: the entropy, in units of log m, of the sequences of child elements that pages show there. A branch's
-composite importance weighs its own presentation with the content below it. Branches of low importance are removed from
-each page, besides those that HTML itself names as menus, footers, asides, forms and the like, by tag, role, class or id;
-where a page marks its article, only what is inside is text. Ids of headings, and of running text in an article, are
-anchors and name nothing; there a class has to be such a name as a whole. Exact copies of a page count once in the tree, and a path
-seen on few pages isn't judged, so that mirrored articles aren't mistaken for boilerplate.
+pages of a host are merged by path into its tree, whose branches are judged by two entropies:
+
+- Content. A text that n of the m pages with its path have there has entropy log n / log m; one less that is its
+  novelty. A branch's content importance is the share of its characters that are novel and no link text, and its mass is
+  the number of such characters on a page.
+- Presentation. An element's importance is the entropy, in units of log m, of the sequences of child elements that its m
+  pages show. Where it is low, pages fill the same slots: the element is layout. Where it is high, content flows.
+
+A branch's composite importance weighs both. A branch below `threshold` falls wherever it is, since the host repeats it
+or links from it. A slot of a layout falls if its mass is below `slot_share` of that of the best slot beside it; headings
+belong to what is beside them and stay. What HTML itself names as menus, footers, asides, forms and the like, by tag,
+role, class or id, falls as well, and where a page marks its article, only what is inside is text; `by_name=False` leaves
+all to the tree. Ids of headings, and of running text in an article, are anchors and name nothing; there a class has to
+be such a name as a whole. Exact copies of a page count once in the tree, and a path seen on few pages isn't judged, so
+that mirrored articles aren't mistaken for boilerplate: on such hosts only names tell.
 
 Edge cases: null html is empty and gives an empty text; a null url has the empty host; broken markup is read as
 browsers do (a new paragraph ends the open one, a head ends where something stands that can't be in it, stray ends are skipped); extra columns are ignored; repeated rows give
@@ -33,6 +40,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video dialog menu title xmp noembed noframes".split())
+NO_TEXT = frozenset("head script style noscript template button select textarea iframe object svg canvas audio video title xmp noembed noframes".split())
 ARTICLE = frozenset("article main".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Elements that end an open one of these when they begin, within these bounds.
@@ -56,26 +64,26 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 
 class Element:
-    __slots__ = ("children", "dropped", "in_article", "inline", "path", "tag")
+    __slots__ = ("dropped", "in_article", "inline", "linked", "path", "tag")
 
-    def __init__(self, tag: str, path: str, dropped: bool, in_article: bool, inline: bool):
-        self.tag, self.path, self.dropped, self.in_article, self.inline, self.children = tag, path, dropped, in_article, inline, None
+    def __init__(self, tag: str, path: str, dropped: bool, in_article: bool, inline: bool, linked: bool):
+        self.tag, self.path, self.dropped, self.in_article, self.inline, self.linked = tag, path, dropped, in_article, inline, linked
 
 
 class Block:
-    __slots__ = ("dropped", "in_article", "path", "text")
+    __slots__ = ("dropped", "in_article", "links", "path", "text")
 
-    def __init__(self, path: str, text: str, dropped: bool, in_article: bool):
-        self.path, self.text, self.dropped, self.in_article = path, text, dropped, in_article
+    def __init__(self, path: str, text: str, dropped: bool, in_article: bool, links: int):
+        self.path, self.text, self.dropped, self.in_article, self.links = path, text, dropped, in_article, links
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
 
 
-def is_aside(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
-    """(whether the element is named as no part of an article, the label that its path shows)."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def is_aside(tag: str, raw: str, in_article: bool, by_name: bool = True) -> tuple[bool, str]:
+    """(whether the element is named as no part of an article, or is no text; the label that its path shows)."""
+    if tag in (DROPPED if by_name else NO_TEXT) or by_name and tag == "header" and not in_article:
         return True, tag
     if not raw or "=" not in raw and "hidden" not in raw:
         return False, tag
@@ -87,6 +95,8 @@ def is_aside(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
     hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) is not None or re.search(r"display\s*:\s*none", own.get("style", "")) is not None
     if tag in ("body", "html"):
         return False, label
+    if not by_name:
+        return hidden, label
     if tag in HEADINGS or in_article and tag in RUNNING:
         by_name = any(NAMES.fullmatch(x) for x in own.get("class", "").split())
     elif in_article:
@@ -96,23 +106,26 @@ def is_aside(tag: str, raw: str, in_article: bool) -> tuple[bool, str]:
     return hidden or own.get("role", "").lower() in ROLES or by_name or (not in_article and bool(PAGE_HEADER.search(named))), label
 
 
-def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
+def parse(page: str | None, by_name: bool = True) -> tuple[list[Block], dict[str, list[str]]]:
     """(blocks with text in page order, child labels of the elements at each path)."""
     page = page or ""
     blocks: list[Block] = []
     shown: dict[str, list[str]] = {}
-    stack = [Element("", "", False, False, False)]
+    stack = [Element("", "", False, False, False, False)]
     block = stack[0]  # the innermost element that isn't inline
     texts: list[str] = []
+    links = 0  # characters of texts that are link text
     hidden = False  # an inline element that is dropped is open
 
     def flush() -> None:
+        nonlocal links
         if texts:
             text = "".join(texts)
             texts.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                blocks.append(Block(block.path, text, block.dropped, block.in_article))
+                blocks.append(Block(block.path, text, block.dropped, block.in_article, min(links, len(text))))
+        links = 0
 
     def settle() -> None:
         nonlocal block, hidden
@@ -130,6 +143,8 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             settle()
         if m.start() > at and not hidden:
             texts.append(page[at : m.start()])
+            if stack[-1].linked:
+                links += len(texts[-1].strip())
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -176,14 +191,14 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                     if stack[i].tag in bounds:
                         break
         top = stack[-1]
-        aside, label = is_aside(tag, raw, top.in_article)
+        aside, label = is_aside(tag, raw, top.in_article, by_name)
         if inline:
-            stack.append(Element(tag, top.path, top.dropped or aside, top.in_article, True))
+            stack.append(Element(tag, top.path, top.dropped or aside, top.in_article, True, top.linked or tag == "a"))
             hidden = stack[-1].dropped and not block.dropped
         else:
             parent = next(e for e in reversed(stack) if not e.inline)
             shown.setdefault(parent.path, []).append(label)
-            stack.append(Element(tag, f"{parent.path}/{label}", top.dropped or aside, top.in_article or tag in ARTICLE, False))
+            stack.append(Element(tag, f"{parent.path}/{label}", top.dropped or aside, top.in_article or tag in ARTICLE, False, top.linked))
             settle()
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -200,82 +215,101 @@ def ancestors(path: str) -> list[str]:
     return [path[:i] for i in range(1, len(path)) if path[i] == "/"] + [path]
 
 
-_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64()), ("page", pa.int64())])
+_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64()), ("page", pa.int64()), ("chars", pa.int32()), ("links", pa.int32())])
 
 
 def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def observed(pages: DataFrame) -> DataFrame:
-    """host, path, kind, value, page: what each distinct page shows at each path. kind 0: a text; 1: the children; value and page are hashes."""
+def observed(pages: DataFrame, by_name: bool = True) -> DataFrame:
+    """host, path, kind, value, page, chars, links: what each distinct page shows at each path.
+
+    kind 0: a text, with its characters and those of links in it; 1: the sequence of children. value and page are hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
+        digest = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
         for batch in batches:
             rows = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                blocks, shown = parse(page)
-                key = digest((page or "").encode("utf-8", "surrogatepass"))
-                seen = {(b.path, 0, digest(b.text.encode("utf-8", "surrogatepass"))) for b in blocks}
-                seen |= {(path, 1, digest(" ".join(dict.fromkeys(labels)).encode("utf-8", "surrogatepass"))) for path, labels in shown.items()}
-                rows += [(host, *x, key) for x in seen]
+                blocks, shown = parse(page, by_name)
+                key = digest(page or "")
+                seen = {(b.path, 0, digest(b.text)): (len(b.text), b.links) for b in blocks}
+                seen |= {(path, 1, digest(" ".join(labels))): (0, 0) for path, labels in shown.items()}
+                rows += [(host, *x, key, *size) for x, size in seen.items()]
             yield rows_to_batch(rows, _SEEN)
 
-    return pages.mapInArrow(run, "host string, path string, kind int, value bigint, page bigint")
+    return pages.mapInArrow(run, "host string, path string, kind int, value bigint, page bigint, chars int, links int")
 
 
-def unimportant(seen: DataFrame, threshold: float = 0.3, own_weight: float = 0.1, min_pages: int = 8) -> DataFrame:
-    """host, paths (array): the branches of each host whose composite importance is below the threshold on min_pages pages or more.
+def importance(seen: DataFrame, own_weight: float = 0.3) -> DataFrame:
+    """host, path, m (pages), content, shape, mass, composite of every branch with text below it on two pages or more.
 
-    A branch has own_weight times its presentation's importance and, for the rest, the mean content importance of the
-    texts below it. All sums are combined before they are shuffled, so a host with most of the pages is no hot spot.
+    shape is null for branches without child elements; their composite is their content. All sums are combined before
+    they are shuffled, so a host with most of the pages is no hot spot.
     """
-    counts = seen.distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    counts = seen.dropDuplicates(["host", "path", "kind", "value", "page"]).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links"))
     # Pages that have the path: each page shows one sequence of children, but any number of texts.
     pages = seen.select("host", "path", "kind", "page").distinct().groupBy("host", "path", "kind").agg(F.count("*").alias("m"))
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum(F.log("n")).alias("logs"), F.sum(F.col("n") * F.log("n")).alias("weighed"), F.count("*").alias("values"))
-    known = sums.join(pages, ["host", "path", "kind"]).where("m > 1")
-    content = known.where("kind = 0").select("host", "path", "m", "values", (1 - F.col("logs") / F.col("values") / F.log("m")).alias("imp"))
-    shape = known.where("kind = 1").select("host", "path", (1 - F.col("weighed") / F.col("m") / F.log("m")).alias("shape"))
+    n_log_n, free = F.col("n") * F.log("n"), F.col("chars") - F.col("links")
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum(n_log_n).alias("bits"), F.sum(F.col("n") * F.col("chars")).alias("all"), F.sum(F.col("n") * free).alias("free"), F.sum(n_log_n * free).alias("known"))
+    merged = sums.join(pages, ["host", "path", "kind"]).where("m > 1")
+    texts = merged.where("kind = 0").select("host", "path", "m", "all", (F.col("free") - F.col("known") / F.log("m")).alias("novel"))
+    shape = merged.where("kind = 1").select("host", "path", F.col("m").alias("shown"), (1 - F.col("bits") / F.col("m") / F.log("m")).alias("shape"))
     parts = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    below = content.select("host", F.explode(up).alias("path"), "m", "values", "imp")
-    below = below.groupBy("host", "path").agg(F.max("m").alias("m"), (F.sum(F.col("imp") * F.col("values")) / F.sum("values")).alias("imp"))
-    composite = below.join(shape, ["host", "path"], "left").withColumn("imp", F.when(F.col("shape").isNull(), F.col("imp")).otherwise(own_weight * F.col("shape") + (1 - own_weight) * F.col("imp")))
-    return composite.where((F.col("m") >= min_pages) & (F.col("imp") < threshold)).groupBy("host").agg(F.collect_list("path").alias("paths"))
+    below = texts.where(F.size(parts) > 1).select("host", F.explode(up).alias("path"), "m", "all", "novel")
+    below = below.groupBy("host", "path").agg(F.max("m").alias("m"), F.sum("all").alias("all"), F.sum("novel").alias("novel"))
+    both = below.join(shape, ["host", "path"], "left").withColumn("m", F.greatest("m", F.coalesce("shown", "m")))
+    content = F.col("novel") / F.greatest(F.col("all"), F.lit(1))
+    return both.select("host", "path", "m", content.alias("content"), "shape", (F.col("novel") / F.col("m")).alias("mass"), F.coalesce(own_weight * F.col("shape") + (1 - own_weight) * content, content).alias("composite"))
+
+
+def unimportant(seen: DataFrame, threshold: float = 0.3, slot_share: float = 0.1, layout_shape: float = 0.15, own_weight: float = 0.3, min_pages: int = 8) -> DataFrame:
+    """host, paths (array): the branches of each host, seen on min_pages pages or more, whose composite importance is below the
+    threshold, and the slots whose mass is below slot_share of that of the best slot of their layout."""
+    tree = staged(importance(seen, own_weight), "tree").withColumn("parent", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    tag = F.regexp_extract("path", r"/([^/.]*)[^/]*$", 1)
+    layouts = tree.where((F.col("m") >= min_pages) & (F.col("shape") < layout_shape)).select("host", F.col("path").alias("parent"))
+    best = tree.groupBy("host", "parent").agg(F.max("mass").alias("best")).join(layouts, ["host", "parent"], "left_semi")
+    judged = tree.where(F.col("m") >= min_pages).join(best, ["host", "parent"], "left")
+    slot = ~tag.isin(*sorted(HEADINGS)) & (F.col("mass") < slot_share * F.col("best"))
+    # A container's text is told from boilerplate within it, unless all its pages say the same.
+    low = F.when(tag.isin("html", "body", *sorted(ARTICLE)), F.col("content") < threshold / 3).otherwise(F.col("composite") < threshold)
+    return judged.where(low | F.coalesce(slot, F.lit(False))).groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
 def tag_of(path: str) -> str:
     return path.rsplit("/", 1)[1].split(".", 1)[0]
 
 
-def is_pruned(path: str, pruned: frozenset[str]) -> bool:
+def is_pruned(path: str, pruned: frozenset[str], by_name: bool = True) -> bool:
     """Whether a branch on the way from the container (the outermost article, else the body) down to the path is unimportant.
 
     In a container that is itself unimportant, all pages of the host say the same, and nothing tells text from boilerplate.
     """
     up = ancestors(path)
-    top = next((i for i, p in enumerate(up) if tag_of(p) in ARTICLE), None)
+    top = next((i for i, p in enumerate(up) if tag_of(p) in ARTICLE), None) if by_name else None
     if top is None:
         top = max((i for i, p in enumerate(up) if tag_of(p) in ("html", "body")), default=-1)
     return (top < 0 or up[top] not in pruned) and any(p in pruned for p in up[top + 1 :])
 
 
-def main_text(page: str | None, pruned: frozenset[str]) -> str:
-    blocks, _ = parse(page)
-    kept = [b for b in blocks if not b.dropped and not (pruned and is_pruned(b.path, pruned))]
-    inside = [b for b in kept if b.in_article]
+def main_text(page: str | None, pruned: frozenset[str], by_name: bool = True) -> str:
+    blocks, _ = parse(page, by_name)
+    kept = [b for b in blocks if not b.dropped and not (pruned and is_pruned(b.path, pruned, by_name))]
+    inside = [b for b in kept if b.in_article] if by_name else []
     return "\n".join(b.text for b in inside or kept)
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of pages (page_id, url, html)."""
+def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8, by_name: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars (code points) of pages (page_id, url, html). by_name=False: the tree alone decides."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of().alias("host"))
-    pruned = staged(unimportant(staged(observed(rows.select("host", "html")), "seen"), threshold, min_pages=min_pages), "pruned")
+    pruned = staged(unimportant(staged(observed(rows.select("host", "html"), by_name), "seen"), threshold, min_pages=min_pages), "pruned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, frozenset())
@@ -284,7 +318,7 @@ def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8) -> D
             for page_id, url, host, page, paths in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "paths"))):
                 if last[0] != host:
                     last = host, frozenset(paths or ())
-                text = main_text(page, last[1])
+                text = main_text(page, last[1], by_name)
                 out.append((page_id, url, text, len(text)))
             yield rows_to_batch(out, _TEXT)
 

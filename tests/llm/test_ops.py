@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -246,6 +247,71 @@ def test_style_tree_removes_branches_that_repeat_on_a_host(spark):
     assert html_extract.extracted(df).count() == len(rows) and html_extract.extracted(df.where("false")).count() == 0
 
 
+def brute_tree(pages, own_weight=0.3):
+    """(host, path) -> (m, content, shape, mass, composite) by plain counting; pages are (host, html)."""
+    texts, shows = collections.defaultdict(lambda: collections.defaultdict(dict)), collections.defaultdict(dict)
+    for host, page in set(pages):
+        blocks, shown = html_extract.parse(page, False)
+        for b in blocks:
+            texts[host, b.path][b.text][page] = (len(b.text), b.links)
+        for path, labels in shown.items():
+            shows[host, path][page] = tuple(labels)
+    out, branches = {}, collections.defaultdict(list)
+    for (host, path), own in texts.items():
+        m = len({page for held in own.values() for page in held})
+        if m > 1 and "/" in path:
+            whole = sum(c for held in own.values() for c, _ in held.values())
+            novel = sum((c - k) * (1 - math.log(len(held)) / math.log(m)) for held in own.values() for c, k in held.values())
+            parts = path.split("/")
+            for i in range(2, len(parts) + 1):
+                branches[host, "/".join(parts[:i])].append((m, whole, novel))
+    for key, below in branches.items():
+        m, content, shape = max(x[0] for x in below), sum(x[2] for x in below) / sum(x[1] for x in below), None
+        held = shows.get(key, {})
+        if len(held) > 1:
+            m = max(m, len(held))
+            shape = -sum(n / len(held) * math.log(n / len(held), len(held)) for n in collections.Counter(held.values()).values())
+        out[key] = m, content, shape, sum(x[2] for x in below) / m, content if shape is None else own_weight * shape + (1 - own_weight) * content
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select(html_extract.host_of().alias("host"), "html")
+    pages = pages.unionByName(pages.limit(20)).unionByName(spark.createDataFrame([("h", "<div>a<p>b</div>"), ("h", "<div>a<p>c<a href=x>li nk</a></div>"), ("h", "<div>a</div>text"), ("h", None)], "host string, html string"))
+    got = {(r.host, r.path): (r.m, r.content, r.shape, r.mass, r.composite) for r in html_extract.importance(html_extract.observed(pages, False)).collect()}
+    want = brute_tree([tuple(r) for r in pages.collect()])
+    assert got.keys() == want.keys() and ("h", "/div/p") in got
+    for key, row in want.items():
+        assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(got[key], row)), (key, got[key], row)
+
+
+def div_pages(rng, n):
+    """Pages of plain divs without a telling name, with their main texts."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    said = lambda k: " ".join(word() for _ in range(k))
+    for i in range(n):
+        paragraphs = [said(rng.randrange(10, 60)) for _ in range(rng.randrange(2, 9))]
+        title, menu = said(5), "".join(f"<div><a href=/{k}>{said(1)}</a></div>" for k in range(rng.randrange(4, 7)))
+        body = "".join(f"<div>{p}</div>" for p in paragraphs)
+        yield f"<body><div class=xa>{menu}</div><div class=xb>{said(4)}</div><div class=xc><h1>{title}</h1>{body}</div><div class=xd>&copy; us, {said(3)}</div></body>", "\n".join([title, *paragraphs])
+
+
+def test_style_tree_alone_tells_menus_adverts_and_footers(spark):
+    rows = [(i, f"http://d{i % 3}.org/{i}", *x) for i, x in enumerate(div_pages(random.Random(6), 60))]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string"), by_name=False).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_style_tree_alone_on_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extracted(pages, by_name=False).collect()}
+    assert got == {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
+
+
+def test_html_of_a_very_long_page():
+    assert len(html_extract.main_text("<p>word &amp; word</p>" * 200_000 + "<p>" + "long " * 2_000_000, frozenset())) == 200_000 * 12 + 5 * 2_000_000 - 1
+
+
 # ------------------------------------------------------------------ 5 quality rules
 def brute_measures(t):
     w = WORD.findall(t or "")
