@@ -1,20 +1,26 @@
 """Near duplicates: DartMinHash signatures, banded candidates, exact similarity, connected classes.
 
-Each element throws darts into the strip [0, width) x [0, inf) of (weight, rank): a Poisson process whose positions are
-hashes of the element and the dart's number, so equal elements throw equal darts in every document. Darts above the
-element's weight are discarded, each remaining dart picks a coordinate, and a coordinate keeps its earliest dart. Two
-documents agree on a coordinate with probability equal to their weighted Jaccard similarity. Ranks are cut at a bound
-that leaves about k (ln k + 2) darts for a document whatever its size; a document with an empty coordinate doubles it.
-
-Plan: equal texts fold into one node; band hashes of signatures give buckets; buckets with the same members count once;
-within buckets, blocks of members compare short signatures and leave a spanning forest of likely pairs; components of
-these are compared exactly, block against block, and leave a spanning forest of verified links; components of those
-are the classes. No step emits all pairs of a group; a large group is dealt out as pairs of bounded blocks, all of
-which are compared, so a link may be lost only if a pair at the threshold meets in no band (below 1e-6 with the
-defaults) or its signature estimate falls five deviations short.
+A document's elements are its shingles of five words, weighted by how often they occur. Each element throws darts into
+the strip [0, width) x [0, inf) of (weight, rank): a Poisson process whose positions are hashes of the element and the
+dart's number, so equal elements throw equal darts in every document. Darts above the element's weight are discarded,
+each remaining dart picks a coordinate, and a coordinate keeps its earliest dart. Two documents agree on a coordinate
+with probability equal to their weighted Jaccard similarity. Ranks are cut at a bound that leaves about k (ln k + 2)
+darts for a document whatever its size; a document with an empty coordinate doubles it.
+
+Near copies are documents whose shingles are alike as sets or as weighted sets. A document that repeats no shingle has
+one signature for both; others have two, and bands of both.
+
+Plan: equal texts fold into one node; band hashes of signatures give buckets; buckets with the same members count once.
+Settling: every member of a bucket is compared exactly with one node of a bucket, the first of those it meets most, so
+that a large group of copies becomes a class in linear work. The rest: in buckets that still hold several classes,
+members of different classes are compared by short signatures, and the nodes that look alike across classes exactly.
+Large buckets are dealt out as pairs of bounded blocks; blocks of one class aren't paired. All pairs of different classes
+in a bucket are compared, so a link is lost only if a pair at the threshold meets in no band (below 1e-6 with the
+defaults) or its estimate falls five deviations short. What stays quadratic, in blocks, is a large bucket of texts that
+look alike and of which few pairs are near copies.
 
 Edge cases: null texts count as empty; texts without words are near copies of equal texts only; texts of one to four
-words have one shingle; rows with a null doc_id get a null class; rows that repeat a doc_id share a class.
+words have one shingle; rows with a null doc_id get a null class; rows that repeat a doc_id are judged each by its text.
 """
 
 from __future__ import annotations
@@ -23,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, by_group, chunks, fresh, mix64, staged, window_hashes, word_hashes
+from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, by_group, chunks, fresh, mix64, rows_to_batch, staged, window_hashes, word_hashes
 from auditloom.llm.components import components
 
 BANDS, ROWS = 40, 5
 BLOCK_DOCS, BLOCK_CHARS = 512, 1 << 22
-_SIGNED = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("node", pa.int64()), ("chars", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_ALIKE = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> np.ndarray:
@@ -111,24 +118,35 @@ def weighted(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float), np.array([len(p[0]) for p in parts])
 
 
-def signed(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count: bool = False) -> DataFrame:
-    """node, sketch (a byte of each coordinate), bands of nodes (node, text) that have a word."""
+def signed(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """node, chars, sketch (a byte of each coordinate), bands of nodes (node, text) that have a word.
+
+    Where shingles repeat, the sketch of the weighted signature follows that of the plain one, and bands are those of both.
+    """
+    k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in chunks(batch.column("node").to_pylist(), batch.column("text").to_pylist(), 1 << 20):
                 elements, counts = shingles(texts)
-                weights = None
-                if by_count:
-                    elements, weights, counts = weighted(elements, counts)
-                signatures = dart_signatures(elements, weights, counts, bands * rows)
-                hashed = band_hashes(signatures, bands, rows).view(np.int64)
-                some = np.flatnonzero(counts)
-                small = (signatures & np.uint64(0xFF)).astype(np.uint8)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(hashed[some].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array([small[i].tobytes() for i in some], pa.binary()), lists], schema=_SIGNED)
-
-    return nodes.select("node", "text").mapInArrow(run, "node bigint, sketch binary, bands array<bigint>")
+                plain = dart_signatures(elements, None, counts, k)
+                distinct, weights, sizes = weighted(elements, counts)
+                twice = np.flatnonzero(sizes < counts)  # documents that repeat a shingle
+                own = np.isin(np.repeat(np.arange(len(sizes)), sizes), twice)
+                heavy = dart_signatures(distinct[own], weights[own], sizes[twice], k)
+                of = {int(d): i for i, d in enumerate(twice)}
+                small = [(x & np.uint64(0xFF)).astype(np.uint8) for x in (plain, heavy)]
+                hashed = [band_hashes(x, bands, rows).view(np.int64) for x in (plain, heavy)]
+                out = []
+                for d in np.flatnonzero(counts):
+                    i = of.get(int(d))
+                    if i is None:
+                        out.append((ids[d], len(texts[d]), small[0][d].tobytes(), hashed[0][d]))
+                    else:
+                        out.append((ids[d], len(texts[d]), small[0][d].tobytes() + small[1][i].tobytes(), np.unique(np.r_[hashed[0][d], hashed[1][i]])))
+                yield rows_to_batch(out, _SIGNED)
+
+    return nodes.select("node", "text").mapInArrow(run, "node bigint, chars bigint, sketch binary, bands array<bigint>")
 
 
 class Forest:
@@ -149,112 +167,190 @@ class Forest:
         return i != j
 
 
-def blocked(members: DataFrame, group: str, blocks: str) -> DataFrame:
-    """members dealt out as pairs of blocks: a row for each pair (x <= y) that its own block, by a hash of the node, is in."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    return (
-        members.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-        .withColumn("x", F.least("own", "other"))
-        .withColumn("y", F.greatest("own", "other"))
-        .drop("other", blocks)
-    )
-
-
-def agreements(sketches: np.ndarray) -> np.ndarray:
-    """Matrix of the numbers of equal bytes of these sketches (documents x k)."""
-    out = np.zeros((len(sketches),) * 2, dtype=np.uint16)
-    for column in np.ascontiguousarray(sketches.T):
-        out += column[:, None] == column[None, :]
+def agreements(sketches: list[bytes], k: int) -> np.ndarray:
+    """Matrix of the numbers of equal bytes of these sketches, the greater of those of plain and weighted signatures."""
+    out = None
+    halves = [np.frombuffer(b"".join(bytes(x[:k]) for x in sketches), dtype=np.uint8).reshape(-1, k)]
+    if any(len(x) > k for x in sketches):
+        halves.append(np.frombuffer(b"".join(bytes(x[-k:]) for x in sketches), dtype=np.uint8).reshape(-1, k))
+    for half in halves:
+        same = np.zeros((len(half),) * 2, dtype=np.uint16)
+        for column in np.ascontiguousarray(half.T):
+            same += column[:, None] == column[None, :]
+        out = same if out is None else np.maximum(out, same)
     return out
 
 
-def across(own: list[int], x: int, y: int) -> np.ndarray:
-    """Which pairs belong to this pair of blocks: those within a block are left to the pair (x, x)."""
-    side = np.array(own)
-    return (side[:, None] != side[None, :]) if x != y else np.ones((len(own), len(own)), dtype=bool)
+def across(group: dict[str, list]) -> np.ndarray:
+    """Which pairs of members are of different classes and belong to this pair of blocks: those within a block are left to the pair (x, x)."""
+    side, of = np.array(group["own"]), np.array(group["class"])
+    apart = of[:, None] != of[None, :]
+    return apart & (side[:, None] != side[None, :]) if group["x"][0] != group["y"][0] else apart
+
 
+def by_class(members: DataFrame, group: str) -> DataFrame:
+    """members (group, node, class, chars) dealt out as pairs of blocks x <= y: a row for each pair that its own block is in.
 
-def likely_pairs(group: dict[str, list], least: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs in two blocks of a bucket with at least this many equal coordinates."""
-    nodes = group["node"]
-    if len(nodes) < 2:
+    A class that fills blocks has its own, which aren't paired with one another; smaller classes share the others. A
+    block has about BLOCK_DOCS members and BLOCK_CHARS characters.
+    """
+    each = members.groupBy(group, "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    each = each.withColumn("part", F.when((F.col("n") >= BLOCK_DOCS) | (F.col("chars") >= BLOCK_CHARS), F.col("class")).otherwise(F.lit(-1)))
+    parts = each.groupBy(group, "part").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_DOCS, F.sum("chars") / BLOCK_CHARS, F.lit(1.0))).cast("int").alias("blocks"))
+    in_group = Window.partitionBy(group)
+    upto = F.sum("blocks").over(in_group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.select(group, "part", "blocks", (upto - F.col("blocks")).cast("int").alias("lo"), F.sum("blocks").over(in_group).cast("int").alias("total"))
+    parts = each.select(group, "class", "part").join(parts, [group, "part"])
+    own = F.col("lo") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: (F.col("part") == -1) | (o < F.col("lo")) | (o >= F.col("lo") + F.col("blocks")))
+    dealt = members.join(parts, [group, "class"]).withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "part", "blocks", "lo", "total", "chars")
+
+
+def alike(group: dict[str, list], k: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(node, class, least class it is connected with) of the members of two blocks that look alike across classes:
+    at least this many coordinates agree."""
+    nodes, of = group["node"], group["class"]
+    if len(set(of)) < 2:
+        return
+    i, j = np.nonzero(np.triu((agreements(group["sketch"], k) >= least) & across(group), 1))
+    if not len(i):
         return
-    sketches = np.frombuffer(b"".join(bytes(s) for s in group["sketch"]), dtype=np.uint8).reshape(len(nodes), -1)
-    near = np.triu((agreements(sketches) >= least) & across(group["own"], group["x"][0], group["y"][0]), 1)
-    forest = Forest(len(nodes))
-    for i, j in zip(*np.nonzero(near)):
-        if forest.join(int(i), int(j)):
-            yield nodes[i], nodes[j]
+    names, codes = np.unique(np.array(of), return_inverse=True)
+    forest = Forest(len(names))
+    for x, y in np.unique(np.c_[codes[i], codes[j]], axis=0).tolist():
+        forest.join(x, y)
+    for n in np.unique(np.r_[i, j]).tolist():
+        yield nodes[n], of[n], int(names[forest.root(int(codes[n]))])
+
+
+Shingled = tuple[np.ndarray, np.ndarray]
+
+
+def counted(texts: list[str | None]) -> list[Shingled]:
+    """Ascending distinct shingles of each text, with their numbers of occurrences."""
+    elements, counts = shingles(texts)
+    cuts = np.cumsum([0, *counts])
+    return [np.unique(elements[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:])]
+
+
+def similarity(a: Shingled, b: Shingled) -> float:
+    """The greater of plain and weighted Jaccard similarity; 0 if one has no shingle."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
+    total = int(a[1].sum() + b[1].sum())
+    if total == len(a[0]) + len(b[0]):
+        return plain
+    shared = int(np.minimum(a[1][i], b[1][j]).sum())
+    return max(plain, shared / (total - shared))
+
+
+def stars(nodes: DataFrame, parents: DataFrame, threshold: float) -> DataFrame:
+    """a, b: which nodes (b) of parents (node, parent, chars) are near copies of their parent (a).
+
+    A parent's nodes are dealt out in bounded blocks, each with the parent's text.
+    """
+    sizes = parents.groupBy("parent").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("chars") / BLOCK_CHARS, F.lit(1.0))).cast("int").alias("blocks"))
+    own = parents.join(sizes, "parent").select("parent", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    hubs = sizes.select("parent", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("parent").alias("node"))
 
+    def run(group: dict[str, list]) -> Iterator[tuple[int, int]]:
+        parent, sets = group["parent"][0], counted(group["text"])
+        hub = sets[group["node"].index(parent)]
+        for node, own in zip(group["node"], sets):
+            if node != parent and similarity(hub, own) >= threshold - 1e-12:
+                yield parent, node
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+    return by_group(own.unionByName(hubs).join(nodes.select("node", "text"), "node"), ["parent", "block"], run, _PAIR, "a bigint, b bigint")
 
 
-def verified_pairs(group: dict[str, list], threshold: float, k: int, least: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs in two blocks whose exact similarity reaches the threshold.
+def verified(group: dict[str, list], threshold: float, k: int, least: int) -> Iterator[tuple[int, int]]:
+    """Classes that the members of two blocks link: a spanning forest of the pairs of different classes whose exact
+    similarity reaches the threshold.
 
-    Pairs are met in descending order of estimated similarity; those already joined need no test.
+    Pairs are met in descending order of estimated similarity; those whose classes are already joined need no test.
     """
-    nodes, texts = group["node"], group["text"]
-    if len(nodes) < 2:
+    of = group["class"]
+    if len(set(of)) < 2:
         return
-    elements, counts = shingles(texts)
-    cuts = np.cumsum([0, *counts])
-    sets = [np.unique(elements[a:b]) for a, b in zip(cuts, cuts[1:])]
-    forest = Forest(len(nodes))
-    mask = across(group["own"], group["x"][0], group["y"][0])
-    if len(nodes) > 12:
-        estimate = agreements((dart_signatures(elements, None, counts, k) & np.uint64(0xFF)).astype(np.uint8))
-        sizes = np.array([len(s) for s in sets])
-        mask &= (estimate >= least) & (sizes[:, None] >= threshold * sizes[None, :]) & (sizes[None, :] >= threshold * sizes[:, None])
-    else:
-        estimate = np.zeros(mask.shape, dtype=np.uint16)
-    i, j = np.nonzero(np.triu(mask, 1))
+    estimate = agreements(group["sketch"], k)
+    sets = counted(group["text"])
+    names, codes = np.unique(np.array(of), return_inverse=True)
+    forest = Forest(len(names))
+    i, j = np.nonzero(np.triu(across(group) & (estimate >= least), 1))
     for p in np.argsort(-estimate[i, j].astype(np.int64), kind="stable"):
-        x, y = int(i[p]), int(j[p])
-        if forest.root(x) != forest.root(y) and len(sets[x]) and len(sets[y]) and jaccard(sets[x], sets[y]) >= threshold - 1e-12:
+        x, y = int(codes[i[p]]), int(codes[j[p]])
+        if forest.root(x) != forest.root(y) and similarity(sets[i[p]], sets[j[p]]) >= threshold - 1e-12:
             forest.join(x, y)
-            yield nodes[x], nodes[y]
+            yield int(names[x]), int(names[y])
 
 
-def links(nodes: DataFrame, threshold: float = NEAR_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """a, b: verified links that span the classes of nodes (node, text)."""
+def grouped(nodes: DataFrame, threshold: float = NEAR_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """node, root: the class of each of nodes (node, text; nodes not negative) that has a near copy."""
     k = bands * rows
     least = int(k * (threshold - 5 * (threshold * (1 - threshold) / k) ** 0.5))
     signs = staged(signed(nodes, bands, rows), "signs")
-    rows_ = signs.select("node", F.explode("bands").alias("bucket"))
-    buckets = rows_.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("first")).where("n > 1")
-    buckets = buckets.groupBy("n", "who", "first").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK_DOCS).alias("blocks"))
-    members = blocked(rows_.join(buckets, "bucket"), "bucket", "blocks").join(signs.select("node", "sketch"), "node")
-    likely = by_group(members, ["bucket", "x", "y"], lambda g: likely_pairs(g, least), _PAIR, "a bigint, b bigint", ["node"])
-    groups = staged(components(likely), "likely")
-    texts = nodes.join(groups, "node")
-    parts = groups.join(nodes.select("node", F.length("text").cast("bigint").alias("n")), "node").groupBy("root").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
-    parts = parts.select("root", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("chars") / BLOCK_CHARS, F.lit(1.0))).alias("blocks"))
-    members = blocked(texts.join(parts, "root"), "root", "blocks")
-    return by_group(members, ["root", "x", "y"], lambda g: verified_pairs(g, threshold, k, least), _PAIR, "a bigint, b bigint", ["node"])
+    in_bands = signs.select("node", F.explode("bands").alias("bucket"))
+    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("first")).where("n > 1")
+    buckets = buckets.groupBy("n", "who", "first").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "first", "times")
+    members = staged(in_bands.join(buckets, "bucket"), "members")
+
+    met = members.where("node <> first").groupBy("node", "first").agg(F.sum("times").alias("times"))
+    parents = met.groupBy("node").agg(F.max_by("first", F.struct("times", -F.col("first"))).alias("parent"))
+    parents = staged(parents.join(signs.select("node", "chars"), "node"), "parents")
+    settled = staged(components(stars(nodes, parents, threshold)), "settled")
+
+    members = members.select("bucket", "node").join(settled, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("class"))
+    members = staged(members, "classed")
+    mixed = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rest = by_class(members.join(mixed, "bucket").withColumn("chars", F.lit(0).cast("bigint")), "bucket").join(signs.select("node", "sketch"), "node")
+    found = staged(by_group(rest, ["bucket", "x", "y"], lambda g: alike(g, k, least), _ALIKE, "node bigint, a bigint, b bigint"), "alike")
+    if found.isEmpty():
+        return settled
+
+    roots = components(found.select("a", "b"))
+    rest = found.select("node", F.col("a").alias("class")).distinct().join(roots.select(F.col("node").alias("class"), "root"), "class")
+    rest = by_class(staged(rest.join(signs.select("node", "chars"), "node"), "open"), "root").join(signs.select("node", "sketch"), "node").join(nodes.select("node", "text"), "node")
+    joined = components(by_group(rest, ["root", "x", "y"], lambda g: verified(g, threshold, k, least), _PAIR, "a bigint, b bigint"))
+    joined = staged(joined.select(F.col("node").alias("class"), F.col("root").alias("whole")), "joined")
+    old = settled.withColumnRenamed("root", "class").join(joined, "class", "left").select("node", F.coalesce("whole", "class").alias("root"))
+    alone = joined.join(settled, joined["class"] == settled["node"], "left_anti").select(F.col("class").alias("node"), F.col("whole").alias("root"))
+    return old.unionByName(alone)
+
+
+def keyed_classes(docs: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key of each row; key, copies, class_id, best for each distinct text of rows with a doc_id).
+
+    best: whether its first row stands for the class: the least doc_id, and of equal ones the least key.
+    """
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", F.md5(F.encode("text", "utf-8")).alias("key"))
+    nodes = keyed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    # Numbered as they are written, so that a number stays with its text.
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select("node", "key", "first", "copies").join(grouped(nodes, threshold, bands, rows), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = staged(named.select("root", "key", "first", "copies"), "named")
+    least = named.groupBy("root").agg(F.min(F.struct("first", "key")).alias("least"))
+    named = named.join(least, "root").select("key", "copies", F.col("least.first").alias("class_id"), (F.col("least.key") == F.col("key")).alias("best"))
+    return keyed.select("doc_id", "key"), named
 
 
 def classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), copies (rows with an equal text), for each row of docs."""
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", "text", F.md5(F.encode("text", "utf-8")).alias("key"))
-    copies = staged(keyed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "copies")
-    nodes = keyed.join(copies.select(F.col("node").alias("doc_id"), F.col("key").alias("_key")), "doc_id").where("key = _key").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
-    nodes = staged(nodes, "nodes")
-    roots = components(links(nodes, threshold, bands, rows))
-    named = copies.join(roots, "node", "left").select("key", "copies", F.coalesce("root", "node").alias("class_id"))
-    out = keyed.select("doc_id", "key").join(named, "key", "left")
+    keyed, named = keyed_classes(docs, threshold, bands, rows)
+    out = keyed.join(named, "key", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("copies")).alias("copies"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = NEAR_SIMILARITY) -> DataFrame:
-    """One row of docs for each class: that of its least doc_id; rows with a null doc_id stay. Columns as in docs."""
-    key = fresh("kept_id", docs.columns)
-    kept = staged(classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct(), "kept")
+    """One row of docs for each class: that of its least doc_id, and of several texts with that id the least by hash; rows with
+    a null doc_id stay. Columns as in docs."""
+    _, named = keyed_classes(docs, threshold)
+    names = [fresh(c, docs.columns) for c in ("kept_id", "kept_key")]
+    kept = staged(named.where("best").select(F.col("class_id").alias(names[0]), F.col("key").alias(names[1])), "kept")
     one = docs.where("doc_id is not null")
-    one = one.join(kept, one["doc_id"] == kept[key], "left_semi").dropDuplicates(["doc_id"])
+    key = F.md5(F.encode(F.coalesce(one["text"], F.lit("")), "utf-8"))
+    one = one.join(kept, (one["doc_id"] == kept[names[0]]) & (key == kept[names[1]])).dropDuplicates(["doc_id", names[1]]).drop(*names)
     return one.unionByName(docs.where("doc_id is null"))

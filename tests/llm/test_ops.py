@@ -37,9 +37,13 @@ def frame(spark, rows, extra=True):
 ODD = [(None, "null id " * 8), (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (5, "one"), (6, "a b c d e f g h i j k l " * 3000), (7, "ünï çødé — „text“ 漢字 " * 5), (7, "other text of a repeated id " * 4)]
 
 
-def shingles(text, n=5):
+def shingle_list(text, n=5):
     w = WORD.findall(text or "")
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+
+
+def shingles(text):
+    return set(shingle_list(text))
 
 
 # ------------------------------------------------------------------ common
@@ -139,8 +143,15 @@ def test_token_files_of_odd_rows(spark):
 
 # ------------------------------------------------------------------ 3 near duplicates
 def brute_classes(texts, threshold=0.8):
-    sets = {i: shingles(t) for i, t in texts.items()}
+    sets = {i: collections.Counter(shingle_list(t)) for i, t in texts.items()}
     up = {i: i for i in texts}
+
+    def near(a, b):
+        if not a or not b:
+            return False
+        plain, heavy = len(a.keys() & b.keys()) / len(a.keys() | b.keys()), (a & b).total() / (a | b).total()
+        return max(plain, heavy) >= threshold - 1e-12
+
     def root(x):
         while up[x] != x:
             x = up[x]
@@ -148,7 +159,7 @@ def brute_classes(texts, threshold=0.8):
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if (texts[a] or "") == (texts[b] or "") or sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12:
+            if (texts[a] or "") == (texts[b] or "") or near(sets[a], sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
@@ -183,10 +194,40 @@ def test_classes_of_odd_rows(spark):
     by = dict((r[0], r[1]) for r in got)
     assert by[1] == by[2] == 1 and by[3] == 3 and by[4] == by[5] == 4 and by[None] is None
     kept = minhash_dedup.deduplicated(frame(spark, ODD))
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 4, 6, 7] and kept.columns == frame(spark, ODD).columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 4, 6, 7, 7] and kept.columns == frame(spark, ODD).columns
     assert minhash_dedup.classes(frame(spark, ODD).where("false")).count() == 0
 
 
+def test_classes_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (9, b + " more"), (3, a), (3, a)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.class_id) for r in minhash_dedup.classes(df).collect()} == {(5, 3), (5, 5), (9, 5), (3, 3)}
+    assert sorted((r.doc_id, r.text) for r in minhash_dedup.deduplicated(df).collect()) == [(3, a), (5, b)]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_a_large_group_of_near_copies_and_repeats(spark, monkeypatch, block):
+    """Copies of one text with edits, chains of copies of copies, and texts whose repeats differ in number."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", block)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, base = {}, [word() for _ in range(120)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = word()
+        rows[i] = " ".join(w)
+    w = [word() for _ in range(120)]
+    for i in range(200, 260):
+        w[rng.randrange(len(w))] = word()
+        rows[i] = " ".join(w)
+    line = " ".join(word() for _ in range(12))
+    for i in range(300, 340):
+        rows[i] = "\n".join([" ".join(word() for _ in range(rng.randrange(4, 30))), *[line] * rng.randrange(2, 12)])
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -348,7 +389,46 @@ def test_quality_clean_removes_fallen_lines(spark):
     want = f"{good}\nAnother one follows, it has its own words, and it stays.\n{more}"
     got = quality_rules.clean(df)
     assert [tuple(r) for r in got.collect()] == [(1, want, len(want), "k")] and got.dtypes == df.dtypes
-    assert quality_rules.kept(df).first().text == rows[0][1]
+
+
+def brute_lines(t):
+    """The lines that stand, by the rules written out in Python."""
+    lines = list(dict.fromkeys(x for x in (t or "").split("\n") if WORD.search(x)))
+    count = lambda x: len(WORD.findall(x))
+    short = [count(x) <= 3 and not re.search(r"[.!?…。:;,][\"'”’»)\]]*[\x20\x09-\x0D]*$", x) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        menu = any(a >= 0 and a + 3 <= len(lines) and all(short[a : a + 3]) for a in (i - 2, i - 1, i))
+        symbols, dividers = len(re.findall(r"[#*$%&|<>]", x)), len(re.findall("[|»›·•]", x))
+        open_ = len(x) >= 240 and not re.search("[.!?;:,…。]", x) or count(x) >= 10 and not re.search("[.!?…。]", x)
+        if not (menu or symbols > len(x) * 0.1 or dividers * 20 > len(x) or open_ or len(x) <= 120 and re.search(quality_rules.BOILERPLATE, x)):
+            out.append(x)
+    return out
+
+
+def brute_clean(t):
+    """The cleaned text, or None where the document is rejected."""
+    n = brute_measures(t)
+    whole, good = sum(len(x) for x in (t or "").split("\n") if WORD.search(x)), brute_lines(t)
+    return None if n[0] < 10 or 100 * n[4] > 20 * n[0] or whole - sum(map(len, good)) > 0.5 * whole else "\n".join(good)
+
+
+def test_quality_clean_equals_brute_force(spark, texts):
+    prose, more, last = (" ".join(f"{k}{w}" for w in "plain sentence stands here with words enough to be read by all of us, whoever we are".split()) + "." for k in "abc")
+    made = {
+        901: f"Home\nAbout us\nContact\n{prose}\nIntroduction\n{more}\nA B\nC D\n{last}",
+        902: f"{prose}\nRead More about it here!\nwe said that we never read more of it, ever, though this line is long enough to stand beside them all as it is, being no part of any menu.\n© X. All rights reserved.",
+        903: f"{prose}\none two three four five six seven eight nine ten\none two three four five six seven eight nine\n{more}",
+        904: "Home\nHome\nAbout\nAbout\nNews,\nMore\nLess\n" + prose,
+        905: "Home\nAbout\nNews\n" * 40 + prose,
+        906: None,
+        907: prose + "\n" + "x " * 100_000,
+    }
+    rows = {**texts, **made}
+    got = {r.doc_id: r.text for r in quality_rules.clean(frame(spark, rows.items())).collect()}
+    want = {i: brute_clean(t) for i, t in rows.items()}
+    assert got == {i: t for i, t in want.items() if t is not None}
+    assert got[901] == f"{prose}\nIntroduction\n{more}\nA B\nC D\n{last}" and 907 not in got
 
 
 # ------------------------------------------------------------------ 6 repeated passages
