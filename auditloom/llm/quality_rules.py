@@ -1,9 +1,10 @@
 """Line-first quality rules, with DataFrame functions only.
 
-Rules are read line by line: a line falls when punctuation or symbols drown its words, when it is a row of menu
-entries, when it repeats an earlier line, or when it runs on without any sentence mark. A document that loses more than
-a stated share of its characters is rejected, whatever lines it keeps. clean() removes the fallen lines of the others;
-judge() and kept() leave texts as they are.
+Rules are read line by line. Punctuation: a line falls when symbols drown its words, when it runs on without any
+sentence mark, or when it has many words and no sentence ends in it. Navigation: when dividers part it into menu entries,
+or when it stands in a run of lines of few words that neither end nor pause a sentence. Boilerplate: when it is short and
+has a phrase of page furniture, or when it repeats an earlier line. Fallen lines are removed; then a document that lost
+more than a stated share of its characters is rejected, whatever lines it keeps.
 
 Edge cases: a null, empty or blank text has no words and fails the base test; extra columns are carried untouched;
 each row is judged by itself, so repeated rows get equal verdicts; an empty table gives an empty table.
@@ -11,6 +12,9 @@ each row is judged by itself, so repeated rows get equal verdicts; an empty tabl
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,14 @@ from auditloom.llm.common import SPACE_CLASS, words_of
 SYMBOLS = "[#*$%&|<>]"
 SENTENCE_MARKS = "[.!?;:,…。]"
 MENU_DIVIDERS = "[|»›·•]"
+#: A word; marks that end a sentence; marks behind which a line may stop; phrases of page furniture.
+WORD = rf"[^{SPACE_CLASS}]+"
+SENTENCE_ENDS = "[.!?…。]"
+PAUSE_AT_END = rf"[.!?…。:;,][\"'”’»)\]]*[{SPACE_CLASS}]*$"
+BOILERPLATE = (
+    "(?i)(all rights reserved|terms of use|terms of service|privacy policy|cookie policy|uses? cookies|accept cookies|enable javascript|javascript is disabled|click here|read more|"
+    "sign in|sign up|log in|subscribe to|newsletter|share this|follow us|powered by|skip to (main )?content|back to top|add to cart)"
+)
 WINDOW = 5
 
 
@@ -40,42 +52,56 @@ def words_under(starts: Column) -> Column:
     )
 
 
-def line_verdicts(lines: Column, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int) -> Column:
-    """Array of (n: characters, bad: whether the line falls) for these lines."""
+def menu_like(line: Column, menu_words: int) -> Column:
+    """Whether a line has few words and neither ends nor pauses a sentence, as the entries of menus do."""
+    return (F.regexp_count(line, F.lit(WORD)) <= menu_words) & ~line.rlike(PAUSE_AT_END)
 
-    def judge(line: Column) -> Column:
-        n = F.length(line)
-        symbols = F.regexp_count(line, F.lit(SYMBOLS))
-        dividers = F.regexp_count(line, F.lit(MENU_DIVIDERS))
-        bad = (symbols > n * max_symbol_share) | (dividers * menu_entry_chars > n) | ((n >= run_on_chars) & ~line.rlike(SENTENCE_MARKS))
-        return F.struct(n.cast("bigint").alias("n"), bad.alias("bad"))
 
-    return F.transform(lines, judge)
+def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int, open_words: int, boilerplate_chars: int) -> Column:
+    """Whether a line falls by what it is itself."""
+    n = F.length(line)
+    symbols = F.regexp_count(line, F.lit(SYMBOLS)) > n * max_symbol_share
+    dividers = F.regexp_count(line, F.lit(MENU_DIVIDERS)) * menu_entry_chars > n
+    run_on = (n >= run_on_chars) & ~line.rlike(SENTENCE_MARKS)
+    unended = (F.regexp_count(line, F.lit(WORD)) >= open_words) & ~line.rlike(SENTENCE_ENDS)
+    return symbols | dividers | run_on | unended | ((n <= boilerplate_chars) & line.rlike(BOILERPLATE))
 
 
-#: Columns that measure() and judge() add.
+#: Columns that judge() adds: counts, the lines that stand, and verdicts.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "lost_chars"]
+CLEANED = "clean_text"
 VERDICTS = ["base_failed", "kept"]
+#: Bounds of the line rules.
+RULES = {"max_symbol_share": 0.1, "menu_entry_chars": 20, "run_on_chars": 240, "open_words": 10, "boilerplate_chars": 120, "menu_words": 3, "menu_lines": 3}
 
 
-def _judged(docs: DataFrame, max_lost_share: float, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int) -> DataFrame:
-    """_row (the row as it came), MEASURES and VERDICTS.
+def _judged(docs: DataFrame, max_lost_share: float, **rules: float) -> DataFrame:
+    """_row (the row as it came), MEASURES, CLEANED and VERDICTS.
 
     Arrays that a lambda reads by place stand in projections of their own: within the lambda they would be built anew
     for each element. Only texts with a repeated run, few of them, are sorted to find where repeats lie.
     """
+    rules = {**RULES, **rules}
+    menu_words, menu_lines = rules.pop("menu_words"), int(rules.pop("menu_lines"))
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"))
     rows = rows.select("_row", words_of(F.col("_row.text")).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias("_lines"))
     rows = rows.select("*", window_hashes_of(F.col("_words")).alias("_hashes"), F.array_distinct("_lines").alias("_distinct"))
     placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.select("*", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed).alias("_placed"))
+    short = F.transform("_distinct", lambda x: menu_like(x, menu_words))
+    rows = rows.select("*", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed).alias("_placed"), short.alias("_short"))
     same = lambda x, other: F.coalesce(x["h"] == F.get("_placed", other)["h"], F.lit(False))
     starts = F.array_sort(F.transform(F.filter("_placed", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
-    verdicts = line_verdicts(F.col("_distinct"), max_symbol_share, menu_entry_chars, run_on_chars)
+
+    def in_menu(i: Column) -> Column:
+        at = [F.coalesce(F.get("_short", i + d), F.lit(False)) for d in range(1 - menu_lines, menu_lines)]
+        return functools.reduce(operator.or_, (functools.reduce(operator.and_, at[d : d + menu_lines]) for d in range(menu_lines)))
+
+    verdicts = F.transform("_distinct", lambda x, i: F.struct(x.alias("line"), (falls(x, **rules) | in_menu(i)).alias("bad")))
+    rows = rows.select("_row", "_words", "_lines", "_distinct", starts.alias("_starts"), F.transform(F.filter(verdicts, lambda v: ~v["bad"]), lambda v: v["line"]).alias("_good"))
     chars = F.length(F.array_join("_words", "")).cast("bigint")
     line_chars = F.aggregate("_lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    kept = F.aggregate(verdicts, F.lit(0).cast("bigint"), lambda a, v: a + F.when(v["bad"], F.lit(0).cast("bigint")).otherwise(v["n"]))
+    good_chars = F.aggregate("_good", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     base = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
     # A filter on what explode() makes stays above it; else Spark would copy these expressions into the filter.
     rows = rows.select(
@@ -87,41 +113,34 @@ def _judged(docs: DataFrame, max_lost_share: float, max_symbol_share: float, men
                     chars.alias("word_chars"),
                     F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
                     (F.size("_lines") - F.size("_distinct")).cast("bigint").alias("n_dup_lines"),
-                    F.coalesce(words_under(starts), F.lit(0).cast("bigint")).alias("n_repeat_words"),
+                    F.coalesce(words_under(F.col("_starts")), F.lit(0).cast("bigint")).alias("n_repeat_words"),
                     line_chars.alias("line_chars"),
-                    kept.alias("_kept_chars"),
+                    good_chars.alias("_good_chars"),
+                    F.array_join("_good", "\n").alias("clean_text"),
                 )
             )
         ).alias("m"),
     )
-    rows = rows.select("_row", *(F.col(f"m.{c}") for c in MEASURES[:-1]), (F.col("m.line_chars") - F.col("m._kept_chars")).alias("lost_chars"), base.alias("base_failed"))
+    rows = rows.select("_row", *(F.col(f"m.{c}") for c in MEASURES[:-1]), (F.col("m.line_chars") - F.col("m._good_chars")).alias("lost_chars"), F.col(f"m.{CLEANED}").alias(CLEANED), base.alias("base_failed"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_lost_share * F.col("line_chars")))
 
 
-def judge(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float = 0.1, menu_entry_chars: int = 20, run_on_chars: int = 240) -> DataFrame:
-    """Each row of docs with MEASURES (long) and VERDICTS (boolean); columns of docs with such a name give way.
+def judge(docs: DataFrame, max_lost_share: float = 0.5, **rules: float) -> DataFrame:
+    """Each row of docs with MEASURES (long), CLEANED (string) and VERDICTS (boolean); columns of docs with such a name give way.
 
-    kept: not base_failed, and at most max_lost_share of the characters of lines with a word lie on fallen or repeated lines.
+    kept: not base_failed, and at most max_lost_share of the characters of lines with a word lie on fallen or repeated
+    lines. rules: other values for RULES.
     """
-    out = _judged(docs, max_lost_share, max_symbol_share, menu_entry_chars, run_on_chars)
-    return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in MEASURES + VERDICTS), *MEASURES, *VERDICTS)
+    out = _judged(docs, max_lost_share, **rules)
+    return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in [*MEASURES, CLEANED, *VERDICTS]), *MEASURES, CLEANED, *VERDICTS)
 
 
-def clean(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float = 0.1, menu_entry_chars: int = 20, run_on_chars: int = 240) -> DataFrame:
+def clean(docs: DataFrame, max_lost_share: float = 0.5, **rules: float) -> DataFrame:
     """The rows of docs that judge() keeps, without their fallen, repeated and blank lines, with exactly the columns of docs.
 
     n_chars, where docs has it, is counted anew. Lines that stand are joined by a line feed.
     """
-    rows = _judged(docs, max_lost_share, max_symbol_share, menu_entry_chars, run_on_chars).where("kept").select("_row")
-    lines = F.array_distinct(F.filter(F.split(F.col("_row.text"), "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
-    rows = rows.select("_row", lines.alias("_lines"))
-    rows = rows.select("_row", F.arrays_zip("_lines", line_verdicts(F.col("_lines"), max_symbol_share, menu_entry_chars, run_on_chars).alias("v")).alias("_lines"))
-    rows = rows.select("_row", F.array_join(F.transform(F.filter("_lines", lambda x: ~x["v"]["bad"]), lambda x: x["_lines"]), "\n").alias("_text"))
-    anew = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    rows = _judged(docs, max_lost_share, **rules).where("kept")
+    anew = {"text": F.col(CLEANED), "n_chars": F.length(CLEANED)}
     types = dict(docs.dtypes)
     return rows.select(*(anew[c].cast(types[c]).alias(c) if c in anew else F.col(f"_row.`{c}`") for c in docs.columns))
-
-
-def kept(docs: DataFrame, max_lost_share: float = 0.5, max_symbol_share: float = 0.1, menu_entry_chars: int = 20, run_on_chars: int = 240) -> DataFrame:
-    """The rows of docs that judge() keeps, as they came."""
-    return _judged(docs, max_lost_share, max_symbol_share, menu_entry_chars, run_on_chars).where("kept").select("_row.*")

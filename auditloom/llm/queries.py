@@ -39,7 +39,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = quality_rules.judge(docs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.length("clean_text").cast("bigint").alias("clean_chars"), F.md5(F.encode("clean_text", "utf-8")).alias("clean_md5"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +98,34 @@ ORACLE_SQL = {
             SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM tagged WHERE c > 1
         ), reps AS (
             SELECT doc_id, sum(least(5, i - coalesce(before, -5))) AS n FROM starts GROUP BY doc_id
-        ), bad AS (
-            SELECT doc_id, list_filter(list_distinct(l), lambda x:
-                     NOT (length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > length(x) * 0.1
-                      OR length(regexp_replace(x, '[^|»›·•]', '', 'g')) * 20 > length(x)
-                      OR (length(x) >= 240 AND NOT regexp_matches(x, '[.!?;:,…。]')))) AS good FROM w
+        ), lines AS (
+            SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w) GROUP BY doc_id, x
+        ), seen AS (
+            SELECT doc_id, x, i, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+                   len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 3 AND NOT regexp_matches(x, '[.!?…。:;,]["''”’»)\]]*[\x20\x09-\x0D]*$') AS short FROM lines
+        ), menu AS (
+            SELECT doc_id, x, i, n, coalesce(short AND (lag(short, 1) OVER o AND (lag(short, 2) OVER o OR lead(short, 1) OVER o) OR lead(short, 1) OVER o AND lead(short, 2) OVER o), false) AS menu
+            FROM seen WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), good AS (
+            SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS clean, sum(length(x)) AS good_chars FROM menu
+            WHERE NOT (menu
+                OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > length(x) * 0.1
+                OR length(regexp_replace(x, '[^|»›·•]', '', 'g')) * 20 > length(x)
+                OR (length(x) >= 240 AND NOT regexp_matches(x, '[.!?;:,…。]'))
+                OR (n >= 10 AND NOT regexp_matches(x, '[.!?…。]'))
+                OR (length(x) <= 120 AND regexp_matches(x, '{quality_rules.BOILERPLATE}')))
+            GROUP BY doc_id
         ), m AS (
             SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
                    length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                    len(w.l) - len(list_distinct(w.l)) AS n_dup_lines, CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words,
-                   length(array_to_string(w.l, '')) AS line_chars, length(array_to_string(bad.good, '')) AS good_chars
-            FROM w JOIN bad USING (doc_id) LEFT JOIN reps USING (doc_id)
+                   length(array_to_string(w.l, '')) AS line_chars, coalesce(good_chars, 0) AS good_chars, coalesce(clean, '') AS clean
+            FROM w LEFT JOIN good USING (doc_id) LEFT JOIN reps USING (doc_id)
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_chars - good_chars <= 0.5 * line_chars AS kept FROM m""",
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_chars - good_chars <= 0.5 * line_chars AS kept,
+               CAST(length(clean) AS BIGINT) AS clean_chars, md5(clean) AS clean_md5 FROM m""",
     "op8_decontamination": rf"""
         WITH d AS (
             SELECT doc_id, {_WORDS} AS w FROM documents
