@@ -9,6 +9,8 @@ coordinate with probability over 0.88, so a contained item of ten shingles stays
 That says nothing for shorter items: all shingles of items with fewer than ten are looked up among all shingles of each
 document, so none of those is missed.
 
+An index over all items goes to the tasks if its shingles are few enough; beyond that the same search is done by joins.
+
 Edge cases: null, empty and blank texts have no shingles, are never contaminated and contaminate nothing; a text of one
 to four words is one shingle; repeated rows give a row each; extra columns are ignored.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, chunks, rows_to_batch, staged, window_hashes, word_hashes
+from auditloom.llm.common import NEAR_SIMILARITY, SHINGLE_WORDS, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
 
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item_shingles", pa.int64())])
 _PAIRS_DDL = "doc_id bigint, item_id bigint, n_shared bigint, n_item_shingles bigint"
@@ -81,7 +83,7 @@ class Index:
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sizes = np.diff(self.cuts)
         short = np.repeat(sizes < SIGNED_SHINGLES, sizes)
-        values, items = self.hashes[short], np.repeat(np.arange(len(sizes)), sizes)[short]
+        values, items = self.hashes[short], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[short]
         order = np.argsort(values, kind="stable")
         self.short = values[order], items[order]
 
@@ -90,7 +92,7 @@ class Index:
         if bits not in self.classes:
             parts = [signature(self.hashes[a:b] if b - a >= SIGNED_SHINGLES else self.hashes[:0], bits) for a, b in zip(self.cuts, self.cuts[1:])]
             values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            items = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            items = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
             order = np.argsort(values, kind="stable")
             self.classes[bits] = values[order], items[order]
         return self.classes[bits]
@@ -119,48 +121,94 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, threshold: float, max_broadcast_shingles: int) -> list:
-    """Broadcast indexes over all items. Their shingles are counted first; each index holds about max_broadcast_shingles
-    at most (8 bytes each), so more items mean more passes over the documents, not larger broadcasts."""
-    spark = items.sparkSession
-    table = staged(exploded(items.where("item_id is not null"), "item_id").distinct(), "items")
-    rounds = max(1, -(-table.count() // max_broadcast_shingles))
-    out = []
-    for i in range(rounds):
-        rows = table.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i).toArrow()
-        out.append(spark.sparkContext.broadcast(Index(rows.column("id").to_numpy(), rows.column("hash").to_numpy().view(np.uint64), threshold)))
-    return out
+def small_index(table: DataFrame, threshold: float, max_broadcast_shingles: int):
+    """A broadcast index over the item shingles (id, hash), or None if there are more than max_broadcast_shingles (8 bytes each,
+    and 12 again for each size class in use)."""
+    if table.count() > max_broadcast_shingles:
+        return None
+    rows = table.toArrow()
+    return table.sparkSession.sparkContext.broadcast(Index(rows.column("id").to_numpy(), rows.column("hash").to_numpy().view(np.uint64), threshold))
+
+
+def item_shingles(items: DataFrame) -> DataFrame:
+    return staged(exploded(items.where("item_id is not null"), "item_id").distinct(), "items")
+
+
+def signed(sets: DataFrame, classes: list[int] | None = None) -> DataFrame:
+    """id, bits, value: the signatures of sets (id, hashes: all of a text's), under each of these classes or else their own.
 
+    bits 0: all shingles, of items that are too short to be signed, or else of all texts.
+    """
+    schema = pa.schema([("id", pa.int64()), ("bits", pa.int32()), ("value", pa.int64())])
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY, max_broadcast_shingles: int = 2_000_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, hashes in zip(batch.column("id").to_pylist(), batch.column("hashes")):
+                own = np.sort(np.asarray(hashes.values).view(np.uint64))
+                if not len(own):
+                    continue
+                signs = {0: own} if classes is None or len(own) < SIGNED_SHINGLES else {}
+                if classes is None or len(own) >= SIGNED_SHINGLES:
+                    signs |= {bits: signature(own, bits) for bits in (classes if classes is not None else [size_class(len(own))])}
+                for bits, values in signs.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i)), pa.array(np.full(len(values), bits, dtype=np.int32)), pa.array(values.view(np.int64))], schema=schema)
+
+    return sets.select("id", "hashes").mapInArrow(run, "id bigint, bits int, value bigint")
+
+
+def joined(docs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """row, item_id, n_shared, n_item_shingles for docs (row, text) and item shingles (id, hash) of any number.
+
+    The same search as by an index, as joins: signatures meet on (size class, value), all shingles of short items on the
+    shingle, and candidates' shared shingles are counted. A document is dealt out by its shingles, so none is a hot spot.
+    """
+    own = staged(exploded(docs, "row"), "shingles")
+    sets = staged(own.groupBy("id").agg(F.collect_list("hash").alias("hashes")), "sets")
+    longest = sets.agg(F.max(F.size("hashes"))).first()[0] or 1
+    items = table.groupBy("id").agg(F.collect_list("hash").alias("hashes"))
+    met = signed(sets).join(signed(items, list(range(size_class(1), size_class(longest) + 1))).withColumnRenamed("id", "item_id"), ["bits", "value"])
+    met = staged(met.select(F.col("id").alias("row"), "item_id").distinct(), "met")
+    shared = met.join(table.select(F.col("id").alias("item_id"), "hash"), "item_id").join(own.select(F.col("id").alias("row"), "hash"), ["row", "hash"])
+    shared = shared.groupBy("row", "item_id").agg(F.count("*").alias("n_shared")).join(items.select(F.col("id").alias("item_id"), F.size("hashes").cast("bigint").alias("n_item_shingles")), "item_id")
+    return shared.where(F.col("n_shared") >= threshold * F.col("n_item_shingles") - 1e-9)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY, max_broadcast_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_shared, n_item_shingles of all pairs where the document holds at least `threshold` of the item's shingles."""
-    out = None
-    for index in indexes(items, threshold, max_broadcast_shingles):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = index.value.search
-            for batch in batches:
-                rows = []
-                for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    for doc_id, s in zip(ids, shingles_of(texts)):
-                        rows += [(doc_id, *x) for x in search(s)]
-                yield rows_to_batch(rows, _PAIRS)
-
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PAIRS_DDL)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def clean(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY, max_broadcast_shingles: int = 2_000_000) -> DataFrame:
-    """The rows of docs that hold no test item. Rows are tested where they lie; nothing is shuffled."""
-    for index in indexes(items, threshold, max_broadcast_shingles):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            search = index.value.search
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                free = [not search(s) for _, part in chunks(texts, texts) for s in shingles_of(part)]
-                yield batch.filter(pa.array(free, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    table = item_shingles(items)
+    index = small_index(table, threshold, max_broadcast_shingles)
+    if index is None:
+        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        return docs.select("row", "doc_id").join(joined(docs, table, threshold), "row").select("doc_id", "item_id", "n_shared", "n_item_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = index.value.search
+        for batch in batches:
+            rows = []
+            for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for doc_id, s in zip(ids, shingles_of(texts)):
+                    rows += [(doc_id, *x) for x in search(s)]
+            yield rows_to_batch(rows, _PAIRS)
+
+    return docs.mapInArrow(run, _PAIRS_DDL)
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = NEAR_SIMILARITY, max_broadcast_shingles: int = 1_000_000) -> DataFrame:
+    """The rows of docs that hold no test item. With a broadcast index rows are tested where they lie; nothing is shuffled."""
+    table = item_shingles(items)
+    index = small_index(table, threshold, max_broadcast_shingles)
+    if index is None:
+        row = fresh("row", docs.columns)
+        numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = joined(numbered.select(F.col(row).alias("row"), "text"), table, threshold).select(F.col("row").alias(row)).distinct()
+        return numbered.join(found, row, "left_anti").select(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = index.value.search
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            free = [not search(s) for _, part in chunks(texts, texts) for s in shingles_of(part)]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
