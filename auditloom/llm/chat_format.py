@@ -31,7 +31,6 @@ from auditloom.llm.common import TokenBytes, rows_to_batch
 OPEN, CLOSE = "### ", "</turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|:")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _WINDOW = pa.schema(
     [("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("n_context", pa.int64()), ("n_new", pa.int64()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
@@ -56,9 +55,27 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
+def unescaped(text: str, mark: str, at: int) -> int:
+    """Place of the first mark from `at` on that no backslash escapes, by whole-string searches."""
+    while True:
+        found = text.index(mark, at)
+        start = found
+        while start > at and text[start - 1] == "\\":
+            start -= 1
+        if (found - start) % 2 == 0:
+            return found
+        at = found + 1
+
+
 def read_turns(window: str) -> list[tuple[str, str]]:
-    """(role, text) of the turns of a window."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(window)]
+    """(role, text) of the turns of a window. Reads by searches for marks, so memory is that of the texts."""
+    out, at = [], 0
+    while at < len(window):
+        colon = unescaped(window, ":", at + len(OPEN))
+        end = unescaped(window, CLOSE, colon + 2)
+        out.append((unescape(window[at + len(OPEN) : colon]), unescape(window[colon + 2 : end])))
+        at = end + len(CLOSE)
+    return out
 
 
 class Turn:
