@@ -9,7 +9,7 @@ before the shuffle), and shards are read off these totals level by level. Prefix
 again some bits deeper, and only those, until all bits are used; a row that alone exceeds the limit has a shard to itself.
 
 Edge cases: null texts count no bytes; null keys are hashed as a key of their own; repeated rows are told apart by a
-number of the row, so they may split too; extra columns are carried; an empty table has no shards.
+number of the row, which is written with it, so they may split too; extra columns are carried; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -94,6 +94,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", limit: int = 64 << 20) -> Data
     names = [c for c in docs.columns if c not in ("shard_depth", "shard", "shard_bytes", "shard_rows")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.monotonically_increasing_id().alias("_n"))
     rows = rows.select("_row", hash_of(F.col(f"_row.`{key}`"), F.col("_n")).alias("hash"), F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("bigint").alias("bytes"))
+    rows = staged(rows, "hashed")  # so that a row has one hash, whatever its source does when it is read again
     out = assigned(rows.select("_row", "hash"), staged(directory(rows.select("hash", "bytes"), limit), "shards"))
     return out.select("_row.*", F.col("at.depth").alias("shard_depth"), F.col("at.shard").alias("shard"), F.col("at.bytes").alias("shard_bytes"), F.col("at.n_rows").alias("shard_rows"))
 
