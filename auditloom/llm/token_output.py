@@ -4,7 +4,7 @@ Files hold ascending document ids: rows are dealt by range and sorted before enc
 id ranges. Readers prune stripes by the row index, skip row groups by the Bloom filter, and read stripes in parallel.
 
 Edge cases: a null text is an empty one and yields the end id alone; rows with a null document id come first; repeated
-ids stay separate rows; extra columns aren't written; an empty table gives files without rows.
+ids stay separate rows, in the order of a hash of their texts; extra columns aren't written; an empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ def encoder(tokenizer_path: str, end_id: int = END_ID):
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = 64 << 20, index_stride: int = 10_000) -> None:
     """Writes documents (doc_id, text) to ORC files in ascending doc_id order."""
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row"))
+    order = "doc_id", "of_text", "row"  # rows of one id, or without one, may fill several ranges
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(encoder(tokenizer_path, end_id), "part int, seq bigint, doc_id bigint, first bigint, n_tokens bigint, ids array<int>")
     options = {
         "orc.compress": "ZSTD",
