@@ -26,9 +26,11 @@ NEAR_SIMILARITY = 0.8
 
 # ---------------------------------------------------------------- staged tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session (tests) may leave it unset and gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-auditloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

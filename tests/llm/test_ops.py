@@ -131,6 +131,43 @@ def test_token_files_round_trip(spark, docs, texts):
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in one._jdf.queryExecution().toString()
 
 
+def orc_of(spark, path):
+    """(stripes, those with a Bloom filter and a row index of doc_id) of all files, from their footers."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    stripes = held = 0
+    for f in folder.getFileSystem(conf).listStatus(folder):
+        if f.getPath().getName().endswith(".orc"):
+            reader = jvm.org.apache.orc.OrcFile.createReader(f.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+            column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+            rows = reader.rows()
+            for stripe in reader.getStripes():
+                kinds = {x.getKind().toString() for x in rows.readStripeFooter(stripe).getStreamsList() if x.getColumn() == column}
+                stripes += 1
+                held += {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+            rows.close()
+    return stripes, held
+
+
+def test_token_files_have_stripes_and_filters(spark, docs):
+    path = common.shared_path(spark, "t")
+    many = docs.select((F.col("doc_id") * 400).alias("doc_id"), "text").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(59)))).select((F.col("doc_id") + F.col("n")).alias("doc_id"), F.col("text")).coalesce(1)
+    token_output.write(many, path, queries.TOKENIZER, stripe_bytes=1 << 18, index_stride=1000)
+    stripes, held = orc_of(spark, path)
+    assert stripes == held and stripes > 2
+    assert token_output.read(spark, path).where("doc_id = 6800").count() == 1
+
+
+def test_token_files_of_a_hot_id(spark):
+    path = common.shared_path(spark, "t")
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_output.write(rows, path, queries.TOKENIZER)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r[0] for r in token_output.read(spark, path).groupBy("part").count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000 and sum(sizes) == 4000
+
+
 def test_token_files_of_odd_rows(spark):
     path = common.shared_path(spark, "t")
     token_output.write(frame(spark, ODD), path, queries.TOKENIZER)
@@ -654,6 +691,8 @@ def test_containment(spark, docs, texts):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id bigint, text string, item_id int")
     assert sorted(map(tuple, decontaminate.contained(df, items).collect())) == want and any(w[0] == 9001 for w in want)
     assert sorted(map(tuple, decontaminate.contained(df, items, max_broadcast_shingles=300).collect())) == want
+    joined = decontaminate.clean(df, items, max_broadcast_shingles=300)
+    assert joined.columns == df.columns and {r.doc_id for r in joined.collect()} == set(rows) - {w[0] for w in want}
     clean = decontaminate.clean(df, items)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(rows) - {w[0] for w in want}
 
@@ -668,14 +707,17 @@ def test_short_items_are_never_missed(spark):
         docs.append((i, " ".join([*(f"a{i}_{j}" for j in range(size)), *item, *(f"b{i}_{j}" for j in range(size // 3))])))
         want.append((i, i, max(1, n - 4), max(1, n - 4)))
     docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    assert sorted(map(tuple, decontaminate.contained(docs, items).collect())) == want
-    assert decontaminate.clean(docs, items).count() == 0
+    for bound in (1_000_000, 0):
+        assert sorted(map(tuple, decontaminate.contained(docs, items, max_broadcast_shingles=bound).collect())) == want
+        assert decontaminate.clean(docs, items, max_broadcast_shingles=bound).count() == 0
 
 
 def test_containment_of_odd_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "one"), (3, "one"), (3, "one"), (4, "one two three")], "item_id bigint, text string")
-    got = sorted(map(tuple, decontaminate.contained(frame(spark, ODD), items).collect()))
-    assert got == [(4, 3, 1, 1), (5, 3, 1, 1), (5, 3, 1, 1)]
+    for bound in (1_000_000, 0):
+        got = sorted(map(tuple, decontaminate.contained(frame(spark, ODD), items, max_broadcast_shingles=bound).collect()))
+        assert got == [(4, 3, 1, 1), (5, 3, 1, 1), (5, 3, 1, 1)]
+        assert decontaminate.clean(frame(spark, ODD), items, max_broadcast_shingles=bound).count() == len(ODD) - 3
     assert decontaminate.contained(frame(spark, ODD), items.where("false")).count() == 0
     assert decontaminate.clean(frame(spark, ODD).where("false"), items).count() == 0
 
@@ -722,6 +764,26 @@ def test_chat_of_the_test_conversations(spark):
     assert got == chat_digest([tuple(r) for r in rows.collect()])
 
 
+def test_chat_turn_of_many_million_characters():
+    """Writing and reading a turn of 20 million characters takes a small multiple of its size."""
+    import tracemalloc
+
+    text = ("word " * 40 + r"a < b \### c </turn> \\ ") * 90_000
+    tracemalloc.start()
+    turn, start, end = chat_format.format_turn("user", text)
+    [(role, read)] = chat_format.read_turns(turn)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, read) == ("user", text) and chat_format.unescape(turn[start:end]) == text and len(text) > 20_000_000
+    assert peak < 8 * len(text)
+
+
+@pytest.mark.parametrize("role,text", [("a:\\", "\\"), ("", ""), (":", "</turn>"), ("\\:", "\\</turn>\n### x: "), ("###", "\\\\"), ("a", "x\\\n</turn>\n"), ("a: b", ": ")])
+def test_chat_turns_of_controls(role, text):
+    window = "".join(chat_format.format_turn(*x)[0] for x in ((role, text), (text, role)))
+    assert chat_format.read_turns(window) == [(role, text), (text, role)]
+
+
 # ------------------------------------------------------------------ 10 quality classifier
 def test_classifier_ranks_held_out_texts(spark):
     d = "/root/testdata/sf0.01"
