@@ -12,7 +12,7 @@ one signature for both; others have two, and bands of both.
 
 Plan: equal texts fold into one node; band hashes of signatures give buckets; buckets with the same members count once.
 Settling: every member of a bucket is compared exactly with one node of a bucket, the first of those it meets most, so
-that a large group of copies becomes a class in linear work. The rest: in buckets that still hold several classes,
+that a large group of copies becomes a class in linear work; texts are fetched only for pairs whose signatures look alike. The rest: in buckets that still hold several classes,
 members of different classes are compared by short signatures, and the nodes that look alike across classes exactly.
 Large buckets are dealt out as pairs of bounded blocks; blocks of one class aren't paired. All pairs of different classes
 in a bucket are compared, so a link is lost only if a pair at the threshold meets in no band (below 1e-6 with the
@@ -42,58 +42,95 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _ALIKE = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> np.ndarray:
-    """uint64 signatures (documents x k) of documents that own consecutive runs of `counts` elements. weights None: all 1.
+def thrown(elements: np.ndarray, weights: np.ndarray | None, docs: np.ndarray, bound: np.ndarray, k: int, skip_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coordinate, numbered over all documents; rank; dart) of the darts of elements that docs own, up to bound[document].
 
-    Documents without elements get zeros. Elements may repeat within a document if weights is None.
+    Strips of weight are [0, 1), [1, 2), [2, 4) and so on. skip_first leaves out the first.
+    """
+    keys, ranks, darts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)]
+    low, width, strip = (1.0, 1.0, 1) if skip_first else (0.0, 1.0, 0)
+    top = 1.0 if weights is None or not len(weights) else float(weights.max())
+    while low < top:
+        e, d, w = elements, docs, weights
+        if low:
+            far = w > low
+            e, d, w = e[far], d[far], w[far]
+        seed = mix64(e ^ np.uint64((strip * 0x51_7C_C1_B7_27_22_0A_95) & 0xFFFFFFFFFFFFFFFF))
+        rank = np.zeros(len(e))
+        number = 0
+        while len(e):
+            number += 1
+            u = mix64(seed + np.uint64((number * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF))
+            rank = rank - np.log((u >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / width
+            near = rank <= bound[d]
+            e, d, seed, rank, u = e[near], d[near], seed[near], rank[near], u[near]
+            dart = mix64(u + np.uint64(0x632BE59BD9B4E019))
+            hit = slice(None)
+            if w is not None:
+                w = w[near]
+                hit = low + width * (mix64(dart) >> np.uint64(11)).astype(float) * 2.0**-53 < w
+            keys.append(d[hit] * k + (dart[hit] % np.uint64(k)).astype(np.int64))
+            ranks.append(rank[hit])
+            darts.append(dart[hit])
+        low, width, strip = low + width, (low + width), strip + 1
+    return np.concatenate(keys), np.concatenate(ranks), np.concatenate(darts)
+
+
+def earliest(n: int, k: int, *some: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(dart, rank) tables, n documents x k, of the earliest of some darts on each coordinate; 0 and inf where there is none."""
+    key, rank, dart = (np.concatenate(x) for x in zip(*some))
+    late_first = np.argsort(-rank, kind="stable")
+    flat, ranks = np.zeros(n * k, dtype=np.uint64), np.full(n * k, np.inf)
+    flat[key[late_first]], ranks[key[late_first]] = dart[late_first], rank[late_first]  # the earliest dart of a coordinate is written last
+    return flat.reshape(n, k), ranks.reshape(n, k)
+
+
+def bound_of(mass: np.ndarray, k: int) -> np.ndarray:
+    return k * (np.log(k) + 2) / np.maximum(mass, 1e-12)
+
+
+def ranked_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uint64 signatures, their darts' ranks), documents x k, of documents that own consecutive runs of `counts` elements.
+
+    weights None: all 1; then elements may repeat within a document. Documents without elements get zeros.
     """
     docs = np.repeat(np.arange(len(counts)), counts)
-    mass = counts.astype(float) if weights is None else np.bincount(docs, weights, minlength=len(counts))
-    bound = k * (np.log(k) + 2) / np.maximum(mass, 1e-12)
-    out = np.zeros((len(counts), k), dtype=np.uint64)
+    bound = bound_of(counts.astype(float) if weights is None else np.bincount(docs, weights, minlength=len(counts)), k)
+    out, ranks = np.zeros((len(counts), k), dtype=np.uint64), np.full((len(counts), k), np.inf)
     todo = np.flatnonzero(counts)
-    top = 1.0 if weights is None or not len(weights) else float(weights.max())
     while len(todo):
         chosen = np.zeros(len(counts), dtype=bool)
         chosen[todo] = True
         own = chosen[docs]
-        keys, ranks, darts = [], [], []
-        low, width, strip = 0.0, 1.0, 0
-        while low < top:
-            e, d = elements[own], docs[own]
-            w = None if weights is None else weights[own]
-            if low:
-                far = w > low
-                e, d, w = e[far], d[far], w[far]
-            seed = mix64(e ^ np.uint64((strip * 0x51_7C_C1_B7_27_22_0A_95) & 0xFFFFFFFFFFFFFFFF))
-            rank = np.zeros(len(e))
-            number = 0
-            while len(e):
-                number += 1
-                u = mix64(seed + np.uint64((number * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF))
-                rank = rank - np.log((u >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / width
-                near = rank <= bound[d]
-                e, d, seed, rank, u = e[near], d[near], seed[near], rank[near], u[near]
-                dart = mix64(u + np.uint64(0x632BE59BD9B4E019))
-                hit = slice(None)
-                if w is not None:
-                    w = w[near]
-                    hit = low + width * (mix64(dart) >> np.uint64(11)).astype(float) * 2.0**-53 < w
-                keys.append(d[hit] * k + (dart[hit] % np.uint64(k)).astype(np.int64))
-                ranks.append(rank[hit])
-                darts.append(dart[hit])
-            low, width, strip = low + width, (low + width), strip + 1
-        key, rank, dart = np.concatenate(keys), np.concatenate(ranks), np.concatenate(darts)
-        late_first = np.argsort(-rank, kind="stable")
-        flat = np.zeros(len(counts) * k, dtype=np.uint64)
-        flat[key[late_first]] = dart[late_first]  # the earliest dart of a coordinate is written last
-        table = flat.reshape(len(counts), k)
+        table, at = earliest(len(counts), k, thrown(elements[own], None if weights is None else weights[own], docs[own], bound, k))
         full = np.zeros(len(counts), dtype=bool)
         full[todo] = (table[todo] != 0).all(axis=1)
-        out[full] = table[full]
+        out[full], ranks[full] = table[full], at[full]
         todo = todo[~full[todo]]
         bound[todo] *= 2
-    return out
+    return out, ranks
+
+
+def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> np.ndarray:
+    return ranked_signatures(elements, weights, counts, k)[0]
+
+
+def weighted_from_plain(plain: np.ndarray, ranks: np.ndarray, elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Weighted signatures of documents with distinct elements whose plain ones, and ranks, are known.
+
+    The plain darts are those of the first strip, so only the weight above 1 throws anew.
+    """
+    docs = np.repeat(np.arange(len(counts)), counts)
+    bound = bound_of(np.bincount(docs, weights, minlength=len(counts)), k)
+    known = ranks <= bound[:, None]
+    first = np.flatnonzero(known), ranks[known], plain[known]
+    more = weights > 1
+    table, _ = earliest(len(counts), k, first, thrown(elements[more], weights[more], docs[more], bound, k, skip_first=True))
+    open_ = np.flatnonzero(~(table != 0).all(axis=1))
+    if len(open_):
+        own = np.isin(docs, open_)
+        table[open_] = dart_signatures(elements[own], weights[own], counts[open_], k)
+    return table
 
 
 def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -111,11 +148,21 @@ def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.nda
     return (np.concatenate(runs) if runs else words), np.array([len(r) for r in runs], dtype=np.int64)
 
 
-def weighted(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements of each document with their numbers of occurrences as weights."""
+def weighted(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents that repeat an element; their distinct elements; the numbers of occurrences as weights; how many each has)."""
     cuts = np.cumsum([0, *counts])
-    parts = [np.unique(elements[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:])]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float), np.array([len(p[0]) for p in parts])
+    parts = {}
+    for d, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        ordered = np.sort(elements[a:b])
+        if (ordered[1:] == ordered[:-1]).any():
+            parts[d] = np.unique(ordered, return_counts=True)
+    empty = [np.zeros(0, np.uint64)]
+    return (
+        np.array(list(parts), dtype=np.int64),
+        np.concatenate(empty + [p[0] for p in parts.values()]),
+        np.concatenate([np.zeros(0)] + [p[1].astype(float) for p in parts.values()]),
+        np.array([len(p[0]) for p in parts.values()], dtype=np.int64),
+    )
 
 
 def signed(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -129,11 +176,9 @@ def signed(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         for batch in batches:
             for ids, texts in chunks(batch.column("node").to_pylist(), batch.column("text").to_pylist(), 1 << 20):
                 elements, counts = shingles(texts)
-                plain = dart_signatures(elements, None, counts, k)
-                distinct, weights, sizes = weighted(elements, counts)
-                twice = np.flatnonzero(sizes < counts)  # documents that repeat a shingle
-                own = np.isin(np.repeat(np.arange(len(sizes)), sizes), twice)
-                heavy = dart_signatures(distinct[own], weights[own], sizes[twice], k)
+                plain, ranks = ranked_signatures(elements, None, counts, k)
+                twice, distinct, weights, sizes = weighted(elements, counts)
+                heavy = weighted_from_plain(plain[twice], ranks[twice], distinct, weights, sizes, k)
                 of = {int(d): i for i, d in enumerate(twice)}
                 small = [(x & np.uint64(0xFF)).astype(np.uint8) for x in (plain, heavy)]
                 hashed = [band_hashes(x, bands, rows).view(np.int64) for x in (plain, heavy)]
@@ -247,6 +292,20 @@ def similarity(a: Shingled, b: Shingled) -> float:
     return max(plain, shared / (total - shared))
 
 
+def likely(pairs: DataFrame, signs: DataFrame, k: int, least: int) -> DataFrame:
+    """Those of pairs (node, parent) whose sketches agree on at least this many coordinates, with the node's chars."""
+    both = pairs.join(signs.select("node", "chars", F.col("sketch").alias("own")), "node").join(signs.select(F.col("node").alias("parent"), F.col("sketch").alias("other")), "parent")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("own", "other"))
+            halves = [np.frombuffer(b"".join(x[part] for x in side), dtype=np.uint8).reshape(-1, k) for part in (slice(k), slice(-k, None)) for side in (a, b)]
+            agree = np.maximum((halves[0] == halves[1]).sum(axis=1), (halves[2] == halves[3]).sum(axis=1))
+            yield batch.select(["node", "parent", "chars"]).filter(pa.array(agree >= least))
+
+    return both.select("node", "parent", "chars", "own", "other").mapInArrow(run, "node bigint, parent bigint, chars bigint")
+
+
 def stars(nodes: DataFrame, parents: DataFrame, threshold: float) -> DataFrame:
     """a, b: which nodes (b) of parents (node, parent, chars) are near copies of their parent (a).
 
@@ -299,7 +358,7 @@ def grouped(nodes: DataFrame, threshold: float = NEAR_SIMILARITY, bands: int = B
 
     met = members.where("node <> first").groupBy("node", "first").agg(F.sum("times").alias("times"))
     parents = met.groupBy("node").agg(F.max_by("first", F.struct("times", -F.col("first"))).alias("parent"))
-    parents = staged(parents.join(signs.select("node", "chars"), "node"), "parents")
+    parents = staged(likely(parents, signs, k, least).select("node", "parent", "chars"), "parents")
     settled = staged(components(stars(nodes, parents, threshold)), "settled")
 
     members = members.select("bucket", "node").join(settled, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("class"))
