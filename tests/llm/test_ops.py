@@ -183,11 +183,15 @@ def brute_classes(texts, threshold=0.8):
     sets = {i: collections.Counter(shingle_list(t)) for i, t in texts.items()}
     up = {i: i for i in texts}
 
-    def near(a, b):
+    keys, repeats = {i: set(s) for i, s in sets.items()}, {i for i, s in sets.items() if s.total() > len(s)}
+
+    def near(i, j):
+        a, b = keys[i], keys[j]
         if not a or not b:
             return False
-        plain, heavy = len(a.keys() & b.keys()) / len(a.keys() | b.keys()), (a & b).total() / (a | b).total()
-        return max(plain, heavy) >= threshold - 1e-12
+        if len(a & b) >= threshold * len(a | b) - 1e-12:
+            return True
+        return bool({i, j} & repeats) and not a.isdisjoint(b) and (sets[i] & sets[j]).total() >= threshold * (sets[i] | sets[j]).total() - 1e-12
 
     def root(x):
         while up[x] != x:
@@ -196,7 +200,7 @@ def brute_classes(texts, threshold=0.8):
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if (texts[a] or "") == (texts[b] or "") or near(sets[a], sets[b]):
+            if (texts[a] or "") == (texts[b] or "") or near(a, b):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
@@ -276,6 +280,16 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.05
 
 
+def test_weighted_signatures_from_plain_ones():
+    rng = np.random.default_rng(2)
+    counts = np.array([1, 3, 40, 500, 2])
+    elements = rng.integers(0, 2**63, counts.sum()).astype(np.uint64)
+    weights = rng.integers(1, 4, counts.sum()).astype(float)
+    weights[[0, 2, 50]] = 5000, 1, 900
+    plain, ranks = minhash_dedup.ranked_signatures(elements, None, counts, 200)
+    assert (minhash_dedup.weighted_from_plain(plain, ranks, elements, weights, counts, 200) == minhash_dedup.dart_signatures(elements, weights, counts, 200)).all()
+
+
 # ------------------------------------------------------------------ 4 html
 def test_html_of_the_test_pages(spark):
     import html
