@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that are trimmed (no-break spaces are not among them).
 TRIMMED = " \t\n\r\x0b\x00"
-#: The character references that the native tier decodes; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
+#: The character references that HTML 4 names, as the standard library lists them, and the apostrophe.
+NAMED = {**name2codepoint, "apos": 39}
+#: References that are decoded: numbers, with or without a semicolon, and known names with one, as the audited product's parser does.
+REFERENCE = "&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;"
 
 
 def trim(c: Column) -> Column:
@@ -22,8 +25,23 @@ def present(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def character(number: Column) -> Column:
+    """The character of a code point; empty if it is none."""
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("")
+
+
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    """c with its character references decoded, each once."""
+    points = F.str_to_map(F.lit(",".join(f"&{name};:{point}" for name, point in NAMED.items())), F.lit(","), F.lit(":"))
+    digits = lambda r: F.regexp_extract(r, "^&#[xX]?([0-9A-Fa-f]+)", 1)
+
+    def one(r: Column) -> Column:
+        number = F.when(F.lower(r).startswith("&#x"), F.conv(digits(r), 16, 10)).when(r.startswith("&#"), digits(r)).otherwise(F.try_element_at(points, r)).cast("bigint")
+        return F.when(number.isNotNull(), character(number)).otherwise(r)
+
+    pieces = F.zip_with(F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), lambda p, r: F.concat(p, F.coalesce(one(r), F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
 def word_count(text: Column) -> Column:

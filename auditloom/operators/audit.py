@@ -31,27 +31,29 @@ def extracted(pages: DataFrame) -> DataFrame:
     Tags are cut out in one projection and read in the next, so that no pattern runs more often than once.
     """
     text = F.when(F.col("kind") == "html", present(F.col("html"))).otherwise("")
-    rows = pages.withColumn("_html", text).withColumn("_clean", H.cleaned(F.col("_html")))
-    clean = F.col("_clean")
+    rows = pages.withColumn("_html", text).withColumns({"_clean": H.cleaned(F.col("_html")), "_body": H.body_source(F.col("_html"))})
+    clean, read = F.col("_clean"), F.col("_tags")
     rows = rows.select(
         *(F.col(c) for c in pages.columns if c != "html"),
         H.element_text(clean, "title").alias("page_title"),
         H.element_text(clean, "h1").alias("_h1"),
-        H.count_tags(clean, "h1").alias("h1_count"),
-        H.count_tags(clean, "h2").alias("h2_count"),
-        H.tags(clean, "meta").alias("_meta"),
-        H.tags(clean, "link").alias("_link"),
-        H.tags(clean, "img").alias("_img"),
-        H.links(clean, F.col("url")).alias("_links"),
-        H.body_words(F.col("_html")).alias("word_count"),
+        H.read_tags(clean).alias("_tags"),
+        H.body_text(F.col("_body")).alias("_text"),
+    )
+    rows = rows.withColumns(
+        {
+            "word_count": H.text_words(F.col("_text")),
+            **{f"{h}_count": H.count_tags(read, h) for h in ("h1", "h2")},
+            **{f"_{t}": H.tags(read, t) for t in ("meta", "link", "img")},
+            "_links": H.links(H.tags(read, "a"), F.col("url")),
+        }
     )
     meta = F.col("_meta")
-    robots = F.lower(present(H.first_content(meta, "name", "robots", "content")))
     rows = rows.withColumns(
         {
             "meta_description": trim(present(H.first_content(meta, "name", "description", "content"))),
             "canonical_url": trim(present(H.first_content(F.col("_link"), "rel", "canonical", "href"))),
-            "_robots": robots,
+            "_robots": F.lower(present(H.first_content(meta, "name", "robots", "content"))),
             "has_og_title": H.first_content(meta, "property", "og:title", "content").isNotNull(),
             "has_og_description": H.first_content(meta, "property", "og:description", "content").isNotNull(),
             "images_total": F.size("_img").cast("bigint"),
@@ -70,7 +72,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             "links_external": (F.size("_links") - F.size("_internal")).cast("bigint"),
             "internal_links": F.array_distinct("_internal"),
         }
-    ).drop("_h1", "_meta", "_link", "_img", "_links", "_internal", "_robots")
+    ).drop("_h1", "_tags", "_text", "_meta", "_link", "_img", "_links", "_internal", "_robots")
 
 
 def audited(responses: DataFrame) -> DataFrame:

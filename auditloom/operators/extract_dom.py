@@ -1,6 +1,6 @@
-"""On-page facts by the standard library's HTML parser: for markup on which regular expressions and parsers may differ.
+"""On-page facts by the standard library's HTML parser, to hold the patterns of functions.html against.
 
-The rows equal those of audit.extracted; a page costs some milliseconds of Python, so use it for samples and comparisons.
+A page costs some milliseconds of Python, so use it for samples and comparisons.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import TRIMMED
+from auditloom.functions import urls as U
+from auditloom.functions.text import NAMED, TRIMMED
 
-#: An ampersand of a character reference without its semicolon: both tiers leave such a reference as text.
-_UNENDED = re.compile(r"&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))")
+#: An ampersand that starts no number and no known name with its semicolon: the audited product's parser leaves it as text.
+_PLAIN_AMPERSAND = re.compile(rf"&(?!#[0-9]|#[xX][0-9A-Fa-f]|(?:{'|'.join(NAMED)});)")
+#: Elements before which, and in which, no body is implied.
+_HEAD = frozenset("html head title meta link base script style".split())
 
 _DDL = "page_id bigint, page_title string, meta_description string, h1_count bigint, h1_text string, h2_count bigint, canonical_url string, robots_noindex boolean, robots_nofollow boolean, images_total bigint, images_missing_alt bigint, hrefs array<string>, word_count bigint, has_og_title boolean, has_og_description boolean"
 
@@ -30,6 +33,11 @@ class Facts(HTMLParser):
         self.open: dict[str, bool] = {"title": False, "h1": False}
         self.body: list[str] | None = None
         self.in_body = False
+        self.in_head: str | None = None  # the title, script or style that is open before the body
+
+    def begin_body(self) -> None:
+        if self.body is None:
+            self.body, self.in_body = [], True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = {k: v or "" for k, v in reversed(attrs)}
@@ -43,14 +51,18 @@ class Facts(HTMLParser):
             self.metas.append(own)
         if tag == "link" and own.get("rel") == "canonical" and "href" in own and self.canonical is None:
             self.canonical = own["href"].strip(TRIMMED)
-        if tag == "body" and self.body is None:
-            self.body, self.in_body = [], True
+        if tag not in _HEAD:
+            self.begin_body()
+        elif self.body is None and tag in ("title", "script", "style"):
+            self.in_head = tag
         if tag in self.text and self.text[tag] is None:
             self.text[tag], self.open[tag] = [], True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.open:
             self.open[tag] = False
+        if tag == self.in_head:
+            self.in_head = None
         if tag == "body":
             self.in_body = False
 
@@ -58,6 +70,8 @@ class Facts(HTMLParser):
         for tag, is_open in self.open.items():
             if is_open:
                 self.text[tag].append(data)
+        if data.strip() and not self.in_head:
+            self.begin_body()
         if self.in_body:
             self.body.append(data)
 
@@ -67,10 +81,10 @@ class Facts(HTMLParser):
 
 def facts_of(html: str | None) -> tuple:
     p = Facts()
-    p.feed(_UNENDED.sub("&amp;", html or ""))
+    p.feed(_PLAIN_AMPERSAND.sub("&amp;", html or ""))
     p.close()
     joined = lambda parts: "".join(parts or []).strip(TRIMMED)
-    words = re.sub(r"^['-]+|-\Z", "", re.sub(r"<[^>]*>", "", "".join(p.body or [])))
+    words = re.sub(r"^['-]+|-\Z", "", re.sub(r"<[^\s>][^>]*(?:>|\Z)", "", "".join(p.body or [])))
     robots = (p.meta("name", "robots") or "").lower()
     return (
         joined(p.text["title"]), (p.meta("name", "description") or "").strip(TRIMMED), p.counts["h1"], joined(p.text["h1"])[:200], p.counts["h2"], p.canonical or "", "noindex" in robots, "nofollow" in robots,
@@ -79,11 +93,16 @@ def facts_of(html: str | None) -> tuple:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id and the facts of pages (page_id, html); hrefs are all link targets, in order."""
+    """page_id and the facts of pages (page_id, url, html), as those of audit.extracted; hrefs are all link targets, in order."""
     names = [c.split()[0] for c in _DDL.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([(i, *facts_of(h)) for i, h in zip(frame.page_id, frame.html)], columns=names)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInPandas(run, _DDL)
+    found = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInPandas(run, _DDL)
+    rows = found.join(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url"), "page_id")
+    full = F.transform(F.filter("hrefs", U.is_eligible_link), lambda h: U.absolute(h, F.col("url")))
+    rows = rows.withColumn("_internal", F.transform(full, lambda u: U.host(u) == U.host(F.col("url"))))
+    count = lambda wanted: F.size(F.filter("_internal", lambda x: x == wanted)).cast("bigint")
+    return rows.withColumn("links_internal", count(F.lit(True))).withColumn("links_external", count(F.lit(False))).drop("_internal", "url")

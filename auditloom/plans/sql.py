@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from auditloom.functions.text import ENTITIES
+from auditloom.functions.text import NAMED
 from auditloom.functions.urls import PARTS, SKIPPED
+from auditloom.sources.crawl_view import ODD
 
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: Columns ref_names and ref_chars, which decode() reads.
+REFS = f"refs AS (SELECT [{', '.join(q(f'&{n};') for n in NAMED)}] AS ref_names, [{', '.join(q(chr(p)) for p in NAMED.values())}] AS ref_chars)"
+_REFERENCE = q("&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?|&[A-Za-z][A-Za-z0-9]*;")
+
+
 def decode(x: str) -> str:
-    for a, b in ENTITIES:
-        x = f"replace({x}, {q(a)}, {q(b)})"
-    return x
+    number = "CAST(CASE WHEN lower(p[2][3]) = 'x' THEN '0x' || regexp_extract(p[2], '[0-9A-Fa-f]+') ELSE regexp_extract(p[2], '[0-9]+') END AS BIGINT)"
+    char = f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) ELSE '' END"
+    one = f"CASE WHEN p[2] IS NULL THEN '' WHEN starts_with(p[2], '&#') THEN {char} ELSE coalesce(ref_chars[list_position(ref_names, p[2])], p[2]) END"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(list_zip(string_split_regex({x}, {_REFERENCE}), regexp_extract_all({x}, {_REFERENCE})), lambda p: p[1] || {one}), '') ELSE {x} END"
 
 
 def trim(x: str) -> str:
@@ -48,17 +55,24 @@ def normalize(u: str, base: str) -> str:
     return f"CASE WHEN {bare(u)} = '' THEN NULL ELSE {normalized('(' + absolute(bare(u), base) + ')')} END"
 
 
+INSIDE = r"""[^>=]*(?:=(?:\s*"[^"]*"|\s*'[^']*')?[^>=]*)*"""
+ANY_TAG = rf"(?is)</?[a-z]{INSIDE}>|<[!?][^>]*>"
+VALUE = r""""[^"]*"|'[^']*'|[^\s"'>][^\s>]*"""
+BEFORE = rf"(?is)^<[^\s/>]+(?:[\s/]+[^\s/>=]+(?:\s*=\s*(?:{VALUE}))?)*?[\s/]+"
+UNQUOTE = r"""(?s)^(?:"(.*)"|'(.*)')$"""
+
+
 def attribute(t: str, name: str) -> str:
-    pattern = q(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-    return decode("(" + " || ".join(f"regexp_extract({t}, {pattern}, {g})" for g in (1, 2, 3)) + ")")
+    raw = f"regexp_extract({t}, {q(rf'{BEFORE}{name}\s*=\s*({VALUE})')}, 1)"
+    return decode(rf"(regexp_replace({raw}, {q(UNQUOTE)}, '\1\2'))")
 
 
 def has_attribute(t: str, name: str) -> str:
-    return rf"regexp_matches({t}, '(?is)\s{name}(\s|=|/|>)')"
+    return f"regexp_matches({t}, {q(rf'{BEFORE}{name}[\s/=>]')})"
 
 
 def tags(name: str) -> str:
-    return rf"regexp_extract_all(clean, '(?is)<{name}(?:\s[^>]*|/)?>')"
+    return f"list_filter(regexp_extract_all(clean, {q(rf'(?is)<[a-z]{INSIDE}>')}), lambda x: regexp_matches(x, '(?i)^<{name}[\\s/>]'))"
 
 
 def first_content(list_: str, key: str, value: str, wanted: str) -> str:
@@ -67,7 +81,13 @@ def first_content(list_: str, key: str, value: str, wanted: str) -> str:
 
 
 def element_text(name: str) -> str:
-    return trim(decode(rf"regexp_replace(regexp_extract(clean, '(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>', 1), '<[^>]*>', '', 'g')"))
+    return trim(decode(f"regexp_replace(regexp_extract(clean, {q(rf'(?is)<{name}(?:[\s/]{INSIDE})?>(.*?)</{name}\s*>')}, 1), {q(ANY_TAG)}, '', 'g')"))
+
+
+_PLAIN = "regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
+#: The text of a page's body.
+BODY = decode(rf"""regexp_replace(CASE WHEN regexp_matches({_PLAIN}, '(?i)<body[\s/>]') THEN regexp_extract({_PLAIN}, {q(rf'(?is)<body(?:[\s/]{INSIDE})?>(.*?)(?:</body\s*>|\z)')}, 1)
+    ELSE regexp_replace({_PLAIN}, '(?is)<head[\s>].*?</head\s*>|<title\b.*?</title\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') END, {q(ANY_TAG)}, '', 'g')""")
 
 
 SKIP_LIST = ", ".join(q(e) for e in SKIPPED)
@@ -101,18 +121,17 @@ crawl AS (
 )"""
 
 FACTS = rf"""
-typed AS (
+{REFS}, typed AS (
     SELECT *, lower({trim("split_part(content_type_header, ';', 1)")}) AS ctype FROM crawl
 ), kinds AS (
     SELECT *, CASE WHEN fetch_error <> '' THEN 'failed' WHEN redirect_hops > 0 THEN 'redirect'
         WHEN CASE WHEN ctype = '' THEN NOT {skipped("url")} ELSE contains(ctype, 'text/html') OR contains(ctype, 'application/xhtml+xml') END THEN 'html' ELSE 'resource' END AS kind FROM typed
 ), texts AS (
     SELECT * EXCLUDE (html), CASE WHEN kind = 'html' THEN html ELSE '' END AS html,
-        CASE WHEN kind = 'html' THEN regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') ELSE '' END AS clean FROM kinds
+        CASE WHEN kind = 'html' THEN regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') ELSE '' END AS clean FROM kinds, refs
 ), cut AS (
     SELECT *, {tags("meta")} AS metas, {tags("link")} AS link_tags, {tags("img")} AS imgs,
-        list_transform(list_filter({tags("a")}, lambda x: {has_attribute("x", "href")}), lambda x: {trim(attribute("x", "href"))}) AS hrefs,
-        regexp_replace(regexp_replace(regexp_extract(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<body(?:\s[^>]*)?>(.*?)(?:</body\s*>|\z)', 1), '<[^>]*>', '', 'g'), '\x00', '', 'g') AS body FROM texts
+        list_transform(list_filter({tags("a")}, lambda x: {has_attribute("x", "href")}), lambda x: {trim(attribute("x", "href"))}) AS hrefs, {BODY} AS body FROM texts
 ), linked AS (
     SELECT *, list_transform(list_filter(hrefs, lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, 'mailto:') AND NOT starts_with(x, 'tel:') AND NOT starts_with(x, 'javascript:')), lambda x: {absolute("x", "url")}) AS urls FROM cut
 ), facts AS (
@@ -125,7 +144,7 @@ typed AS (
         {first_content("metas", "property", "og:title", "content")} IS NOT NULL AS has_og_title,
         {first_content("metas", "property", "og:description", "content")} IS NOT NULL AS has_og_description,
         CAST(len(imgs) AS BIGINT) AS images_total, CAST(len(list_filter(imgs, lambda x: {trim(attribute("x", "alt"))} = '')) AS BIGINT) AS images_missing_alt,
-        CAST(len(regexp_extract_all(regexp_replace({decode("body")}, '^[''-]+|-\z', '', 'g'), '[A-Za-z''-]+')) AS BIGINT) AS word_count,
+        CAST(len(regexp_extract_all(regexp_replace(regexp_replace(body, '(?s)<[^\s>][^>]*(?:>|\z)', '', 'g'), '^[''-]+|-\z', '', 'g'), '[A-Za-z''-]+')) AS BIGINT) AS word_count,
         list_filter(urls, lambda x: {part("x", 2)} = {part("url", 2)}) AS internal_all, len(urls) AS n_urls FROM linked
 ), rich AS (
     SELECT *, CAST(length(page_title) AS BIGINT) AS title_length, CAST(length(meta_description) AS BIGINT) AS meta_description_length, substring(h1_full, 1, 200) AS h1_text,
@@ -222,6 +241,12 @@ reports AS (
 )"""
 
 
+def odd(select: str) -> str:
+    """Over the crawl with odd markup in each page."""
+    cases = " ".join(f"WHEN {i} THEN replace(html, {q(a)}, {q(b)})" for i, (a, b) in enumerate(ODD))
+    return f"WITH {CRAWL.replace('crawl AS', 'plain AS', 1)}, crawl AS (SELECT * REPLACE (CASE page_id % {len(ODD)} {cases} END AS html) FROM plain), {FACTS} {select}"
+
+
 def audit(select: str) -> str:
     return f"WITH {CRAWL}, {FACTS}, {PAGES} {select}"
 

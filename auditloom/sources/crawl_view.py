@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,5 +53,22 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Markup on which careless patterns fail, by the page's number modulo 6: (what is replaced, by what).
+ODD = [
+    ("<article>", """<article><img title="a > b" alt="c"><img alt='' src=x><a title='1>0' href="/x?a=1&amp;b=2">l &#8211; k</a>"""),
+    ("</head>", """<meta data-x=" name=y" name="description" content='say "x > y" &eacute; &hellip;'></head>"""),
+    ("<title>", "<title>A &#8211; B &eacute;&#x26; "),
+    ("<body>", ""),
+    ("<h1>", '<h1 class="a>b" id=it\'s>Odd &lt;b&gt; one '),
+    ("<article>", """<article><p data-a='<a href="/no">'>it's &amp; &copy &bogus; 5 < 6 <b>bold</b></p><a class="a=b" href = /y>m</a><h2 title="<h2>">t</h2>"""),
+]
+
+
+def odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read() with ODD markup in each page."""
+    i, html = F.col("page_id") % len(ODD), F.col("html")
+    return read(spark, sf_dir).withColumn("html", reduce(lambda c, x: F.when(i == x[0], F.replace(html, F.lit(x[1][0]), F.lit(x[1][1]))).otherwise(c), enumerate(ODD), html))
+
+
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
