@@ -1,7 +1,7 @@
 """Breadth-first crawl, level by level, over any source of responses.
 
 A level is one DataFrame job for all reports at once: fetch, audit, follow. The order within a level is that of a
-first-in-first-out queue: by the parent's order, then the link's position, a redirect's target after the links; a URL
+first-in-first-out queue: by the parent's order, then the link's position, a redirect's final target after the links; a URL
 found twice keeps its first place. Levels are written to a table, so neither lineage nor driver memory grows.
 """
 
@@ -32,7 +32,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def follow(pages: DataFrame, bases: DataFrame) -> DataFrame:
     """report, url, key (parent's order, position): the admissible URLs that pages (with crawl_order) lead to."""
-    found = F.concat(F.coalesce("internal_links", F.array().cast("array<string>")), F.when(F.col("redirect_target") != "", F.array("redirect_target")).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    target = F.when(F.col("redirect_final_url") != "", F.col("redirect_final_url")).otherwise(F.col("redirect_target"))
+    found = F.concat(F.coalesce("internal_links", none), F.when(target != "", F.array(target)).otherwise(none))
     links = pages.select("report", "crawl_order", F.posexplode(found).alias("pos", "link")).join(bases.select("report", "base_url"), "report")
     # Filters on what explode() makes stay above it; else each would carry a copy of the URL's expression.
     links = links.select("report", F.explode(F.array(U.normalize(F.col("link"), F.col("base_url")))).alias("url"), "base_url", F.struct("crawl_order", "pos").alias("key"))

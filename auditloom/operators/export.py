@@ -60,16 +60,34 @@ def page_json(pages: DataFrame) -> DataFrame:
     return pages.select("report", "page_id", "page_score", F.struct(*(v.alias(k) for k, v in names.items())).alias("page"))
 
 
-def json_documents(reports: DataFrame, pages: DataFrame) -> DataFrame:
-    """uid, document: each report with its issue summary and pages. Page budgets bound a report to a few hundred pages."""
+def json_head(reports: DataFrame, pages: DataFrame) -> DataFrame:
+    """uid, report_ (struct) and issuesSummary (array; one entry for each issue type) of each report."""
     head = F.struct(
         "uid", "title", F.col("base_url").alias("baseUrl"), scoring.status_label(F.col("status")).alias("status"), F.col("overall_score").alias("overallScore"), F.col("pages_crawled").alias("pagesCrawled"), F.col("max_pages").alias("maxPages")
     )
-    body = page_json(pages).groupBy("report").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_score", "page_id", "page"))), lambda x: x["page"]).alias("pages"))
     groups = issue_groups(pages, ["report"]).select("report", F.struct((-F.col("count")).alias("n"), "first", F.struct("type", "severity", "message", "count").alias("s")).alias("g"))
     summary = groups.groupBy("report").agg(F.transform(F.array_sort(F.collect_list("g")), lambda x: x["s"]).alias("issuesSummary"))
-    rows = reports.select("uid", head.alias("report_")).join(summary.withColumnRenamed("report", "uid"), "uid", "left").join(body.withColumnRenamed("report", "uid"), "uid", "left")
-    document = F.to_json(F.struct(F.col("report_").alias("report"), F.coalesce("issuesSummary", F.array().cast(summary.schema["issuesSummary"].dataType)).alias("issuesSummary"), F.coalesce("pages", F.array().cast(body.schema["pages"].dataType)).alias("pages")), {"pretty": "true", "ignoreNullFields": "false"})
+    rows = reports.select("uid", head.alias("report_")).join(summary.withColumnRenamed("report", "uid"), "uid", "left")
+    return rows.select("uid", "report_", F.coalesce("issuesSummary", F.array().cast(summary.schema["issuesSummary"].dataType)).alias("issuesSummary"))
+
+
+def json_lines(reports: DataFrame, pages: DataFrame) -> DataFrame:
+    """uid, kind, page_score, page_id, json: the parts of all documents, a row for each report's head and for each page, so that
+    a report of any size is dealt out. In the order of (uid, page_score, page_id) they are the documents; heads have -1 for both."""
+    heads = json_head(reports, pages).select("uid", F.lit("report").alias("kind"), F.lit(-1).alias("page_score"), F.lit(-1).cast("bigint").alias("page_id"), F.to_json(F.struct(F.col("report_").alias("report"), "issuesSummary")).alias("json"))
+    parts = page_json(pages).select(F.col("report").alias("uid"), F.lit("page").alias("kind"), "page_score", "page_id", F.to_json("page").alias("json"))
+    return heads.unionByName(parts.join(reports.select("uid"), "uid", "left_semi"))
+
+
+def json_documents(reports: DataFrame, pages: DataFrame, most_pages: int = 200) -> DataFrame:
+    """uid, document: each report with its issue summary and pages as one text, for reports of up to most_pages pages, the
+    greatest budget there is. Larger ones are left to json_lines()."""
+    small = pages.groupBy("report").agg(F.count("*").alias("n")).where(F.col("n") > most_pages).select(F.col("report").alias("uid"))
+    reports = reports.join(small, "uid", "left_anti")
+    pages = pages.join(small.withColumnRenamed("uid", "report"), "report", "left_anti")
+    body = page_json(pages).groupBy("report").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_score", "page_id", "page"))), lambda x: x["page"]).alias("pages"))
+    rows = json_head(reports, pages).join(body.withColumnRenamed("report", "uid"), "uid", "left")
+    document = F.to_json(F.struct(F.col("report_").alias("report"), "issuesSummary", F.coalesce("pages", F.array().cast(body.schema["pages"].dataType)).alias("pages")), {"pretty": "true", "ignoreNullFields": "false"})
     return rows.select("uid", document.alias("document"))
 
 

@@ -94,3 +94,17 @@ def guarded(urls: DataFrame, dns: DataFrame | None = None, ipv6: bool = True) ->
     )
     rows = rows.withColumn("error", error)
     return rows.select(*urls.columns, (F.col("error") == "").alias("ok"), "error", F.when(F.col("error") == "", rtrim_slash(F.col("_raw"))).otherwise("").alias("url"))
+
+
+def hosts(urls: DataFrame) -> DataFrame:
+    """host: the distinct names among the hosts of urls (base_url), which are to be looked up; addresses are none."""
+    host = F.lower(F.regexp_extract(trim(present(F.col("base_url"))), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\[]+)", 1))
+    return urls.select(host.alias("host")).where((F.col("host") != "") & number_of(F.col("host")).isNull()).distinct()
+
+
+def inserted(reports: DataFrame, new: DataFrame, dns: DataFrame | None = None, ipv6: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(reports with those of new, of the same columns, whose base URL passes, as the guard writes it; the others with their error)."""
+    names = reports.columns
+    judged = guarded(new, dns, ipv6)
+    good = judged.where("ok").withColumn("base_url", F.col("url"))
+    return reports.unionByName(good.select(*names)), judged.where("not ok").select(*names, "error")

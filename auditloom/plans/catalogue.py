@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions import html as H
 from auditloom.functions import text as T
 from auditloom.functions import urls as U
 from auditloom.operators import crawl, crosspage, export, extract_dom, guard, scoring, sitechecks
@@ -42,9 +43,20 @@ def pages(spark, sf_dir):
     return audited(crawl_view.read(spark, sf_dir))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def stored(spark, sf_dir):
-    """Audited pages as a written table: checks across pages read them several times, documents are parsed once."""
-    return crawl.written(pages(spark, sf_dir), "pages")
+    """Audited pages as a written table that the queries of a session share, as long as the pages aren't written anew.
+
+    Checks across pages read them several times; so documents are parsed once.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen()
+    if key not in _STORED:
+        _STORED[key] = crawl.written(pages(spark, sf_dir), "pages")
+    return _STORED[key]
 
 
 def checked(spark, sf_dir):
@@ -71,9 +83,19 @@ def url_normalize(spark, sf_dir):
     return own.unionByName(derived.literals(spark, derived.URLS, "u").select((-1 - F.col("n")).alias("page_id"), U.normalize(F.col("u"), base).alias("normalized")))
 
 
-@query(f"SELECT n, {S.resolve('u', _BASE)} AS resolved, {S.resolve('u', S.q('https://h.com/a/'))} AS in_folder FROM {_values(derived.URLS, 'u')}")
+def _urls(spark, sf_dir):
+    """n, u: URLS, numbered below 0, and the URLs of all pages, whole and without their sites."""
+    rows = derived.literals(spark, derived.URLS, "u").select((-1 - F.col("n")).alias("n"), "u")
+    own = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), "url")
+    return rows.unionByName(own.select("n", F.explode(F.array("url", F.regexp_replace("url", "^[a-z]+://[^/]*", ""))).alias("u")))
+
+
+_URLS = f"(SELECT -1 - n AS n, u FROM {_values(derived.URLS, 'u')} UNION ALL SELECT page_id, unnest([url, regexp_replace(url, '^[a-z]+://[^/]*', '')]) FROM pages)"
+
+
+@query(f"SELECT n, {S.resolve('u', _BASE)} AS resolved, {S.resolve('u', S.q('https://h.com/a/'))} AS in_folder FROM {_URLS}")
 def url_resolve(spark, sf_dir):
-    rows = derived.literals(spark, derived.URLS, "u")
+    rows = _urls(spark, sf_dir)
     return rows.select("n", U.resolve_relative(F.col("u"), F.lit(derived.BASE)).alias("resolved"), U.resolve_relative(F.col("u"), F.lit("https://h.com/a/")).alias("in_folder"))
 
 
@@ -83,30 +105,27 @@ def url_parts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.scheme(u).alias("scheme"), U.host(u).alias("host"), U.path(u).alias("path"))
 
 
-@query(rf"""WITH l AS (SELECT page_id, url, html, replace(replace(html, '<!--', ''), '-->', '') AS x FROM pages),
-    c AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS clean FROM l),
+@query(rf"""WITH {S.REFS}, c AS (SELECT page_id, url, ref_names, ref_chars, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS clean FROM pages, refs),
     h AS (SELECT page_id, url, list_transform(list_filter({S.tags("a")}, lambda x: {S.has_attribute("x", "href")}), lambda x: {S.trim(S.attribute("x", "href"))}) AS hrefs FROM c),
     u AS (SELECT page_id, url, list_transform(list_filter(hrefs, lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, 'mailto:') AND NOT starts_with(x, 'tel:') AND NOT starts_with(x, 'javascript:')), lambda x: {S.absolute("x", "url")}) AS urls FROM h)
     SELECT page_id, CAST(len(list_filter(urls, lambda x: {S.part("x", 2)} = {S.part("url", 2)})) AS BIGINT) AS internal, CAST(len(list_filter(urls, lambda x: {S.part("x", 2)} <> {S.part("url", 2)})) AS BIGINT) AS external,
         CAST(len(list_distinct(urls)) AS BIGINT) AS distinct_links FROM u""")
 def link_classify(spark, sf_dir):
-    from auditloom.functions import html as H
-
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", H.cleaned(F.col("html")).alias("clean")).select("page_id", H.links(F.col("clean"), F.col("url")).alias("l"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", H.tags(H.read_tags(H.cleaned(F.col("html"))), "a").alias("a")).select("page_id", H.links(F.col("a"), F.col("url")).alias("l"))
     n = lambda cond: F.size(F.filter("l", cond)).cast("bigint")
     return rows.select("page_id", n(lambda x: x["internal"]).alias("internal"), n(lambda x: ~x["internal"]).alias("external"), F.size(F.array_distinct(F.transform("l", lambda x: x["url"]))).alias("distinct_links"))
 
 
-@query(f"SELECT n, {S.skipped('(' + S.absolute('u', _BASE) + ')')} AS skipped, NOT (u = '' OR starts_with(u, '#') OR starts_with(u, 'mailto:') OR starts_with(u, 'tel:') OR starts_with(u, 'javascript:')) AS eligible FROM {_values(derived.URLS, 'u')}")
+@query(f"SELECT n, {S.skipped('(' + S.absolute('u', _BASE) + ')')} AS skipped, NOT (u = '' OR starts_with(u, '#') OR starts_with(u, 'mailto:') OR starts_with(u, 'tel:') OR starts_with(u, 'javascript:')) AS eligible FROM {_URLS}")
 def skip_extension_filter(spark, sf_dir):
     u = F.col("u")
-    return derived.literals(spark, derived.URLS, "u").select("n", U.is_skipped(U.absolute(u, F.lit(derived.BASE))).alias("skipped"), U.is_eligible_link(u).alias("eligible"))
+    return _urls(spark, sf_dir).select("n", U.is_skipped(U.absolute(u, F.lit(derived.BASE))).alias("skipped"), U.is_eligible_link(u).alias("eligible"))
 
 
 # ---------------------------------------------------------------- facts of pages
 @query(S.audit("SELECT page_id, kind, content_type, status_code, page_type FROM audited"))
 def page_class(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", "content_type", "status_code", "page_type")
+    p = stored(spark, sf_dir).select("page_id", "content_type", "status_code", "page_type")
     return classified(crawl_view.read(spark, sf_dir)).select("page_id", "kind").join(p, "page_id")
 
 
@@ -124,19 +143,30 @@ for _name, _columns in {
     query(f"WITH {S.CRAWL}, {S.FACTS} SELECT page_id, {_columns} FROM rich", _name)(lambda spark, sf_dir, c=_columns.split(", "): facts(spark, sf_dir).select("page_id", *c))
 
 
-_DOM = "page_title, meta_description, h1_count, h1_text, h2_count, canonical_url, robots_noindex, robots_nofollow, images_total, images_missing_alt, has_og_title, has_og_description"
+_ALL_FACTS = "page_title, meta_description, h1_count, h1_text, h2_count, canonical_url, robots_noindex, robots_nofollow, images_total, images_missing_alt, links_internal, links_external, word_count, has_og_title, has_og_description"
 
 
-@query(f"WITH {S.CRAWL}, {S.FACTS} SELECT page_id, {_DOM} FROM rich WHERE kind = 'html'")
+@query(f"WITH {S.CRAWL}, {S.FACTS} SELECT page_id, {_ALL_FACTS} FROM rich WHERE kind = 'html'")
 def extract_dom_tier(spark, sf_dir):
-    """Facts of HTML pages by a parser instead of patterns."""
+    """All facts of HTML pages by a parser instead of patterns."""
     own = classified(crawl_view.read(spark, sf_dir)).where("kind = 'html'")
-    return extract_dom.extracted(own).select("page_id", *_DOM.split(", "))
+    return extract_dom.extracted(own).select("page_id", *_ALL_FACTS.split(", "))
+
+
+@query(S.odd(f"SELECT page_id, {_ALL_FACTS} FROM rich"))
+def extract_odd_markup(spark, sf_dir):
+    """All facts of pages with markup on which careless patterns fail."""
+    return extracted(classified(crawl_view.odd(spark, sf_dir))).select("page_id", *_ALL_FACTS.split(", "))
+
+
+@query(S.odd(f"SELECT page_id, {_ALL_FACTS} FROM rich WHERE kind = 'html'"))
+def extract_odd_markup_dom(spark, sf_dir):
+    return extract_dom.extracted(classified(crawl_view.odd(spark, sf_dir)).where("kind = 'html'")).select("page_id", *_ALL_FACTS.split(", "))
 
 
 @query(S.cross("SELECT report, page_id, CAST(x.pos AS BIGINT) AS pos, x.url AS url FROM (SELECT report, page_id, unnest(list_transform(list_filter(internal_all, lambda x, i: list_position(internal_all, x) = i), lambda x, i: {'pos': i - 1, 'url': x})) AS x FROM audited)"))
 def distinct_links(spark, sf_dir):
-    return pages(spark, sf_dir).select("report", "page_id", F.posexplode("internal_links").alias("pos", "url"))
+    return stored(spark, sf_dir).select("report", "page_id", F.posexplode("internal_links").alias("pos", "url"))
 
 
 # ---------------------------------------------------------------- issues and scores
@@ -186,12 +216,12 @@ def overall_score(spark, sf_dir):
 
 @query(S.cross("SELECT * FROM dup_titles"))
 def duplicate_titles(spark, sf_dir):
-    return crosspage.duplicate_groups(pages(spark, sf_dir), "page_title")
+    return crosspage.duplicate_groups(stored(spark, sf_dir), "page_title")
 
 
 @query(S.cross("SELECT * FROM dup_metas"))
 def duplicate_meta(spark, sf_dir):
-    return crosspage.duplicate_groups(pages(spark, sf_dir), "meta_description")
+    return crosspage.duplicate_groups(stored(spark, sf_dir), "meta_description")
 
 
 @query(S.cross("SELECT report, page_id, pos, url FROM broken"))
@@ -281,7 +311,7 @@ def progress_percent(spark, sf_dir):
 
 @query(S.cross("SELECT page_id, CASE page_type WHEN 'html' THEN 'HTML' WHEN 'redirect' THEN 'Redirect' ELSE 'Resource' END AS label, CASE page_type WHEN 'html' THEN 'success' WHEN 'redirect' THEN 'info' ELSE 'secondary' END AS badge FROM final"))
 def page_type_label(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", scoring.page_type_label(F.col("page_type")).alias("label"), scoring.page_type_badge(F.col("page_type")).alias("badge"))
+    return stored(spark, sf_dir).select("page_id", scoring.page_type_label(F.col("page_type")).alias("label"), scoring.page_type_badge(F.col("page_type")).alias("badge"))
 
 
 # ---------------------------------------------------------------- state machine
@@ -377,10 +407,22 @@ def export_json_rows(spark, sf_dir):
     return back.select("report", "page_id", "page_score", "p.url", F.col("p.pageType").alias("kind"), F.col("p.titleLength").alias("n"), F.size("p.issues").alias("n_issues"), F.get("p.issues", F.lit(0))["type"].alias("first_type"))
 
 
-@query()
+_PAGE_OBJECT = """{'url': url, 'pageType': page_type, 'pageTypeLabel': CASE page_type WHEN 'html' THEN 'HTML' WHEN 'redirect' THEN 'Redirect' ELSE 'Resource' END, 'statusCode': CASE WHEN kind = 'failed' THEN 0 ELSE status_code END, 'contentType': content_type,
+    'redirectTarget': CASE WHEN kind = 'redirect' THEN 'http://site' || report || '.example.com/p/' || (page_id + 7) ELSE '' END, 'redirectFinalUrl': CASE WHEN kind = 'redirect' THEN 'http://site' || report || '.example.com/p/' || (page_id + 7 * redirect_hops) ELSE '' END,
+    'redirectHops': redirect_hops, 'score': page_score, 'errorCount': len(list_filter(issues, lambda x: x.severity = 'error')), 'warningCount': len(list_filter(issues, lambda x: x.severity = 'warning')), 'noticeCount': len(list_filter(issues, lambda x: x.severity = 'notice')),
+    'title': page_title, 'titleLength': title_length, 'metaDescription': meta_description, 'metaDescriptionLength': meta_description_length, 'h1Count': h1_count, 'h1Text': h1_text, 'h2Count': h2_count, 'wordCount': word_count, 'loadTime': load_time, 'issues': issues}"""
+_HEAD_OBJECT = f"{{'uid': uid, 'title': title, 'baseUrl': base_url, 'status': {_LABEL}, 'overallScore': overall_score, 'pagesCrawled': pages_crawled, 'maxPages': max_pages}}"
+
+
+@query(
+    S.cross(f"""SELECT report AS uid, 'page' AS kind, page_score, page_id, CAST(to_json({_PAGE_OBJECT}) AS VARCHAR) AS json FROM final WHERE report IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT uid, 'report', -1, -1, CAST(to_json({{'report': {_HEAD_OBJECT}, 'issuesSummary': coalesce(s, [])}}) AS VARCHAR) FROM (WITH {S.REPORTS} SELECT * FROM reports) r LEFT JOIN (
+        SELECT report, list({{'type': type, 'severity': severity, 'message': message, 'count': n}} ORDER BY n DESC, first) AS s FROM (
+            SELECT report, i.type AS type, first(i.severity ORDER BY page_score, page_id, pos) AS severity, first(i.message ORDER BY page_score, page_id, pos) AS message, count(*) AS n, min((page_score, page_id, pos)) AS first FROM issue_rows GROUP BY report, i.type) GROUP BY report) g ON g.report = r.uid""")
+)
 def export_json_documents(spark, sf_dir):
-    """The JSON document of each report that has pages."""
-    return export.json_documents(derived.reports(spark, sf_dir).where("uid <= 7"), crawl.written(checked(spark, sf_dir), "checked"))
+    """The parts of the JSON documents of all reports: heads with issue summaries, and pages."""
+    return export.json_lines(derived.reports(spark, sf_dir), checked(spark, sf_dir))
 
 
 @query(S.reports("SELECT uid, 'seo-report-' || uid || '-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.csv' AS pages, 'seo-issues-' || uid || '-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '.csv' AS issues FROM reports"))
@@ -413,9 +455,13 @@ def sitemap_choice(spark, sf_dir):
     return sitechecks.site_checks(*derived.sites(spark)).select("base_url", "sitemap_url", "sitemap_status")
 
 
-@query()
+@query(rf"""WITH {_ROBOTS}, probes(url, status, body) AS (VALUES {_PROBES}),
+    candidates AS (SELECT base_url, url, pos FROM maps UNION ALL SELECT base_url, rtrim(base_url, '/') || '/sitemap.xml', 1000 FROM sites UNION ALL SELECT base_url, rtrim(base_url, '/') || '/sitemap_index.xml', 1001 FROM sites),
+    chosen AS (SELECT base_url, first(p.body ORDER BY pos) FILTER (status = 200) AS x FROM candidates c LEFT JOIN probes p ON p.url = c.url GROUP BY base_url)
+    SELECT base_url, CAST(CASE WHEN len(regexp_extract_all(x, '<[A-Za-z:]+(\s[^<>]*)?>')) = len(regexp_extract_all(x, '</[A-Za-z:]+>'))
+        THEN len(regexp_extract_all(x, '<([A-Za-z]+:)?url[\s/>]')) ELSE 0 END AS BIGINT) AS sitemap_url_count FROM chosen""")
 def sitemap_url_count(spark, sf_dir):
-    """Counted by an XML parser, broken files included."""
+    """Counted by an XML parser, broken files included; the SQL knows a broken file by tags that don't pair."""
     return sitechecks.site_checks(*derived.sites(spark)).select("base_url", "sitemap_url_count")
 
 
@@ -432,15 +478,35 @@ def redirect_chain_fold(spark, sf_dir):
 _OCTETS = "list_transform(string_split(h, '.'), lambda x: TRY_CAST(x AS BIGINT))"
 
 
-@query(rf"""WITH u AS (SELECT n, trim(u) AS raw, lower(regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM {_values(derived.GUARDED, "u")}),
+_GUARD = rf"""WITH u AS (SELECT n, trim(u) AS raw, lower(regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM (SELECT -1 - n AS n, u FROM {_values(derived.GUARDED, "u")} UNION ALL SELECT page_id, url FROM pages)),
     f AS (SELECT *, regexp_matches(h, '^\d+\.\d+\.\d+\.\d+$') AS v4, {_OCTETS} AS o FROM u),
     g AS (SELECT *, v4 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254)) AS private FROM f),
     e AS (SELECT n, raw, CASE WHEN raw = '' THEN {S.q(guard.REQUIRED)} WHEN NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:[\x21-\x7E]+$') OR (s IN ('http', 'https') AND NOT regexp_matches(h, '^[a-z0-9.-]+$')) THEN {S.q(guard.INVALID)}
         WHEN s NOT IN ('http', 'https') THEN {S.q(guard.BAD_SCHEME)} WHEN h = 'localhost' OR h LIKE '%.localhost' OR h LIKE '%.local' OR NOT contains(h, '.') OR private THEN {S.q(guard.PRIVATE_NAME)}
-        WHEN h = 'inside.example' THEN {S.q(guard.PRIVATE_ADDRESS)} ELSE '' END AS error FROM g)
-    SELECT n, error = '' AS ok, error, CASE WHEN error = '' THEN rtrim(raw, '/') ELSE '' END AS url FROM e""")
+        WHEN h = 'inside.example' THEN {S.q(guard.PRIVATE_ADDRESS)} ELSE '' END AS error FROM g)"""
+
+
+def _candidates(spark, sf_dir):
+    """n, base_url: GUARDED, numbered below 0, and the URLs of all pages."""
+    own = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), F.col("url").alias("base_url"))
+    return derived.literals(spark, derived.GUARDED, "base_url").select((-1 - F.col("n")).alias("n"), "base_url").unionByName(own)
+
+
+def _dns(spark):
+    return spark.createDataFrame(derived.DNS, "host string, ips array<string>")
+
+
+@query(f"{_GUARD} SELECT n, error = '' AS ok, error, CASE WHEN error = '' THEN rtrim(raw, '/') ELSE '' END AS url FROM e")
 def url_guard(spark, sf_dir):
-    return guard.guarded(derived.literals(spark, derived.GUARDED, "base_url"), spark.createDataFrame(derived.DNS, "host string, ips array<string>")).select("n", "ok", "error", "url")
+    return guard.guarded(_candidates(spark, sf_dir), _dns(spark)).select("n", "ok", "error", "url")
+
+
+@query(f"{_GUARD} SELECT n AS uid, rtrim(raw, '/') AS base_url FROM e WHERE error = '' UNION ALL SELECT uid, base_url FROM (WITH {S.REPORTS} SELECT * FROM reports)")
+def insert_reports(spark, sf_dir):
+    """All reports, and new ones of the URLs that the guard admits."""
+    reports = derived.reports(spark, sf_dir)
+    new = _candidates(spark, sf_dir).select(*(F.col("n").alias("uid") if f.name == "uid" else F.col("base_url") if f.name == "base_url" else F.lit(None).cast(f.dataType).alias(f.name) for f in reports.schema))
+    return guard.inserted(reports, new, _dns(spark))[0].select("uid", "base_url")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -480,15 +546,15 @@ def queue_time(spark, sf_dir):
 
 
 @query(S.cross("SELECT report, count(*) AS n FROM final WHERE report NOT IN (2, 5) GROUP BY report"))
-def clear_report_pages(spark, sf_dir):
+def clear_report_stored(spark, sf_dir):
     """Pages left when those of reports 2 and 5 are cleared for another crawl."""
     gone = spark.createDataFrame([(2,), (5,)], "uid bigint")
-    return R.without_reports(pages(spark, sf_dir), gone, "report").groupBy("report").agg(F.count("*").alias("n"))
+    return R.without_reports(stored(spark, sf_dir), gone, "report").groupBy("report").agg(F.count("*").alias("n"))
 
 
 @query(S.cross("SELECT report, max(page_id) AS progress_pages, arg_max(url, page_id) AS last_crawled_url FROM final GROUP BY report"))
 def crawl_progress(spark, sf_dir):
-    return R.progress(pages(spark, sf_dir).withColumn("crawl_order", F.col("page_id")))
+    return R.progress(stored(spark, sf_dir).withColumn("crawl_order", F.col("page_id")))
 
 
 # ---------------------------------------------------------------- crawl
@@ -496,7 +562,18 @@ def _bases(spark, sf_dir):
     return crawl_view.read(spark, sf_dir).groupBy("report").agg(F.min_by("url", "page_id").alias("base_url")).withColumn("max_pages", F.lit(12))
 
 
-@query()
+_LINKED = f"list_filter(list_transform(list_concat(coalesce(CASE WHEN kind = 'html' THEN internal_all END, []), CASE WHEN kind = 'redirect' THEN ['http://site' || report || '.example.com/p/' || (page_id + 7 * redirect_hops)] ELSE [] END), lambda x: {S.normalized('x')}), lambda x: x IS NOT NULL)"
+
+
+@query(
+    S.cross(f"""SELECT report, CAST(step AS BIGINT) AS crawl_order, b.url, CAST(coalesce(CASE WHEN a.kind = 'failed' THEN 0 ELSE a.status_code END, 404) AS BIGINT) AS status_code, coalesce(a.page_score, 38) AS page_score FROM (
+        WITH RECURSIVE next AS (SELECT report, {S.normalized("url")} AS url, {_LINKED} AS links FROM audited),
+        walk AS (
+            SELECT report, 1 AS step, [{S.normalized("base")}] AS queue FROM (SELECT report, arg_min(url, page_id) AS base FROM audited GROUP BY report)
+            UNION ALL
+            SELECT w.report, step + 1, list_concat(queue, list_filter(coalesce(n.links, []), lambda x, i: NOT list_contains(queue, x) AND list_position(n.links, x) = i)) FROM walk w LEFT JOIN next n ON n.report = w.report AND n.url = queue[step] WHERE step <= 12 AND step <= len(queue)
+        ) SELECT report, step, queue[step] AS url FROM walk WHERE step <= 12 AND step <= len(queue)) b LEFT JOIN audited a USING (report, url)""")
+)
 def frontier_bfs(spark, sf_dir):
     """Crawl order of each report's site map from its first page, within a budget of 12 pages."""
     found = crawl.crawl(_bases(spark, sf_dir), crawl.from_site_map(crawl_view.read(spark, sf_dir)))
