@@ -16,7 +16,7 @@ every exact repeat of min_words words is matched with a document that holds all
 such a run are asked, each run goes to its first place, and the work stays linear in the words.
 
 Edge cases: null and short texts have no seeds; rows with a null doc_id have no passages and are never cut; rows that
-repeat a doc_id count as one document; a passage that repeats within one document only isn't reported; ties between
+repeat a doc_id are parts of one document, each with word places of its own text; a passage that repeats within one document only isn't reported; ties between
 sources fall to the least (doc_id, position); an empty table has no passages.
 """
 
@@ -354,10 +354,8 @@ def align(d: np.ndarray, s: np.ndarray, d0: int, d1: int, s0: int, s1: int, min_
     return max(whole, key=lambda w: (w[1] - w[0], w[4], w)) if whole else core
 
 
-def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
-    """doc_id, start_word, n_words, source_id, source_start, source_words, n_equal: each passage of at least min_words that an earlier
-    document has too, where the words in common are at least min_identity of the longer side."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """passages() of docs (doc_id bigint, text) whose ids don't repeat."""
     w = max(1, min(W, min_words - K + 1))
     every, matched = matches(docs, w)
     found = chains(matched.drop("hash"))
@@ -382,6 +380,33 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     return out if min_words < K else split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
 
 
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """row, doc_id, of_text, text: the distinct texts of each document, numbered in the order of doc_id; None if no id repeats."""
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return None
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("of_text"), "text").dropDuplicates(["doc_id", "of_text"])
+    return staged(rows.repartitionByRange("doc_id", "of_text").sortWithinPartitions("doc_id", "of_text").select(F.monotonically_increasing_id().alias("row"), "*"), "numbered")
+
+
+def found_in(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """passages(), with of_text, the hash of the text in which a passage lies; null if ids don't repeat."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = numbered(docs)
+    if rows is None:
+        return of_rows(docs, min_words, min_identity).withColumn("of_text", F.lit(None).cast("bigint"))
+    found = staged(of_rows(rows.select(F.col("row").alias("doc_id"), "text"), min_words, min_identity), "found")
+    own = rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("own_id"), "of_text")
+    source = rows.select(F.col("row").alias("source_id"), F.col("doc_id").alias("its_id"))
+    found = found.join(own, "doc_id").join(source, "source_id").where("own_id <> its_id")
+    return found.select(F.col("own_id").alias("doc_id"), "start_word", "n_words", F.col("its_id").alias("source_id"), "source_start", "source_words", "n_equal", "of_text")
+
+
+def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
+    """doc_id, start_word, n_words, source_id, source_start, source_words, n_equal: each passage of at least min_words that an earlier
+    document has too, where the words in common are at least min_identity of the longer side."""
+    return found_in(docs, min_words, min_identity).drop("of_text")
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """text without these word ranges; the white space before a removed word goes with it."""
     gone = np.zeros(max(b for _, b in spans) + 1, dtype=bool)
@@ -396,10 +421,10 @@ def clean(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> Da
 
     Columns as in docs; n_chars, where docs has it, is counted anew for the texts that are cut.
     """
-    found = passages(docs.where("doc_id is not null"), min_words, min_identity)
+    found = found_in(docs.where("doc_id is not null"), min_words, min_identity)
     names = docs.columns
-    key, cuts = fresh("cut_id", names), fresh("cut_spans", names)
-    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias(cuts))
+    key, text_key, cuts = fresh("cut_id", names), fresh("cut_text", names), fresh("cut_spans", names)
+    spans = found.groupBy(F.col("doc_id").alias(key), F.col("of_text").alias(text_key)).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias(cuts))
     spans = staged(spans, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,4 +449,5 @@ def clean(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> Da
                 columns["n_chars"] = pa.array(chars, type=columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=rows.schema).filter(pa.array(keep))
 
-    return docs.join(spans, docs["doc_id"] == spans[key], "left").drop(key).mapInArrow(run, docs.schema)
+    same_text = spans[text_key].isNull() | (spans[text_key] == F.xxhash64(docs["text"]))
+    return docs.join(spans, (docs["doc_id"] == spans[key]) & same_text, "left").drop(key, text_key).mapInArrow(run, docs.schema)
