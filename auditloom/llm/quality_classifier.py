@@ -4,13 +4,14 @@ A text's features are its words, the character n-grams of each word between < an
 repeats the one before; each is hashed to a row of an embedding table. The rows' mean goes through a linear layer and a
 softmax. Table and layer are learned together by stochastic gradient descent on a bounded sample of labelled texts:
 `per_class` texts of each label, those with the least hash of their id, weighted back to the labels' true shares. The
-bound fits the driver (two classes of 1,500 texts, some 10 KB of features each); scores are computed for every text.
+bound fits the driver: of a text with more than `max_features` distinct features, only those with the least hashes are
+learned from (two classes of 1,500 texts of 64 KB at most). Scores are computed for every text, from all its features.
 
 For scoring, table and layer fold into one number per row (both are linear), so a text's logit is a mean of numbers.
 
 Edge cases: null and empty texts have no features and score the bias; a null doc_id counts as held out and is never
 learned from; a document labelled twice has its largest label; without labels every score is 0.5; repeated rows score
-alike; extra columns are ignored.
+alike; of rows with one labelled id, the text with the least hash is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,6 +73,14 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return some, total[some]
 
 
+def bounded(rows: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of these features, those with the least hashes."""
+    if len(rows) <= most:
+        return rows, counts
+    some = np.sort(np.argpartition(mix64(rows.astype(np.uint64)), most)[:most])
+    return rows[some], counts[some]
+
+
 class Model:
     """One number for each row, and a bias: logit = mean of the numbers of a text's features + bias."""
 
@@ -134,8 +143,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
-    """Learns from at most per_class texts of each label, none of them held out."""
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_features: int = 8192) -> Model:
+    """Learns from at most per_class texts of each label, none of them held out, and max_features features of each."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     shares = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if not shares:
@@ -148,10 +157,11 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
+            found = [bounded(*text_features(t), max_features) for t in batch.column("text").to_pylist()]
             yield rows_to_batch([(d, q, r.astype(np.int32), c.astype(np.int32)) for d, q, (r, c) in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), found)], schema)
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    own = own.groupBy("doc_id").agg(F.first("quality").cast("int").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = own.mapInArrow(run, "doc_id bigint, quality int, rows array<int>, counts array<int>").toArrow().sort_by("doc_id")
     y = sample.column("quality").to_numpy()
     rows, counts = sample.column("rows"), sample.column("counts")
