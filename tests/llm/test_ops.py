@@ -551,6 +551,20 @@ def test_passages_of_odd_rows(spark):
     assert substring_dedup.clean(odd.where("false")).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    """Places are those of the row's own text, and each row is cut by its own passages."""
+    rng = random.Random(53)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    p, q, r = plain(70), plain(60), plain(80)
+    rows = [(1, plain(10) + p), (2, plain(20) + q + plain(5)), (7, plain(33) + p + plain(3)), (7, q + plain(44)), (7, q + plain(2) + r), (7, r + plain(9)), (9, plain(4) + r), (7, plain(70)), (9, plain(4) + r)]
+    rows[8] = rows[6]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = sorted((x.doc_id, x.start_word, x.n_words, x.source_id, x.n_equal) for x in substring_dedup.passages(df).collect())
+    assert got == [(7, 0, 60, 2, 60), (7, 0, 60, 2, 60), (7, 33, 70, 1, 70), (9, 4, 80, 7, 80)]
+    clean = sorted((x.doc_id, len(x.text.split())) for x in substring_dedup.clean(df).collect())
+    assert clean == sorted([(1, 80), (2, 85), (7, 36), (7, 44), (7, 82), (7, 89), (9, 4), (7, 70), (9, 4)])
+
+
 def test_chain_and_common_words_against_plain_dynamic_programming():
     rng = random.Random(4)
     for _ in range(30):
@@ -817,6 +831,17 @@ def test_classifier_of_odd_rows(spark):
     assert {r.score for r in quality_classifier.scored(frame(spark, ODD), labels.where("false")).collect()} == {0.5}
 
 
+def test_classifier_bounds_what_it_learns_from(spark):
+    texts = " ".join(f"w{i}x{i * 7919}" for i in range(30_000))
+    rows, counts = quality_classifier.text_features(texts)
+    some, of = quality_classifier.bounded(rows, counts, 8192)
+    assert len(rows) > 60_000 and len(some) == 8192 and set(some) <= set(rows) and (of == counts[np.searchsorted(rows, some)]).all()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(i, ("good words here", "bad ### junk")[1 - i % 2]) for i in range(40)] + [(1, "x")] * 500, "doc_id bigint, text string")
+    assert quality_classifier.scored(docs, labels).count() == 540
+    assert quality_classifier.scored(docs.where("false"), labels).count() == 0
+
+
 def test_folded_model_equals_embedding_mean():
     texts = ["a b c c", "abc déf abc", "", "x " * 50]
     data = [quality_classifier.text_features(t) for t in texts]
