@@ -16,8 +16,8 @@ every exact repeat of min_words words is matched with a document that holds all
 such a run are asked, each run goes to its first place, and the work stays linear in the words.
 
 Edge cases: null and short texts have no seeds; rows with a null doc_id have no passages and are never cut; rows that
-repeat a doc_id are parts of one document, each with word places of its own text; a passage that repeats within one document only isn't reported; ties between
-sources fall to the least (doc_id, position); an empty table has no passages.
+repeat a doc_id are parts of one document, each with word places of its own text; a passage that repeats within one
+document only isn't reported; of several sources of the same words the least (doc_id, position) is told; an empty table has no passages.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
 
-K, W = 8, 16
+K, W = 6, 10
 PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, K
 #: Edits that an extension bridges at most on a side, and those in a row without a gain at which it ends.
 MAX_EDITS, DROP = 24, 6
@@ -376,7 +376,9 @@ def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
                     out.append((doc_id, d0 + d_lo, d1 - d0, source_id, s0 + s_lo, s1 - s0, equal))
             yield rows_to_batch(out, _PASSAGE)
 
-    out = staged(rows.mapInArrow(run, ddl(_PASSAGE)).distinct(), "passages")
+    rest = F.struct("source_id", "source_start", "source_words", "n_equal")
+    out = rows.mapInArrow(run, ddl(_PASSAGE)).groupBy("doc_id", "start_word", "n_words").agg(F.min(rest).alias("s")).select("doc_id", "start_word", "n_words", "s.*")
+    out = staged(out, "passages")
     return out if min_words < K else split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
 
 
