@@ -10,8 +10,8 @@ pages of a host are merged by path into its tree, whose branches are judged by t
   pages show. Where it is low, pages fill the same slots: the element is layout. Where it is high, content flows.
 
 A branch's composite importance weighs both. A branch below `threshold` falls wherever it is, since the host repeats it
-or links from it. A slot of a layout falls if its mass is below `slot_share` of that of the best slot beside it; headings
-belong to what is beside them and stay. What HTML itself names as menus, footers, asides, forms and the like, by tag,
+or links from it. A slot of a layout falls if its mass is below `slot_share` of that of the best slot beside it; headings,
+paragraphs and the like belong to what is beside them and stay, as do all slots within an article that the page marks. What HTML itself names as menus, footers, asides, forms and the like, by tag,
 role, class or id, falls as well, and where a page marks its article, only what is inside is text; `by_name=False` leaves
 all to the tree. Ids of headings, and of running text in an article, are anchors and name nothing; there a class has to
 be such a name as a whole. Exact copies of a page count once in the tree, and a path seen on few pages isn't judged, so
@@ -55,7 +55,8 @@ NAMES = re.compile(
 )
 #: Elements of running text, whose ids are anchors made of their words, and elements that may stand in a head.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-RUNNING = INLINE | HEADINGS | frozenset("section p li dt dd td th blockquote pre figure figcaption".split())
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcaption".split())
+RUNNING = INLINE | TEXTUAL | {"section"}
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar|site-header|page-header)(?:$|[\s_-])", re.I)
 
@@ -266,7 +267,7 @@ def importance(seen: DataFrame, own_weight: float = 0.3) -> DataFrame:
     return both.select("host", "path", "m", content.alias("content"), "shape", (F.col("novel") / F.col("m")).alias("mass"), F.coalesce(own_weight * F.col("shape") + (1 - own_weight) * content, content).alias("composite"))
 
 
-def unimportant(seen: DataFrame, threshold: float = 0.3, slot_share: float = 0.1, layout_shape: float = 0.15, own_weight: float = 0.3, min_pages: int = 8) -> DataFrame:
+def unimportant(seen: DataFrame, threshold: float = 0.3, slot_share: float = 0.1, layout_shape: float = 0.15, own_weight: float = 0.3, min_pages: int = 8, by_name: bool = True) -> DataFrame:
     """host, paths (array): the branches of each host, seen on min_pages pages or more, whose composite importance is below the
     threshold, and the slots whose mass is below slot_share of that of the best slot of their layout."""
     tree = staged(importance(seen, own_weight), "tree").withColumn("parent", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
@@ -274,7 +275,9 @@ def unimportant(seen: DataFrame, threshold: float = 0.3, slot_share: float = 0.1
     layouts = tree.where((F.col("m") >= min_pages) & (F.col("shape") < layout_shape)).select("host", F.col("path").alias("parent"))
     best = tree.groupBy("host", "parent").agg(F.max("mass").alias("best")).join(layouts, ["host", "parent"], "left_semi")
     judged = tree.where(F.col("m") >= min_pages).join(best, ["host", "parent"], "left")
-    slot = ~tag.isin(*sorted(HEADINGS)) & (F.col("mass") < slot_share * F.col("best"))
+    slot = ~tag.isin(*sorted(TEXTUAL)) & (F.col("mass") < slot_share * F.col("best"))
+    if by_name:
+        slot = slot & ~F.col("parent").rlike(rf"/(?:{'|'.join(sorted(ARTICLE))})(?:[./]|$)")
     # A container's text is told from boilerplate within it, unless all its pages say the same.
     low = F.when(tag.isin("html", "body", *sorted(ARTICLE)), F.col("content") < threshold / 3).otherwise(F.col("composite") < threshold)
     return judged.where(low | F.coalesce(slot, F.lit(False))).groupBy("host").agg(F.collect_list("path").alias("paths"))
@@ -298,7 +301,8 @@ def is_pruned(path: str, pruned: frozenset[str], by_name: bool = True) -> bool:
 
 def main_text(page: str | None, pruned: frozenset[str], by_name: bool = True) -> str:
     blocks, _ = parse(page, by_name)
-    kept = [b for b in blocks if not b.dropped and not (pruned and is_pruned(b.path, pruned, by_name))]
+    fallen = {path for path in {b.path for b in blocks} if is_pruned(path, pruned, by_name)} if pruned else pruned
+    kept = [b for b in blocks if not b.dropped and b.path not in fallen]
     inside = [b for b in kept if b.in_article] if by_name else []
     return "\n".join(b.text for b in inside or kept)
 
@@ -309,7 +313,7 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8, by_name: bool = True) -> DataFrame:
     """page_id, url, text, n_chars (code points) of pages (page_id, url, html). by_name=False: the tree alone decides."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of().alias("host"))
-    pruned = staged(unimportant(staged(observed(rows.select("host", "html"), by_name), "seen"), threshold, min_pages=min_pages), "pruned")
+    pruned = staged(unimportant(staged(observed(rows.select("host", "html"), by_name), "seen"), threshold, min_pages=min_pages, by_name=by_name), "pruned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, frozenset())

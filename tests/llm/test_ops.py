@@ -394,6 +394,20 @@ def test_style_tree_alone_tells_menus_adverts_and_footers(spark):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_short_slots_of_an_article_stay(spark):
+    """A lead or byline of a marked article, and short paragraphs anywhere, aren't taken for adverts."""
+    rng = random.Random(12)
+    said = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    rows, want = [], {}
+    for i in range(30):
+        title, by, lead, text, slot = said(4), said(2), said(6), said(200), said(3)
+        rows.append((i, f"http://a.org/{i}", f"<body><div class=top>{slot}</div><article><h1>{title}</h1><div class=by>{by}</div><p class=lead>{lead}</p><div class=body>{text}</div></article></body>"))
+        rows.append((100 + i, f"http://b.org/{i}", f"<body><div class=top>{slot}</div><div class=post><h1>{title}</h1><p>{lead}</p><div class=body>{text}</div></div></body>"))
+        want[i], want[100 + i] = f"{title}\n{by}\n{lead}\n{text}", f"{title}\n{lead}\n{text}"
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_style_tree_alone_on_the_test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extracted(pages, by_name=False).collect()}
