@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
 
-K, W = 6, 10
+K, W = 7, 12
 PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, K
 #: Edits that an extension bridges at most on a side, and those in a row without a gain at which it ends.
 MAX_EDITS, DROP = 24, 6
