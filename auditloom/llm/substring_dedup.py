@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_batch, staged, window_hashes, word_hashes
@@ -379,7 +379,12 @@ def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     rest = F.struct("source_id", "source_start", "source_words", "n_equal")
     out = rows.mapInArrow(run, ddl(_PASSAGE)).groupBy("doc_id", "start_word", "n_words").agg(F.min(rest).alias("s")).select("doc_id", "start_word", "n_words", "s.*")
     out = staged(out, "passages")
-    return out if min_words < K else split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
+    if min_words >= K:
+        out = split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
+    # Those within another one of the same two documents say nothing more.
+    before = Window.partitionBy("doc_id", "source_id").orderBy("start_word", F.desc("n_words"), "source_start").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start_word") + F.col("n_words")
+    return out.withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(-1))).where(F.col("reach") < end).drop("reach")
 
 
 def numbered(docs: DataFrame) -> DataFrame | None:
