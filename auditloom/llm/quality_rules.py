@@ -54,7 +54,7 @@ def words_under(starts: Column) -> Column:
 
 def menu_like(line: Column, menu_words: int) -> Column:
     """Whether a line has few words and neither ends nor pauses a sentence, as the entries of menus do."""
-    return (F.regexp_count(line, F.lit(WORD)) <= menu_words) & ~line.rlike(PAUSE_AT_END)
+    return ~line.rlike(PAUSE_AT_END) & (F.regexp_count(line, F.lit(WORD)) <= menu_words)
 
 
 def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int, open_words: int, boilerplate_chars: int) -> Column:
@@ -63,7 +63,7 @@ def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_c
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > n * max_symbol_share
     dividers = F.regexp_count(line, F.lit(MENU_DIVIDERS)) * menu_entry_chars > n
     run_on = (n >= run_on_chars) & ~line.rlike(SENTENCE_MARKS)
-    unended = (F.regexp_count(line, F.lit(WORD)) >= open_words) & ~line.rlike(SENTENCE_ENDS)
+    unended = ~line.rlike(SENTENCE_ENDS) & (F.regexp_count(line, F.lit(WORD)) >= open_words)
     return symbols | dividers | run_on | unended | ((n <= boilerplate_chars) & line.rlike(BOILERPLATE))
 
 
