@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chat_format, decontaminate, html_extract, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_output
+from auditloom.llm import byte_bpe, chat_format, collocations, decontaminate, html_extract, merkle, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_output
 from auditloom.llm.common import shared_path, small_batches, staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SHARD_BYTES = 1 << 20
 
 
@@ -66,11 +67,58 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered()).drop("proof")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents"), BYTE_TOKENIZER), BYTE_TOKENIZER))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_output, op3_minhash_dedup, op4_html_extraction, op5_quality_rules, op6_substring_dedup, op7_packing, op8_decontamination, op9_chat_formatting, op10_quality_classifier)
+    for f in (op1_sharding, op2_token_output, op3_minhash_dedup, op4_html_extraction, op5_quality_rules, op6_substring_dedup, op7_packing, op8_decontamination, op9_chat_formatting, op10_quality_classifier, op11_merkle_manifest, op12_byte_bpe, op13_collocations)
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc32(x: str) -> str:
+    """Bit by bit over the bytes of a text of digits."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({x}, ''), lambda d: CAST(ord(d) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 8, tops: int = 6) -> str:
+    """A single node of a tree stays as it is on all levels above it; so all trees may have the same number of levels."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x} END"
+    head = " || ".join(f"({field(c)})" for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        f"d AS (SELECT *, {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 AS bad FROM documents)",
+        f"h AS (SELECT doc_id, source, sha256({head} || ({field('text')})) AS leaf, CASE WHEN bad THEN sha256({head} || ({field(lower)})) ELSE sha256({head} || ({field('text')})) END AS shown FROM d)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM h)",
+        "a0 AS (SELECT g, i, n, leaf AS h FROM p)",
+    ]
+    for tree, depth in (("a", levels), ("b", tops)):
+        if tree == "b":
+            parts.append(f"b0 AS (SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM a{levels})")
+        for k in range(depth):
+            parts.append(f"{tree}{k + 1} AS (SELECT g, i // 16 AS i, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {tree}{k} GROUP BY g, i // 16)")
+            side = lambda frame: f"coalesce(string_agg(h, '' ORDER BY i) OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN {frame}), '')"
+            parts.append(f"s{tree}{k} AS (SELECT g, i, n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {tree}{k})")
+    steps = [(f"sa{k}", f"x.g = p.g AND x.i = p.i // {16**k}") for k in range(levels)] + [(f"sb{k}", f"x.i = p.g // {16**k}") for k in range(tops)]
+    parts.append("w0 AS (SELECT doc_id, leaf, g, i, shown AS c, '' AS proof FROM p)")
+    for k, (t, on) in enumerate(steps):
+        parts.append(f"w{k + 1} AS (SELECT p.* REPLACE (CASE WHEN x.n = 1 THEN c ELSE sha256(l || c || r) END AS c, proof || l || r AS proof) FROM w{k} p JOIN {t} x ON {on})")
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, o.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, c AS folded_root, c = t.h AS verified FROM w{len(steps)} p JOIN a{levels} o ON o.g = p.g JOIN b{tops} t ON t.g = 0"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
@@ -140,4 +188,27 @@ ORACLE_SQL = {
         )
         SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item_shingles FROM ds JOIN bs USING (s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id HAVING 10 * count(*) >= 8 * any_value(n)""",
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_collocations": rf"""
+        WITH p AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), f AS (
+            SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS n FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 4) t(k) WHERE len(w) >= k) GROUP BY ALL
+        ), sums AS (
+            SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), cand AS (
+            SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.k, a, j, x.n AS l, y.n AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+            JOIN f x ON x.lang = c.lang AND x.k = c.j AND x.phrase = array_to_string(list_slice(c.w, 1, c.j), ' ')
+            JOIN f y ON y.lang = c.lang AND y.k = c.k - c.j AND y.phrase = array_to_string(list_slice(c.w, c.j + 1, c.k), ' ')
+        ), best AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM cuts) WHERE place = 1
+        ), longer AS (
+            SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE k = 3) GROUP BY ALL
+        ), kept AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, sums.n, score FROM kept JOIN sums USING (lang) WHERE rank <= 2000""",
 }
