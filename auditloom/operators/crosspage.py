@@ -53,22 +53,34 @@ def broken_by_source(pages: DataFrame) -> DataFrame:
     return rows.withColumn("message", broken_message(F.col("urls")))
 
 
+#: Issues of values that pages of a report share: column, type, severity, message.
+SHARED = (
+    ("page_title", "duplicate_title", "warning", "Page title is duplicated on multiple crawled pages"),
+    ("meta_description", "duplicate_meta_description", "notice", "Meta description is duplicated on multiple crawled pages"),
+)
+
+
+def shared_key(column: str) -> Column:
+    """What HTML pages are compared by; null of other pages."""
+    return F.when(F.col("page_type") == "html", F.lower(trim(F.col(column))))
+
+
 def checked(pages: DataFrame) -> DataFrame:
     """pages with the issues across pages appended in fixed order, and HTML pages that got one rescored.
 
     pages is read several times, so it should be a written table, not a plan that parses documents.
     """
+    return applied(pages, [duplicate_groups(pages, column) for column, *_ in SHARED], broken_by_source(pages))
+
+
+def applied(pages: DataFrame, shared: list[DataFrame], broken: DataFrame) -> DataFrame:
+    """pages with the issues that groups of duplicates (one for each of SHARED) and broken links (broken_by_source) raise."""
     out = pages
-    for column, kind, severity, text in (
-        ("page_title", "duplicate_title", "warning", "Page title is duplicated on multiple crawled pages"),
-        ("meta_description", "duplicate_meta_description", "notice", "Meta description is duplicated on multiple crawled pages"),
-    ):
-        groups = duplicate_groups(pages, column).select("report", "key", F.lit(True).alias("_dup"))
-        key = F.when(F.col("page_type") == "html", F.lower(trim(F.col(column))))
-        out = out.withColumn("key", key).join(groups, ["report", "key"], "left").drop("key")
+    for (column, kind, severity, text), groups in zip(SHARED, shared):
+        groups = groups.select("report", "key", F.lit(True).alias("_dup"))
+        out = out.withColumn("key", shared_key(column)).join(groups, ["report", "key"], "left").drop("key")
         out = out.withColumn("issues", F.when(F.col("_dup"), append_if_missing(F.col("issues"), kind, severity, F.lit(text))).otherwise(F.col("issues"))).withColumnRenamed("_dup", f"_{column}")
-    broken = broken_by_source(pages).select("report", "page_id", F.col("message").alias("_broken"))
-    out = out.join(broken, ["report", "page_id"], "left")
+    out = out.join(broken.select("report", "page_id", F.col("message").alias("_broken")), ["report", "page_id"], "left")
     out = out.withColumn("issues", F.when(F.col("_broken").isNotNull(), append_if_missing(F.col("issues"), "broken_internal_links", "error", F.col("_broken"))).otherwise(F.col("issues")))
     touched = F.col("_page_title").isNotNull() | F.col("_meta_description").isNotNull() | F.col("_broken").isNotNull()
     return out.withColumn("page_score", F.when(touched, page_score(F.col("issues"))).otherwise(F.col("page_score"))).select(*pages.columns)
