@@ -11,11 +11,12 @@ pages of a host are merged by path into its tree, whose branches are judged by t
 
 A branch's composite importance weighs both. A branch below `threshold` falls wherever it is, since the host repeats it
 or links from it. A slot of a layout falls if its mass is below `slot_share` of that of the best slot beside it; headings,
-paragraphs and the like belong to what is beside them and stay, as do all slots within an article that the page marks. What HTML itself names as menus, footers, asides, forms and the like, by tag,
-role, class or id, falls as well, and where a page marks its article, only what is inside is text; `by_name=False` leaves
-all to the tree. Ids of headings, and of running text in an article, are anchors and name nothing; there a class has to
-be such a name as a whole. Exact copies of a page count once in the tree, and a path seen on few pages isn't judged, so
-that mirrored articles aren't mistaken for boilerplate: on such hosts only names tell.
+paragraphs and the like belong to what is beside them and stay, as do all slots within an article that the page marks.
+That decides on hosts of `min_pages` different pages or more. A path seen on fewer pages isn't judged; so on smaller hosts
+names tell: what HTML itself calls menus, footers, asides, forms and the like, by tag, role, class or id, falls, and where
+a page marks its article, only what is inside is text. Ids of headings, and of running text in an article, are anchors and
+name nothing; there a class has to be such a name as a whole. Exact copies of a page count once in the tree, so that
+mirrored articles aren't mistaken for boilerplate.
 
 Edge cases: null html is empty and gives an empty text; a null url has the empty host; broken markup is read as
 browsers do (a new paragraph ends the open one, a head ends where something stands that can't be in it, stray ends are skipped); extra columns are ignored; repeated rows give
@@ -287,21 +288,37 @@ def tag_of(path: str) -> str:
     return path.rsplit("/", 1)[1].split(".", 1)[0]
 
 
+def container_at(up: list[str], articles: bool) -> int:
+    """Of the paths down to an element: the place of its container, the outermost marked article, else the body; -1 if there's none."""
+    top = next((i for i, p in enumerate(up) if tag_of(p) in ARTICLE), None) if articles else None
+    return max((i for i, p in enumerate(up) if tag_of(p) in ("html", "body")), default=-1) if top is None else top
+
+
 def is_pruned(path: str, pruned: frozenset[str], by_name: bool = True) -> bool:
-    """Whether a branch on the way from the container (the outermost article, else the body) down to the path is unimportant.
+    """Whether a branch on the way from the container (see container_at) down to the path is unimportant.
 
     In a container that is itself unimportant, all pages of the host say the same, and nothing tells text from boilerplate.
     """
     up = ancestors(path)
-    top = next((i for i, p in enumerate(up) if tag_of(p) in ARTICLE), None) if by_name else None
-    if top is None:
-        top = max((i for i, p in enumerate(up) if tag_of(p) in ("html", "body")), default=-1)
+    top = container_at(up, by_name)
     return (top < 0 or up[top] not in pruned) and any(p in pruned for p in up[top + 1 :])
 
 
-def main_text(page: str | None, pruned: frozenset[str], by_name: bool = True) -> str:
+def is_undecided(path: str, pruned: frozenset[str]) -> bool:
+    """Whether the path's container is unimportant, so that the tree says nothing about the path."""
+    up = ancestors(path)
+    top = container_at(up, True)
+    return top >= 0 and up[top] in pruned
+
+
+def main_text(page: str | None, pruned: frozenset[str], by_name: bool = True, articles: bool | None = None) -> str:
+    """articles: whether a marked article is the container within which branches fall; by default as by_name. With it, and without
+    names, names decide after all on a page whose container is unimportant."""
     blocks, _ = parse(page, by_name)
-    fallen = {path for path in {b.path for b in blocks} if is_pruned(path, pruned, by_name)} if pruned else pruned
+    paths = {b.path for b in blocks}
+    if articles and not by_name and any(is_undecided(p, pruned) for p in paths):
+        return main_text(page, pruned)
+    fallen = {path for path in paths if is_pruned(path, pruned, by_name if articles is None else articles)} if pruned else pruned
     kept = [b for b in blocks if not b.dropped and b.path not in fallen]
     inside = [b for b in kept if b.in_article] if by_name else []
     return "\n".join(b.text for b in inside or kept)
@@ -310,20 +327,29 @@ def main_text(page: str | None, pruned: frozenset[str], by_name: bool = True) ->
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8, by_name: bool = True) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of pages (page_id, url, html). by_name=False: the tree alone decides."""
+def extracted(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8, by_name: bool | None = None) -> DataFrame:
+    """page_id, url, text, n_chars (code points) of pages (page_id, url, html).
+
+    The tree decides on hosts of min_pages different pages or more; on smaller ones, which it can't judge, names of tags, classes
+    and roles do. On large hosts nothing falls by its name; just slots within an article that the page marks are safe, as ever.
+    by_name=False: the tree alone everywhere, marked articles ignored; by_name=True: names everywhere, beside the tree.
+    """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of().alias("host"))
-    pruned = staged(unimportant(staged(observed(rows.select("host", "html"), by_name), "seen"), threshold, min_pages=min_pages, by_name=by_name), "pruned")
+    seen = staged(observed(rows.select("host", "html"), bool(by_name)), "seen")
+    pruned = unimportant(seen, threshold, min_pages=min_pages, by_name=by_name is not False)
+    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    named = F.col("n") < min_pages if by_name is None else F.lit(by_name)
+    hosts = staged(sizes.join(pruned, "host", "left").select("host", "paths", named.alias("named")), "pruned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, frozenset())
         for batch in batches:
             out = []
-            for page_id, url, host, page, paths in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "paths"))):
+            for page_id, url, host, page, paths, by_names in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "paths", "named"))):
                 if last[0] != host:
                     last = host, frozenset(paths or ())
-                text = main_text(page, last[1], by_name)
+                text = main_text(page, last[1], by_names is not False, by_name is not False)
                 out.append((page_id, url, text, len(text)))
             yield rows_to_batch(out, _TEXT)
 
-    return rows.join(pruned, "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.join(hosts, "host", "left").select("page_id", "url", "host", "html", "paths", "named").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

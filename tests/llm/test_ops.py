@@ -414,6 +414,30 @@ def test_style_tree_alone_on_the_test_pages(spark):
     assert got == {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
 
 
+def test_the_tree_decides_in_the_query(spark):
+    """On hosts of several pages, what the query leaves out it leaves out by the tree: without it, most pages keep more."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in queries.op4_html_extraction(spark, "/root/testdata/sf0.1").collect()}
+    named = {r.page_id: r.text for r in html_extract.extracted(pages, by_name=True).collect()}
+    assert got == named
+    rows = pages.where("page_id % 10 = 0").collect()
+    assert sum(html_extract.main_text(r.html, frozenset(), False) != got[r.page_id] for r in rows) > 0.9 * len(rows)
+
+
+def test_names_count_on_small_hosts_only(spark):
+    rng = random.Random(3)
+    said = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    rows, want = [], {}
+    for i in range(20):
+        title, quote, text = said(4), said(30), said(120)
+        host = "big" if i < 16 else "small"
+        # A quotation in an element named as asides are: text where the tree finds it novel, dropped where only names tell.
+        rows.append((i, f"http://{host}.org/{i}", f"<body><nav><a href=/>Home</a> <a href=/b>News</a></nav><article><h1>{title}</h1><p>{text}</p><aside>{quote}</aside></article><footer>Imprint</footer></body>"))
+        want[i] = f"{title}\n{text}\n{quote}" if i < 16 else f"{title}\n{text}"
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_of_a_very_long_page():
     assert len(html_extract.main_text("<p>word &amp; word</p>" * 200_000 + "<p>" + "long " * 2_000_000, frozenset())) == 200_000 * 12 + 5 * 2_000_000 - 1
 
