@@ -202,8 +202,8 @@ def crc32_of(ids: bytes) -> int:
 
 
 # ---------------------------------------------------------------- groups, partition by partition
-def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], Iterable[tuple]], schema: pa.Schema, ddl: str, order: list[str] | None = None) -> DataFrame:
-    """Calls fn with the columns of each group as lists and yields its rows.
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], Iterable], schema: pa.Schema, ddl: str, order: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Calls fn with the columns of each group as lists and yields its rows; if `whole`, fn gives Arrow batches instead.
 
     Groups are dealt by key and sorted within partitions, so one pass over Arrow batches meets each group as a run;
     that saves a pandas frame for each of many tiny groups. Callers bound the size of a group beforehand.
@@ -220,7 +220,10 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], Ite
                 if a == b:
                     continue
                 if held and row_keys[a] != key:
-                    out.extend(fn(held))
+                    if whole:
+                        yield from fn(held)
+                    else:
+                        out.extend(fn(held))
                     held = {}
                 key = row_keys[a]
                 if not held:
@@ -231,7 +234,9 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], Ite
             if len(out) >= 5000:
                 yield rows_to_batch(out, schema)
                 out = []
-        if held:
+        if held and whole:
+            yield from fn(held)
+        elif held:
             out.extend(fn(held))
         yield rows_to_batch(out, schema)
 

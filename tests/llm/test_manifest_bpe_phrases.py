@@ -202,7 +202,7 @@ def test_phrases_equal_brute_force(docs):
 
 def test_phrases_do_not_depend_on_shards(docs, monkeypatch):
     want = phrases(docs)
-    monkeypatch.setattr(collocations, "shard_counts", lambda df, f=collocations.shard_counts: f(df, shard_words=5000))
+    monkeypatch.setattr(collocations, "shard_counts", lambda df, least, ranges, f=collocations.shard_counts: f(df, least, 5, shard_words=5000))
     assert phrases(docs.repartition(13)) == want
 
 
