@@ -1,8 +1,9 @@
 """Line-first quality rules, with DataFrame functions only.
 
 Rules are read line by line. Punctuation: a line falls when symbols drown its words, when it runs on without any
-sentence mark, or when it has many words and no sentence ends in it. Navigation: when dividers part it into menu entries,
-or when it stands in a run of lines of few words that neither end nor pause a sentence. Boilerplate: when it is short and
+sentence mark, or when it has many words and no sentence ends in it; marks are those of all scripts, and lines of scripts that need
+none aren't judged by marks. Navigation: when dividers part it into menu entries, or when it stands in a run of lines of
+few words that neither end nor pause a sentence, with no short line beside them that does, as verse has. Boilerplate: when it is short and
 has a phrase of page furniture, or when it repeats an earlier line. Fallen lines are removed; then a document that lost
 more than a stated share of its characters is rejected, whatever lines it keeps.
 
@@ -20,14 +21,19 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import SPACE_CLASS, words_of
 
-#: Characters that count as symbols; marks that end or divide a sentence.
+#: Characters that count as symbols; marks that end a sentence, in any script; marks that divide one; closing
+#: quotes and brackets; scripts whose sentences need no marks (Thai, Lao, Tibetan, Myanmar, Khmer).
 SYMBOLS = "[#*$%&|<>]"
-SENTENCE_MARKS = "[.!?;:,…。]"
+ENDS = ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉‽"
+PAUSES = ";:,、，；：؛،፣፤፥;"
+CLOSERS = r"\"'”’»)\]」』】）〉》"
+UNMARKED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]"
 MENU_DIVIDERS = "[|»›·•]"
-#: A word; marks that end a sentence; marks behind which a line may stop; phrases of page furniture.
+#: A word; any mark of a sentence; marks that end one; marks behind which a line may stop; phrases of page furniture.
 WORD = rf"[^{SPACE_CLASS}]+"
-SENTENCE_ENDS = "[.!?…。]"
-PAUSE_AT_END = rf"[.!?…。:;,][\"'”’»)\]]*[{SPACE_CLASS}]*$"
+SENTENCE_MARKS = f"[{ENDS}{PAUSES}]"
+SENTENCE_ENDS = f"[{ENDS}]"
+PAUSE_AT_END = rf"[{ENDS}{PAUSES}][{CLOSERS}]*[{SPACE_CLASS}]*$"
 BOILERPLATE = (
     "(?i)(all rights reserved|terms of use|terms of service|privacy policy|cookie policy|uses? cookies|accept cookies|enable javascript|javascript is disabled|click here|read more|"
     "sign in|sign up|log in|subscribe to|newsletter|share this|follow us|powered by|skip to (main )?content|back to top|add to cart)"
@@ -52,9 +58,14 @@ def words_under(starts: Column) -> Column:
     )
 
 
-def menu_like(line: Column, menu_words: int) -> Column:
-    """Whether a line has few words and neither ends nor pauses a sentence, as the entries of menus do."""
-    return ~line.rlike(PAUSE_AT_END) & (F.regexp_count(line, F.lit(WORD)) <= menu_words)
+#: Kinds of short lines.
+ENTRY, VERSE = 1, 2
+
+
+def shortness(line: Column, menu_words: int, verse_words: int) -> Column:
+    """ENTRY of few words that neither end nor pause a sentence, as the entries of menus do; VERSE of somewhat more that do."""
+    words = F.regexp_count(line, F.lit(WORD))
+    return F.when(line.rlike(PAUSE_AT_END), F.when(words <= verse_words, F.lit(VERSE)).otherwise(0)).when((words <= menu_words) & ~line.rlike(UNMARKED), F.lit(ENTRY)).otherwise(0)
 
 
 def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int, open_words: int, boilerplate_chars: int) -> Column:
@@ -64,7 +75,7 @@ def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_c
     dividers = F.regexp_count(line, F.lit(MENU_DIVIDERS)) * menu_entry_chars > n
     run_on = (n >= run_on_chars) & ~line.rlike(SENTENCE_MARKS)
     unended = ~line.rlike(SENTENCE_ENDS) & (F.regexp_count(line, F.lit(WORD)) >= open_words)
-    return symbols | dividers | run_on | unended | ((n <= boilerplate_chars) & line.rlike(BOILERPLATE))
+    return symbols | dividers | ((run_on | unended) & ~line.rlike(UNMARKED)) | ((n <= boilerplate_chars) & line.rlike(BOILERPLATE))
 
 
 #: Columns that judge() adds: counts, the lines that stand, and verdicts.
@@ -72,7 +83,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 CLEANED = "clean_text"
 VERDICTS = ["base_failed", "kept"]
 #: Bounds of the line rules.
-RULES = {"max_symbol_share": 0.1, "menu_entry_chars": 20, "run_on_chars": 240, "open_words": 10, "boilerplate_chars": 120, "menu_words": 3, "menu_lines": 3}
+RULES = {"max_symbol_share": 0.1, "menu_entry_chars": 20, "run_on_chars": 240, "open_words": 10, "boilerplate_chars": 120, "menu_words": 3, "menu_lines": 3, "verse_words": 8, "verse_lines": 3}
 
 
 def _judged(docs: DataFrame, max_lost_share: float, **rules: float) -> DataFrame:
@@ -82,20 +93,23 @@ def _judged(docs: DataFrame, max_lost_share: float, **rules: float) -> DataFrame
     for each element. Only texts with a repeated run, few of them, are sorted to find where repeats lie.
     """
     rules = {**RULES, **rules}
-    menu_words, menu_lines = rules.pop("menu_words"), int(rules.pop("menu_lines"))
+    menu_words, menu_lines, verse_words, verse_lines = (int(rules.pop(k)) for k in ("menu_words", "menu_lines", "verse_words", "verse_lines"))
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"))
     rows = rows.select("_row", words_of(F.col("_row.text")).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias("_lines"))
     rows = rows.select("*", window_hashes_of(F.col("_words")).alias("_hashes"), F.array_distinct("_lines").alias("_distinct"))
     placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    short = F.transform("_distinct", lambda x: menu_like(x, menu_words))
+    short = F.transform("_distinct", lambda x: shortness(x, menu_words, verse_words))
     rows = rows.select("*", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed).alias("_placed"), short.alias("_short"))
     same = lambda x, other: F.coalesce(x["h"] == F.get("_placed", other)["h"], F.lit(False))
     starts = F.array_sort(F.transform(F.filter("_placed", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
     def in_menu(i: Column) -> Column:
-        at = [F.coalesce(F.get("_short", i + d), F.lit(False)) for d in range(1 - menu_lines, menu_lines)]
-        return functools.reduce(operator.or_, (functools.reduce(operator.and_, at[d : d + menu_lines]) for d in range(menu_lines)))
+        kind = lambda d: F.coalesce(F.get("_short", i + d), F.lit(0))
+        at = [kind(d) == ENTRY for d in range(1 - menu_lines, menu_lines)]
+        run = functools.reduce(operator.or_, (functools.reduce(operator.and_, at[d : d + menu_lines]) for d in range(menu_lines)))
+        near = functools.reduce(operator.or_, (kind(d) == VERSE for d in range(-verse_lines, verse_lines + 1) if d))
+        return run & ~near
 
     verdicts = F.transform("_distinct", lambda x, i: F.struct(x.alias("line"), (falls(x, **rules) | in_menu(i)).alias("bad")))
     rows = rows.select("_row", "_words", "_lines", "_distinct", starts.alias("_starts"), F.transform(F.filter(verdicts, lambda v: ~v["bad"]), lambda v: v["line"]).alias("_good"))

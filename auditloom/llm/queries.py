@@ -121,6 +121,8 @@ def _merkle_sql(levels: int = 8, tops: int = 6) -> str:
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_PAUSE_AT_END = quality_rules.PAUSE_AT_END.replace("'", "''")
+
 ORACLE_SQL = {
     "op1_sharding": f"""
         WITH h AS (
@@ -150,17 +152,18 @@ ORACLE_SQL = {
             SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w) GROUP BY doc_id, x
         ), seen AS (
             SELECT doc_id, x, i, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-                   len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 3 AND NOT regexp_matches(x, '[.!?…。:;,]["''”’»)\]]*[\x20\x09-\x0D]*$') AS short FROM lines
+                   CASE WHEN regexp_matches(x, '{_PAUSE_AT_END}') THEN CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 8 THEN 2 ELSE 0 END
+                   WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 3 AND NOT regexp_matches(x, '{quality_rules.UNMARKED}') THEN 1 ELSE 0 END AS short FROM lines
         ), menu AS (
-            SELECT doc_id, x, i, n, coalesce(short AND (lag(short, 1) OVER o AND (lag(short, 2) OVER o OR lead(short, 1) OVER o) OR lead(short, 1) OVER o AND lead(short, 2) OVER o), false) AS menu
+            SELECT doc_id, x, i, n, coalesce(short = 1 AND (lag(short, 1, 0) OVER o = 1 AND (lag(short, 2, 0) OVER o = 1 OR lead(short, 1, 0) OVER o = 1) OR lead(short, 1, 0) OVER o = 1 AND lead(short, 2, 0) OVER o = 1)
+                AND 2 NOT IN (lag(short, 1, 0) OVER o, lag(short, 2, 0) OVER o, lag(short, 3, 0) OVER o, lead(short, 1, 0) OVER o, lead(short, 2, 0) OVER o, lead(short, 3, 0) OVER o), false) AS menu
             FROM seen WINDOW o AS (PARTITION BY doc_id ORDER BY i)
         ), good AS (
             SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS clean, sum(length(x)) AS good_chars FROM menu
             WHERE NOT (menu
                 OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > length(x) * 0.1
                 OR length(regexp_replace(x, '[^|»›·•]', '', 'g')) * 20 > length(x)
-                OR (length(x) >= 240 AND NOT regexp_matches(x, '[.!?;:,…。]'))
-                OR (n >= 10 AND NOT regexp_matches(x, '[.!?…。]'))
+                OR ((length(x) >= 240 AND NOT regexp_matches(x, '{quality_rules.SENTENCE_MARKS}') OR n >= 10 AND NOT regexp_matches(x, '{quality_rules.SENTENCE_ENDS}')) AND NOT regexp_matches(x, '{quality_rules.UNMARKED}'))
                 OR (length(x) <= 120 AND regexp_matches(x, '{quality_rules.BOILERPLATE}')))
             GROUP BY doc_id
         ), m AS (
