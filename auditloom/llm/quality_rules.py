@@ -24,7 +24,7 @@ from auditloom.llm.common import SPACE_CLASS, words_of
 #: Characters that count as symbols; marks that end a sentence, in any script; marks that divide one; closing
 #: quotes and brackets; scripts whose sentences need no marks (Thai, Lao, Tibetan, Myanmar, Khmer).
 SYMBOLS = "[#*$%&|<>]"
-ENDS = ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉‽"
+ENDS = ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉"
 PAUSES = ";:,、，；：؛،፣፤፥;"
 CLOSERS = r"\"'”’»)\]」』】）〉》"
 UNMARKED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]"
@@ -34,6 +34,9 @@ WORD = rf"[^{SPACE_CLASS}]+"
 SENTENCE_MARKS = f"[{ENDS}{PAUSES}]"
 SENTENCE_ENDS = f"[{ENDS}]"
 PAUSE_AT_END = rf"[{ENDS}{PAUSES}][{CLOSERS}]*[{SPACE_CLASS}]*$"
+#: The same for Latin text, which Java matches much faster, and the range in which all other marks lie.
+_LATIN = {SENTENCE_MARKS: "[.!?;:,…]", SENTENCE_ENDS: "[.!?…]", PAUSE_AT_END: rf"[.!?…:;,][\"'”’»)\]]*[{SPACE_CLASS}]*$"}
+_OTHER_SCRIPT = "[\u0370-\u1fff\u2070-\ud7ff\uf900-\uffef]"
 BOILERPLATE = (
     "(?i)(all rights reserved|terms of use|terms of service|privacy policy|cookie policy|uses? cookies|accept cookies|enable javascript|javascript is disabled|click here|read more|"
     "sign in|sign up|log in|subscribe to|newsletter|share this|follow us|powered by|skip to (main )?content|back to top|add to cart)"
@@ -62,10 +65,15 @@ def words_under(starts: Column) -> Column:
 ENTRY, VERSE = 1, 2
 
 
-def shortness(line: Column, menu_words: int, verse_words: int) -> Column:
-    """ENTRY of few words that neither end nor pause a sentence, as the entries of menus do; VERSE of somewhat more that do."""
-    words = F.regexp_count(line, F.lit(WORD))
-    return F.when(line.rlike(PAUSE_AT_END), F.when(words <= verse_words, F.lit(VERSE)).otherwise(0)).when((words <= menu_words) & ~line.rlike(UNMARKED), F.lit(ENTRY)).otherwise(0)
+def has(line: Column, pattern: str) -> Column:
+    """line.rlike(pattern) for a pattern of _LATIN; the long one is only tried on lines with a character of another script."""
+    return line.rlike(_LATIN[pattern]) | (line.rlike(_OTHER_SCRIPT) & line.rlike(pattern))
+
+
+def shortness(line: Column, menu_words: int, verse_chars: int) -> Column:
+    """ENTRY of few words that neither end nor pause a sentence, as the entries of menus do; VERSE, a short line that does."""
+    verse = F.when(F.length(line) <= verse_chars, F.lit(VERSE)).otherwise(0)
+    return F.when(has(line, PAUSE_AT_END), verse).when((F.regexp_count(line, F.lit(WORD)) <= menu_words) & ~line.rlike(UNMARKED), F.lit(ENTRY)).otherwise(0)
 
 
 def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_chars: int, open_words: int, boilerplate_chars: int) -> Column:
@@ -73,8 +81,8 @@ def falls(line: Column, max_symbol_share: float, menu_entry_chars: int, run_on_c
     n = F.length(line)
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > n * max_symbol_share
     dividers = F.regexp_count(line, F.lit(MENU_DIVIDERS)) * menu_entry_chars > n
-    run_on = (n >= run_on_chars) & ~line.rlike(SENTENCE_MARKS)
-    unended = ~line.rlike(SENTENCE_ENDS) & (F.regexp_count(line, F.lit(WORD)) >= open_words)
+    run_on = (n >= run_on_chars) & ~has(line, SENTENCE_MARKS)
+    unended = ~has(line, SENTENCE_ENDS) & (F.regexp_count(line, F.lit(WORD)) >= open_words)
     return symbols | dividers | ((run_on | unended) & ~line.rlike(UNMARKED)) | ((n <= boilerplate_chars) & line.rlike(BOILERPLATE))
 
 
@@ -83,7 +91,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 CLEANED = "clean_text"
 VERDICTS = ["base_failed", "kept"]
 #: Bounds of the line rules.
-RULES = {"max_symbol_share": 0.1, "menu_entry_chars": 20, "run_on_chars": 240, "open_words": 10, "boilerplate_chars": 120, "menu_words": 3, "menu_lines": 3, "verse_words": 8, "verse_lines": 3}
+RULES = {"max_symbol_share": 0.1, "menu_entry_chars": 20, "run_on_chars": 240, "open_words": 10, "boilerplate_chars": 120, "menu_words": 3, "menu_lines": 3, "verse_chars": 60, "verse_lines": 3}
 
 
 def _judged(docs: DataFrame, max_lost_share: float, **rules: float) -> DataFrame:
@@ -93,13 +101,13 @@ def _judged(docs: DataFrame, max_lost_share: float, **rules: float) -> DataFrame
     for each element. Only texts with a repeated run, few of them, are sorted to find where repeats lie.
     """
     rules = {**RULES, **rules}
-    menu_words, menu_lines, verse_words, verse_lines = (int(rules.pop(k)) for k in ("menu_words", "menu_lines", "verse_words", "verse_lines"))
+    menu_words, menu_lines, verse_chars, verse_lines = (int(rules.pop(k)) for k in ("menu_words", "menu_lines", "verse_chars", "verse_lines"))
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"))
     rows = rows.select("_row", words_of(F.col("_row.text")).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")).alias("_lines"))
     rows = rows.select("*", window_hashes_of(F.col("_words")).alias("_hashes"), F.array_distinct("_lines").alias("_distinct"))
     placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    short = F.transform("_distinct", lambda x: shortness(x, menu_words, verse_words))
+    short = F.transform("_distinct", lambda x: shortness(x, menu_words, verse_chars))
     rows = rows.select("*", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed).alias("_placed"), short.alias("_short"))
     same = lambda x, other: F.coalesce(x["h"] == F.get("_placed", other)["h"], F.lit(False))
     starts = F.array_sort(F.transform(F.filter("_placed", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))

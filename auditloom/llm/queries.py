@@ -152,7 +152,7 @@ ORACLE_SQL = {
             SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w) GROUP BY doc_id, x
         ), seen AS (
             SELECT doc_id, x, i, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-                   CASE WHEN regexp_matches(x, '{_PAUSE_AT_END}') THEN CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 8 THEN 2 ELSE 0 END
+                   CASE WHEN regexp_matches(x, '{_PAUSE_AT_END}') THEN CASE WHEN length(x) <= 60 THEN 2 ELSE 0 END
                    WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 3 AND NOT regexp_matches(x, '{quality_rules.UNMARKED}') THEN 1 ELSE 0 END AS short FROM lines
         ), menu AS (
             SELECT doc_id, x, i, n, coalesce(short = 1 AND (lag(short, 1, 0) OVER o = 1 AND (lag(short, 2, 0) OVER o = 1 OR lead(short, 1, 0) OVER o = 1) OR lead(short, 1, 0) OVER o = 1 AND lead(short, 2, 0) OVER o = 1)

@@ -484,10 +484,10 @@ def brute_lines(t):
     """The lines that stand, by the rules written out in Python."""
     lines = list(dict.fromkeys(x for x in (t or "").split("\n") if WORD.search(x)))
     count = lambda x: len(WORD.findall(x))
-    ends, marks, unmarked = ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉‽", ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉‽;:,、，；：؛،፣፤፥;", re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
+    ends, marks, unmarked = ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉", ".!?…。！？｡．؟۔।॥։።፧။៕᙮᠃᠉;:,、，；：؛،፣፤፥;", re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
     paused = [bool(re.search(rf"[{marks}][\"'”’»)\]」』】）〉》]*[\x20\x09-\x0D]*\Z", x)) for x in lines]
     entry = [not p and count(x) <= 3 and not unmarked.search(x) for p, x in zip(paused, lines)]
-    verse = [p and count(x) <= 8 for p, x in zip(paused, lines)]
+    verse = [p and len(x) <= 60 for p, x in zip(paused, lines)]
     out = []
     for i, x in enumerate(lines):
         menu = any(a >= 0 and a + 3 <= len(lines) and all(entry[a : a + 3]) for a in (i - 2, i - 1, i)) and not any(verse[max(0, i - 3) : i] + verse[i + 1 : i + 4])
