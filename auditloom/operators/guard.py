@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
+from auditloom.functions.addresses import intervals, ipv4, ipv6, within
 from auditloom.functions.text import present, trim
 from auditloom.functions.urls import rtrim_slash
 
 #: Private and reserved networks.
 IPV4 = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("0.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("240.0.0.0", 4)]
-IPV6 = [ipaddress.ip_network(n) for n in ("fc00::/7", "::/128", "::1/128", "::ffff:0:0/96", "fe80::/10", "2001:db8::/32", "5f00::/8", "3ff3::/16")]
+IPV6 = ["fc00::/7", "::/128", "::1/128", "::ffff:0:0/96", "fe80::/10", "2001:db8::/32", "5f00::/8", "3ff3::/16"]
 #: What the guard says.
 REQUIRED = "A website URL is required."
 INVALID = "Enter a valid absolute URL starting with http:// or https://."
@@ -23,28 +22,16 @@ NO_HOST = "The URL must include a hostname."
 PRIVATE_NAME = "Private or local network targets are not allowed."
 PRIVATE_ADDRESS = "The hostname resolves to a private or reserved IP address and cannot be crawled."
 
-_V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\z"
 _HOST = r"^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)*[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.?\z"
 
 
-def number_of(ip: Column) -> Column:
-    """An IPv4 address as a long; null if it's none."""
-    parts = [F.regexp_extract(ip, _V4, g).cast("bigint") for g in (1, 2, 3, 4)]
-    return F.when(ip.rlike(_V4), ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+number_of = ipv4
 
 
-@F.pandas_udf(BooleanType())
-def blocked_ipv6(ip: pd.Series) -> pd.Series:
-    """Whether an IPv6 address is private or reserved; null if it's none."""
-
-    def test(x: str | None):
-        try:
-            address = ipaddress.IPv6Address(x or "")
-        except ValueError:
-            return None
-        return any(address in n for n in IPV6)
-
-    return pd.Series([test(x) for x in ip], dtype=object)
+def blocked_ipv6(ip: Column) -> Column:
+    """Whether an IPv6 address is private or reserved; null if it's none. By a sorted table of intervals of two longs, in the JVM."""
+    address = F.transform(F.array(ipv6(ip)), lambda a: within(a, intervals(IPV6)))
+    return F.get(address, F.lit(0))
 
 
 def blocked_ipv4(ip: Column) -> Column:
@@ -64,7 +51,7 @@ def guarded(urls: DataFrame, dns: DataFrame | None = None, ipv6: bool = True) ->
     """urls (base_url) with ok, error (the first that applies) and url (without trailing slashes).
 
     dns (host, ips array) says what hosts resolve to; hosts that it doesn't list pass. ipv6 False leaves bracketed
-    addresses out of consideration, and the plan free of Python.
+    addresses out of consideration.
     """
     raw = trim(present(F.col("base_url")))
     rows = urls.withColumn("_raw", raw)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import present, trim
 from auditloom.operators import scoring
+from auditloom.operators.ranking import column_keys
 from auditloom.schemas import COMPLETED, FAILED, QUEUED, RUNNING, STALE_SECONDS
 
 
@@ -104,11 +105,8 @@ def filtered(pages: DataFrame, text: str = "", page_type: str = "", severity: st
 
 
 def sorted_by(pages: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """By a column as a table in the browser sorts: numbers before texts, texts without regard to case, ties by page."""
-    text = F.col(column).cast("string")
-    number = F.when(trim(text) != "", text.try_cast("double"))
-    keys = [number.isNull(), number, F.collate(text, "UNICODE_CI")]
-    return pages.orderBy(*(k.asc() if ascending else k.desc() for k in keys), "page_id")
+    """By a column as a table in the browser sorts: numbers before texts, texts without regard to case and accents, ties by page."""
+    return pages.orderBy(*column_keys(column, ascending), "page_id")
 
 
 # ---------------------------------------------------------------- state machine; `now` is always passed in

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -478,11 +479,25 @@ def redirect_chain_fold(spark, sf_dir):
 _OCTETS = "list_transform(string_split(h, '.'), lambda x: TRY_CAST(x AS BIGINT))"
 
 
-_GUARD = rf"""WITH u AS (SELECT n, trim(u) AS raw, lower(regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM (SELECT -1 - n AS n, u FROM {_values(derived.GUARDED, "u")} UNION ALL SELECT page_id, url FROM pages)),
-    f AS (SELECT *, regexp_matches(h, '^\d+\.\d+\.\d+\.\d+$') AS v4, {_OCTETS} AS o FROM u),
-    g AS (SELECT *, v4 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254)) AS private FROM f),
-    e AS (SELECT n, raw, CASE WHEN raw = '' THEN {S.q(guard.REQUIRED)} WHEN NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:[\x21-\x7E]+$') OR (s IN ('http', 'https') AND NOT regexp_matches(h, '^[a-z0-9.-]+$')) THEN {S.q(guard.INVALID)}
-        WHEN s NOT IN ('http', 'https') THEN {S.q(guard.BAD_SCHEME)} WHEN h = 'localhost' OR h LIKE '%.localhost' OR h LIKE '%.local' OR NOT contains(h, '.') OR private THEN {S.q(guard.PRIVATE_NAME)}
+def _hex_spans() -> str:
+    """Whether the hexadecimal digits `hex` of an address are within the private and reserved networks."""
+    spans = ((n.network_address, n.broadcast_address) for n in map(ipaddress.IPv6Network, guard.IPV6))
+    return " OR ".join(f"hex BETWEEN '{int(a):032x}' AND '{int(b):032x}'" for a, b in spans)
+
+
+_SIDE = "CASE WHEN coalesce({0}, '') = '' THEN [] ELSE string_split({0}, ':') END"
+_TAIL = r"^(.*:)(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+_PAIR = f"printf('%x', CAST(regexp_extract(x, '{_TAIL}', {{0}}) AS INT) * 256 + CAST(regexp_extract(x, '{_TAIL}', {{1}}) AS INT))"
+_GUARD = rf"""WITH u AS (SELECT n, trim(u) AS raw, lower(regexp_extract(trim(u), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS h FROM (SELECT -1 - n AS n, u FROM {_values(derived.GUARDED, "u")} UNION ALL SELECT page_id, url FROM pages)),
+    a AS (SELECT *, CASE WHEN starts_with(h, '[') THEN substr(h, 2, length(h) - 2) ELSE '' END AS x FROM u),
+    s6 AS (SELECT *, string_split(CASE WHEN regexp_matches(x, '{_TAIL}') THEN regexp_extract(x, '{_TAIL}', 1) || {_PAIR.format(2, 3)} || ':' || {_PAIR.format(4, 5)} ELSE x END, '::') AS sides FROM a),
+    g6 AS (SELECT *, {_SIDE.format("sides[1]")} AS head, {_SIDE.format("sides[2]")} AS tail FROM s6),
+    f6 AS (SELECT *, 8 - len(head) - len(tail) AS missing, list_concat(head, list_transform(range(0, CASE WHEN len(sides) = 2 THEN greatest(8 - len(head) - len(tail), 0) ELSE 0 END), lambda i: '0'), tail) AS filled FROM g6),
+    h6 AS (SELECT *, CASE WHEN x <> '' AND len(sides) <= 2 AND CASE WHEN len(sides) = 2 THEN missing >= 1 ELSE missing = 0 END AND len(list_filter(filled, lambda g: NOT regexp_matches(g, '^[0-9a-f]{{1,4}}$'))) = 0 THEN array_to_string(list_transform(filled, lambda g: lpad(g, 4, '0')), '') END AS hex FROM f6),
+    f AS (SELECT *, regexp_matches(h, '^\d+\.\d+\.\d+\.\d+$') AS v4, {_OCTETS} AS o FROM h6),
+    g AS (SELECT *, v4 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254)) OR coalesce({_hex_spans()}, false) AS private FROM f),
+    e AS (SELECT n, raw, CASE WHEN raw = '' THEN {S.q(guard.REQUIRED)} WHEN NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:[\x21-\x7E]+$') OR (s IN ('http', 'https') AND hex IS NULL AND NOT regexp_matches(h, '^[a-z0-9.-]+$')) THEN {S.q(guard.INVALID)}
+        WHEN s NOT IN ('http', 'https') THEN {S.q(guard.BAD_SCHEME)} WHEN h = 'localhost' OR h LIKE '%.localhost' OR h LIKE '%.local' OR (hex IS NULL AND NOT contains(h, '.')) OR private THEN {S.q(guard.PRIVATE_NAME)}
         WHEN h = 'inside.example' THEN {S.q(guard.PRIVATE_ADDRESS)} ELSE '' END AS error FROM g)"""
 
 

@@ -40,6 +40,7 @@ BASE = "https://h.com/a/b"
 GUARDED = [
     "", "   ", "not a url", "ftp://h.com/", "http://", "http://localhost/", "http://intranet/", "http://x.local/", "http://a.localhost", "http://10.0.0.1/", "http://172.20.1.1", "http://172.40.1.1", "http://192.168.1.1:8080/x",
     "http://127.0.0.1", "http://169.254.1.1", "http://8.8.8.8/", "http://250.1.1.1", "https://example.com/", "https://example.com/a/b//", "HTTPS://Example.COM", "http://exa mple.com", "http://inside.example/", "mailto:a@b.c",
+    "http://[::1]/", "http://[2001:db8::5]/x", "http://[2606:4700::1111]/", "http://[FE80::1]:8080/", "http://[::ffff:10.0.0.1]/", "http://[1::2::3]/", "https://u:p@[2a00:1450:4001:82b::200e]//", "http://[fdff:ffff::]", "http://[fe00::1]",
 ]
 DNS = [("inside.example", ["192.168.0.5"]), ("example.com", ["93.184.216.34"])]
 
