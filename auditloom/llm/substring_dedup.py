@@ -15,6 +15,11 @@ min_words words that no passage covers, though earlier documents have each of th
 every exact repeat of min_words words is matched with a document that holds all of it. Only documents with a seed of
 such a run are asked, each run goes to its first place, and the work stays linear in the words.
 
+Edited passages may be split like that, too. So where several known seeds stand together and no passage covers them, each
+is matched again, with the `BEFORE` documents that have it next before, and these matches are chained and aligned as the
+first ones. A document's neighbours among those that have a seed come from one sort by (seed, document), in ranges, so a
+seed that most documents have is no hot key.
+
 Edge cases: null and short texts have no seeds; rows with a null doc_id have no passages and are never cut; rows that
 repeat a doc_id are parts of one document, each with word places of its own text; a passage that repeats within one
 document only isn't reported; of several sources of the same words the least (doc_id, position) is told; an empty table has no passages.
@@ -35,6 +40,8 @@ from auditloom.llm.common import SPACE_CLASS, by_group, chunks, fresh, rows_to_b
 
 K, W = 7, 12
 PAD, MAX_GAP, GAP_COST, LEAST_CHAIN = 64, 64, 0.2, K
+#: Documents before a document with which an uncovered seed is matched, and how many such seeds stand within min_words words.
+BEFORE, TOGETHER = 4, 3
 #: Edits that an extension bridges at most on a side, and those in a row without a gain at which it ends.
 MAX_EDITS, DROP = 24, 6
 _SEED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -46,7 +53,7 @@ _WORDS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "source_id", *_RANGES)
 
 
 def ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -84,7 +91,7 @@ def seeds(docs: DataFrame, w: int = W) -> DataFrame:
 
 
 def matches(docs: DataFrame, w: int = W) -> tuple[DataFrame, DataFrame]:
-    """(hash, doc_id of all seeds; hash, doc_id, pos, source_id, source_pos: each seed beside the first document that has it).
+    """(hash, doc_id, pos of all seeds; hash, doc_id, pos, source_id, source_pos: each seed beside the first document that has it).
 
     A place is packed into one long where document ids and lengths leave room, which is looked up; that lets Spark
     aggregate in hash tables. Else it is a struct, and Spark sorts. Ids below 2**32 need no look at the texts: a row of
@@ -105,7 +112,7 @@ def matches(docs: DataFrame, w: int = W) -> tuple[DataFrame, DataFrame]:
     first = found.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(doc_of("first") < doc_of("last")).select("hash", "first")
     both = found.join(first, "hash").where(doc_of("at") > doc_of("first"))
     both = both.select("hash", doc_of("at").alias("doc_id"), pos_of("at").alias("pos"), doc_of("first").alias("source_id"), pos_of("first").alias("source_pos"))
-    return found.select("hash", doc_of("at").alias("doc_id")), staged(both, "matches")
+    return found.select("hash", doc_of("at").alias("doc_id"), pos_of("at").alias("pos")), staged(both, "matches")
 
 
 def runs(docs: DataFrame, min_words: int, w: int, whole: bool) -> DataFrame:
@@ -177,6 +184,64 @@ def split_passages(docs: DataFrame, every: DataFrame, matched: DataFrame, found:
     return found.unionByName(staged(by_group(pairs, ["doc_id", "source_id"], run, _PASSAGE, ddl(_PASSAGE)), "split"))
 
 
+_NEXT = pa.schema([(c, pa.int64()) for c in ("hash", "doc_id", "pos", "source_id", "source_pos")] + [("edge", pa.bool_())])
+
+
+def predecessors(places: DataFrame, most: int = BEFORE) -> DataFrame:
+    """hash, doc_id, source_id, source_pos of places (hash, doc_id, pos; one for each hash and document): the `most` documents next before each.
+
+    Ranges of the sorted places are gone through once. The first and last places of each, a few for each range, are put
+    together afterwards, as neighbours may lie on both sides of a border.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 0), dtype=np.int64)
+        seen = 0
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("hash", "doc_id", "pos")])], axis=1)
+            old, n = held.shape[1], rows.shape[1]
+            out = []
+            for j in range(1, most + 1):
+                i = np.arange(max(old, j), n)
+                i = i[rows[0, i] == rows[0, i - j]]
+                out.append(np.stack([*rows[:, i], rows[1, i - j], rows[2, i - j], np.zeros(len(i), dtype=np.int64)]))
+            heads = np.arange(old, min(n, old + max(0, most - seen)))
+            out.append(np.stack([*rows[:, heads], *np.zeros((2, len(heads)), dtype=np.int64), np.ones(len(heads), dtype=np.int64)]))
+            seen += n - old
+            yield _batch(np.concatenate(out, axis=1))
+            held = rows[:, -most:]
+        tails = held[:, max(0, held.shape[1] - max(0, seen - most)) :]  # those that weren't heads
+        yield _batch(np.stack([*tails, *np.zeros((2, tails.shape[1]), dtype=np.int64), np.ones(tails.shape[1], dtype=np.int64)]))
+
+    def _batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows[:5]), pa.array(rows[5].astype(bool))], schema=_NEXT)
+
+    ordered = places.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id")
+    found = staged(ordered.mapInArrow(run, ddl(_NEXT)), "neighbours")
+    here = Window.partitionBy("hash").orderBy("doc_id")
+    near = [F.struct(F.lag("doc_id", j).over(here).alias("source_id"), F.lag("pos", j).over(here).alias("source_pos")) for j in range(1, most + 1)]
+    edges = found.where("edge").select("hash", "doc_id", F.array(*near).alias("near")).select("hash", "doc_id", F.explode("near").alias("s")).select("hash", "doc_id", "s.*").where("source_id is not null")
+    columns = ["hash", "doc_id", "source_id", "source_pos"]
+    return found.where("not edge").select(*columns).unionByName(edges.select(*columns)).distinct()
+
+
+def rematched(every: DataFrame, matched: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
+    """doc_id, pos, source_id, source_pos of the seeds that stand together and that found, the passages by first places, leaves uncovered."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), (F.col("start_word") + F.col("n_words")).alias("b"))).alias("spans"))
+    covered = F.exists("spans", lambda x: (F.col("pos") >= x["a"]) & (F.col("pos") + K <= x["b"]))
+    open_ = matched.select("hash", "doc_id", "pos").join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False)))
+    around = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-min_words, min_words)  # a document's own seeds
+    open_ = staged(open_.withColumn("together", F.count("*").over(around)).where(F.col("together") >= TOGETHER).select("hash", "doc_id", "pos"), "open")
+    if open_.isEmpty():
+        return None
+    places = every.join(open_.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "doc_id").agg(F.min("pos").alias("pos"))
+    columns = ["doc_id", "pos", "source_id", "source_pos"]
+    again = staged(open_.join(predecessors(places), ["hash", "doc_id"]).select(*columns), "again")
+    # With the matches of the same two documents that are known already, so that a passage told in part is told whole.
+    known = matched.join(again.select("doc_id", "source_id").distinct(), ["doc_id", "source_id"], "left_semi").select(*columns)
+    return again.unionByName(known).distinct()
+
+
 class Fenwick:
     """Prefix maxima over ranks 1..n of (value, index)."""
 
@@ -354,14 +419,11 @@ def align(d: np.ndarray, s: np.ndarray, d0: int, d1: int, s0: int, s1: int, min_
     return max(whole, key=lambda w: (w[1] - w[0], w[4], w)) if whole else core
 
 
-def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
-    """passages() of docs (doc_id bigint, text) whose ids don't repeat."""
-    w = max(1, min(W, min_words - K + 1))
-    every, matched = matches(docs, w)
-    found = chains(matched.drop("hash"))
+def aligned(docs: DataFrame, pairs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """The passages of matches (doc_id, pos, source_id, source_pos): chained, extended and aligned."""
     floor = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - PAD) / PAD) * PAD).cast("bigint")
     ceil = lambda c: (F.ceil((F.col(c) + PAD) / PAD) * PAD).cast("bigint")
-    found = staged(found.select("*", floor("d0").alias("d_lo"), ceil("d1").alias("d_hi"), floor("s0").alias("s_lo"), ceil("s1").alias("s_hi")), "chains")
+    found = staged(chains(pairs).select("*", floor("d0").alias("d_lo"), ceil("d1").alias("d_hi"), floor("s0").alias("s_lo"), ceil("s1").alias("s_hi")), "chains")
     rows = staged(with_words(docs, found), "words")
     # Staged, so that nothing above the join's exchanges keeps adaptive execution from splitting a range that many documents share.
     of_source = staged(rows.where("doc_id is null").select("source_id", "s_lo", "s_hi", F.col("words").alias("s")).dropDuplicates(["source_id", "s_lo", "s_hi"]), "ranges")
@@ -377,8 +439,17 @@ def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
             yield rows_to_batch(out, _PASSAGE)
 
     rest = F.struct("source_id", "source_start", "source_words", "n_equal")
-    out = rows.mapInArrow(run, ddl(_PASSAGE)).groupBy("doc_id", "start_word", "n_words").agg(F.min(rest).alias("s")).select("doc_id", "start_word", "n_words", "s.*")
-    out = staged(out, "passages")
+    return rows.mapInArrow(run, ddl(_PASSAGE)).groupBy("doc_id", "start_word", "n_words").agg(F.min(rest).alias("s")).select("doc_id", "start_word", "n_words", "s.*")
+
+
+def of_rows(docs: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """passages() of docs (doc_id bigint, text) whose ids don't repeat."""
+    w = max(1, min(W, min_words - K + 1))
+    every, matched = matches(docs, w)
+    out = staged(aligned(docs, matched.drop("hash"), min_words, min_identity), "passages")
+    again = rematched(every, matched, out, min_words)
+    if again is not None:
+        out = out.unionByName(staged(aligned(docs, again, min_words, min_identity), "more-passages"))
     if min_words >= K:
         out = split_passages(docs.where("doc_id is not null"), every, matched, out, min_words, w)
     # Those within another one of the same two documents say nothing more.

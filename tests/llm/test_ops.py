@@ -759,6 +759,46 @@ def test_passages_with_edits_near_their_ends(spark):
     assert share["ends"] == share[0.95] == share[0.9] == 1 and share[0.85] > 0.95, share
 
 
+@pytest.mark.parametrize("parts", [0, 30, 40])
+def test_edited_passages_whose_parts_came_earlier(spark, parts):
+    """Documents before both copies hold parts of a passage, each too short to be told; the later copy, with edits, is found all the same."""
+    rng = random.Random(parts)
+    plain = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, later, at = [], [], 0
+    for share in [0.98, 0.95, 0.9] * 20:
+        p = plain(120)
+        for a in range(0, 120, parts or 120) if parts else ():
+            rows.append((at := at + 1, plain(20) + p[a : a + parts] + plain(20)))
+        q = list(p)
+        for x in rng.sample(range(120), round(120 * (1 - share))):
+            q[x] = plain(1)[0]
+        rows += [(1000 + at, plain(30) + p + plain(30)), (2000 + at, plain(30) + q + plain(30))]
+        later.append((2000 + at, 1000 + at, share))
+        at += 1
+    got = substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    found = {(r.doc_id, r.source_id) for r in got if r.n_words >= 80}  # edits may lie so close to an end that the rest is less alike
+    assert all(r.n_equal >= 0.8 * max(r.n_words, r.source_words) for r in got)
+    shares = {s: np.mean([(d, x) in found for d, x, y in later if y == s]) for s in (0.98, 0.95, 0.9)}
+    assert min(shares.values()) >= 0.95, shares
+    assert {d for d, _ in found} <= {d for d, _, _ in later}
+
+
+def test_documents_next_before_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = list({(h, d): (h, d, rng.randrange(50)) for h, d in ((rng.choice([1, 1, 1, 2, 3, rng.randrange(9, 99)]), rng.randrange(400)) for _ in range(1500))}.values())
+    by = collections.defaultdict(list)
+    for h, d, p in sorted(rows):
+        by[h].append((d, p))
+    want = {(h, d, s, p) for h, x in by.items() for i, (d, _) in enumerate(x) for s, p in x[max(0, i - 4) : i]}
+    for few in (rows, rows[:9]):
+        for n in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [tuple(r) for r in substring_dedup.predecessors(spark.createDataFrame(few, "hash bigint, doc_id bigint, pos bigint")).collect()]
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+            assert len(got) == len(set(got)) and (set(got) == want if few is rows else True)
+    assert substring_dedup.predecessors(spark.createDataFrame([], "hash bigint, doc_id bigint, pos bigint")).count() == 0
+
+
 # ------------------------------------------------------------------ 7 packing
 def check_pieces(rows, pieces):
     tokens = common.TokenBytes(queries.TOKENIZER)
