@@ -110,10 +110,14 @@ def sorted_by(pages: DataFrame, column: str, ascending: bool = True) -> DataFram
 
 
 # ---------------------------------------------------------------- state machine; `now` is always passed in
+def is_idle() -> Column:
+    """Nothing has been crawled."""
+    return (F.col("pages_crawled") <= 0) & (F.col("progress_pages") <= 0) & (trim(present(F.col("last_crawled_url"))) == "")
+
+
 def is_stale(now: Column) -> Column:
     """A run that never started, or has shown no progress for STALE_SECONDS."""
-    idle = (F.col("pages_crawled") <= 0) & (F.col("progress_pages") <= 0) & (trim(present(F.col("last_crawled_url"))) == "")
-    return (F.col("status") == RUNNING) & ((F.col("started_at") <= 0) | ((now - F.col("started_at") >= STALE_SECONDS) & idle))
+    return (F.col("status") == RUNNING) & ((F.col("started_at") <= 0) | ((now - F.col("started_at") >= STALE_SECONDS) & is_idle()))
 
 
 def can_queue() -> Column:
@@ -130,8 +134,9 @@ def queue(reports: DataFrame, chosen: Column, now: Column) -> DataFrame:
     return updated(reports, go, status=F.lit(QUEUED), queued_at=now, started_at=F.lit(0), finished_at=F.lit(0), progress_pages=F.lit(0), last_crawled_url=F.lit(""), error_message=F.lit(""))
 
 
-def reset_stale(reports: DataFrame, now: Column) -> DataFrame:
-    go = is_stale(now)
+def reset_stale(reports: DataFrame, now: Column, go: Column | None = None) -> DataFrame:
+    """Stale runs (or those where go holds) back in the queue."""
+    go = is_stale(now) if go is None else go
     zero = dict.fromkeys(("started_at", "finished_at", "progress_pages", "pages_crawled", "overall_score"), F.lit(0))
     return updated(reports, go, status=F.lit(QUEUED), queued_at=now, last_crawled_url=F.lit(""), error_message=F.lit(""), **zero)
 

@@ -1,6 +1,7 @@
-"""Queries whose rows come out of streams: keyed crawl state, committed pages, duplicates as they arrive, roll-ups kept up to date.
+"""Queries whose rows come out of streams: keyed crawl state, committed pages, duplicates as they arrive, roll-ups kept up to date,
+silent runs, reports that workers take.
 
-Each reads the whole crawl view as files that arrive over several micro-batches.
+Each reads its whole table as files that arrive over several micro-batches.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from auditloom.operators import crawl
 from auditloom.plans import catalogue as C
 from auditloom.plans import sql as S
-from auditloom.schemas import RESPONSE
-from auditloom.sources import crawl_view, page_table
-from auditloom.streaming import duplicates, frontier, rollup
+from auditloom.schemas import RESPONSE, RUNNING
+from auditloom.sources import crawl_view, derived, page_table, report_queue
+from auditloom.streaming import duplicates, frontier, rollup, stale
 
 
 def arriving(rows: DataFrame, batches: int = 4) -> DataFrame:
@@ -87,3 +88,41 @@ def rollup_issues(spark, sf_dir):
 def rollup_reports(spark, sf_dir):
     """page_type_summary, severity_totals and overall_score, kept up to date over four micro-batches."""
     return rolled_up(spark, sf_dir).reports()
+
+
+def replayed(reports: DataFrame) -> DataFrame:
+    """A stream of what is heard of reports: runs that begin, then how all stand at derived.NOW, then a sign of life a minute later."""
+    spark, path = reports.sparkSession, crawl.staging_path(reports.sparkSession, "changes")
+    fields = [f.split()[0] for f in stale.CHANGE.split(", ")]
+    begun = reports.where((F.col("status") == RUNNING) & (F.col("started_at") > 0)).withColumns({"seen_at": F.timestamp_seconds("started_at"), "pages_crawled": F.lit(0), "progress_pages": F.lit(0), "last_crawled_url": F.lit("")})
+    stand = reports.withColumn("seen_at", F.timestamp_seconds(F.lit(derived.NOW)))
+    life = spark.range(1).select(F.timestamp_seconds(F.lit(derived.NOW + 60)).alias("seen_at"), *(F.lit(None).alias(c) for c in fields if c != "seen_at"))
+    schema = spark.createDataFrame([], stale.CHANGE).schema
+    for i, rows in enumerate((begun, stand, life)):  # files are read in the order in which they were written
+        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/*")
+
+
+@C.query(C.ORACLE_SQL["stale_reset"])
+def stale_streamed(spark, sf_dir):
+    """stale_reset by timers, over replayed changes of all reports."""
+    reports, path = derived.reports(spark, sf_dir), crawl.staging_path(spark, "silent")
+    found = stale.silent(replayed(reports), late="60 seconds")
+    finished(found.writeStream.format("parquet"), spark, path)
+    return stale.requeued(reports, spark.read.schema(found.schema).parquet(path)).select("uid", "status", "queued_at", "started_at", "overall_score")
+
+
+@C.query(S.reports("SELECT row_number() OVER (ORDER BY queued_at, crdate, uid) AS place, uid, queued_at, crdate FROM reports WHERE status = 4 AND NOT deleted"))
+def queue_streamed(spark, sf_dir):
+    """All queued reports in their order, taken by two workers at the same time."""
+    path, out = crawl.staging_path(spark, "queue"), crawl.staging_path(spark, "taken")
+    report_queue.enqueue(derived.reports(spark, sf_dir), path)
+    size = max(report_queue.LEAST_CLAIM, -(-report_queue.Queue(path).size() // 8))
+    streams = [report_queue.taken(spark, path, worker, size) for worker in ("a", "b")]
+    running = [s.writeStream.format("parquet").option("checkpointLocation", crawl.staging_path(spark, "checkpoint")).start(f"{out}/{i}") for i, s in enumerate(streams)]
+    for q in running:
+        q.processAllAvailable()
+    for q in running:
+        q.stop()
+    rows = [spark.read.schema(report_queue.TICKETED).parquet(f"{out}/{i}") for i in range(len(running))]
+    return rows[0].unionByName(rows[1]).select((F.col("ticket") + 1).alias("place"), "uid", "queued_at", "crdate")
