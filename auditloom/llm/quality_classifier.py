@@ -3,9 +3,10 @@
 A text's features are its words, the character n-grams of each word between < and >, and a mark for each word that
 repeats the one before; each is hashed to a row of an embedding table. The rows' mean goes through a linear layer and a
 softmax. Table and layer are learned together by stochastic gradient descent on a bounded sample of labelled texts:
-`per_class` texts of each label, those with the least hash of their id, weighted back to the labels' true shares. The
-bound fits the driver: of a text with more than `max_features` distinct features, only those with the least hashes are
-learned from (two classes of 1,500 texts of 64 KB at most). Scores are computed for every text, from all its features.
+`per_class` texts of each label, those with the least hash of their id, weighted back to the labels' true shares. Texts
+are learned from whole: tasks count their features and write them down, and the driver reads six bytes for each distinct
+one. These are at most ROWS of a text, however long it is (1.2 GB if each of two times 1,500 texts fills the whole
+table). Scores are computed for every text, from all its features.
 
 For scoring, table and layer fold into one number per row (both are linear), so a text's logit is a mean of numbers.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import mix64, rows_to_batch
+from auditloom.llm.common import mix64, rows_to_batch, staged
 
 ROWS, DIM = 1 << 16, 8
 NGRAMS = (2, 3, 4, 5)
@@ -73,14 +74,6 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return some, total[some]
 
 
-def bounded(rows: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `most` of these features, those with the least hashes."""
-    if len(rows) <= most:
-        return rows, counts
-    some = np.sort(np.argpartition(mix64(rows.astype(np.uint64)), most)[:most])
-    return rows[some], counts[some]
-
-
 class Model:
     """One number for each row, and a bias: logit = mean of the numbers of a text's features + bias."""
 
@@ -115,17 +108,17 @@ class Model:
 
 
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> Model:
-    """Learns table and layer by stochastic gradient descent on (rows, counts), with labels 0 and 1 and sample weights."""
+    """Learns table and layer by stochastic gradient descent on (rows, counts > 0), with labels 0 and 1 and sample weights."""
     draw = np.random.default_rng(seed)
     table = draw.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
-    shares = [counts / max(1, counts.sum()) for _, counts in texts]
     steps, step = max(1, epochs * len(texts)), 0
     for _ in range(epochs):
         for i in draw.permutation(len(texts)):
             lr = rate * (1 - step / steps)
             step += 1
-            rows, share = texts[i][0], shares[i]
+            rows, counts = texts[i]
+            share = counts / max(1, counts.sum(dtype=np.int64))
             hidden = share @ table[rows]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
@@ -143,8 +136,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_features: int = 8192) -> Model:
-    """Learns from at most per_class texts of each label, none of them held out, and max_features features of each."""
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+    """Learns from at most per_class texts of each label, none of them held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     shares = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if not shares:
@@ -153,19 +146,19 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_featur
     for q in (0, 1):
         least = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = least if chosen is None else chosen.unionByName(least)
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("rows", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bounded(*text_features(t), max_features) for t in batch.column("text").to_pylist()]
-            yield rows_to_batch([(d, q, r.astype(np.int32), c.astype(np.int32)) for d, q, (r, c) in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), found)], schema)
+            found = [text_features(t) for t in batch.column("text").to_pylist()]
+            yield rows_to_batch([(d, q, r.astype("<u2").tobytes(), c.astype("<u4").tobytes()) for d, q, (r, c) in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), found)], schema)
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     own = own.groupBy("doc_id").agg(F.first("quality").cast("int").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = own.mapInArrow(run, "doc_id bigint, quality int, rows array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    y = sample.column("quality").to_numpy()
-    rows, counts = sample.column("rows"), sample.column("counts")
-    texts = [(rows[i].values.to_numpy().astype(np.int64), counts[i].values.to_numpy()) for i in range(len(y))]
+    features = staged(own.mapInArrow(run, "doc_id bigint, quality int, rows binary, counts binary"), "op10-features")
+    sample = sorted(features.toLocalIterator(), key=lambda r: r.doc_id)  # 2 * per_class rows at most
+    y = np.array([r.quality for r in sample], dtype=np.int64)
+    texts = [(np.frombuffer(r.rows, dtype="<u2"), np.frombuffer(r.counts, dtype="<u4")) for r in sample]
     weights = np.array([shares[int(q)] / max(1, (y == q).sum()) for q in y])
     return train(texts, y, weights / weights.mean() if len(y) else weights)
 

@@ -971,11 +971,38 @@ def test_classifier_of_odd_rows(spark):
     assert {r.score for r in quality_classifier.scored(frame(spark, ODD), labels.where("false")).collect()} == {0.5}
 
 
+def brute_score(model, text):
+    """A text's score from the plain definition: a feature at a time."""
+    words, total, n = (text or "").split(), 0.0, 0
+    for i, w in enumerate(words):
+        rows, _ = quality_classifier.word_features([w])
+        total, n = total + sum(float(model.numbers[r]) for r in rows), n + len(rows)
+        if i and words[i - 1] == w:
+            total, n = total + float(model.numbers[quality_classifier.REPEAT]), n + 1
+    return 1 / (1 + math.exp(-(model.bias + (total / n if n else 0.0))))
+
+
+def test_classifier_against_brute_force(spark):
+    # The whole query: texts learned from whole, however many features they have, and scored.
+    draw = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, draw.integers(97, 123, 6)))
+    texts = [(i, " ".join(["fine" if i % 2 else "junk junk", *(word() for _ in range(6_000 if i in (6, 7) else 12))])) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (100, None), (101, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    learned = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    data = [quality_classifier.text_features(t) for _, t in learned]
+    assert max(len(rows) for rows, _ in data) > 20_000
+    y = np.array([i % 2 for i, _ in learned])
+    shares = np.array([(y == q).sum() for q in y])
+    weights = shares / shares
+    model = quality_classifier.train(data, y, weights)
+    got = {r.doc_id: r.score for r in quality_classifier.scored(docs, labels).collect()}
+    assert len(got) == 62
+    for i, t in [*texts, (100, None), (101, "")]:
+        assert abs(got[i] - brute_score(model, t)) < 1e-6, i
+
+
 def test_classifier_bounds_what_it_learns_from(spark):
-    texts = " ".join(f"w{i}x{i * 7919}" for i in range(30_000))
-    rows, counts = quality_classifier.text_features(texts)
-    some, of = quality_classifier.bounded(rows, counts, 8192)
-    assert len(rows) > 60_000 and len(some) == 8192 and set(some) <= set(rows) and (of == counts[np.searchsorted(rows, some)]).all()
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
     docs = spark.createDataFrame([(i, ("good words here", "bad ### junk")[1 - i % 2]) for i in range(40)] + [(1, "x")] * 500, "doc_id bigint, text string")
     assert quality_classifier.scored(docs, labels).count() == 540
