@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -50,6 +51,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(core, F.lit("[A-Za-z'-]+")).cast("bigint")
 
 
+@cache
+def plain_characters() -> tuple[str, str]:
+    """Two texts for translate(): the characters that have a case or an accent, then what they are without; marks stand last and become nothing."""
+    pairs, marks = [], []
+    for char in map(chr, (*range(0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0))):
+        base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c)[0] != "M")
+        base = "".join(c.lower()[0] for c in unicodedata.normalize("NFC", base))
+        if not base:
+            marks.append(char)
+        elif base != char:
+            pairs.append((char, base))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+def plain(c: Column) -> Column:
+    """c in lower case and without accents, character by character; parts of Korean syllables aren't put together."""
+    return F.translate(c, *plain_characters())
+
+
 def slug(title: Column) -> Column:
     s = F.regexp_replace(F.lower(present(title)), "[^a-z0-9]+", "-")
     return F.when(s == "", F.lit("report")).otherwise(s)

@@ -6,6 +6,8 @@ before its own plus its place there. So no task sees all rows, and what is summe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,19 @@ from auditloom.functions.text import trim
 from auditloom.operators.crawl import written
 
 
-def column_keys(column: str, ascending: bool = True) -> list[Column]:
-    """Sort keys of a column as a table in the browser sorts: numbers before texts, texts without regard to case and accents."""
+def browser_text(text: Column) -> Column:
+    """As the browser compares texts: by the rules of languages, without regard to case and accents."""
+    return F.collate(text, "UNICODE_CI_AI")
+
+
+def column_keys(column: str, ascending: bool = True, text_key: Callable[[Column], Column] = browser_text) -> list[Column]:
+    """Sort keys of a column as a table in the browser sorts: numbers before texts, texts without regard to case and accents.
+
+    text_key: what texts are compared by; functions.text.plain gives the order of code points that databases have.
+    """
     text = F.col(column).cast("string")
     number = F.when(trim(text) != "", text.try_cast("double"))
-    keys = [number.isNull(), number, F.collate(text, "UNICODE_CI_AI")]
+    keys = [number.isNull(), number, text_key(text)]
     return [k.asc() if ascending else k.desc() for k in keys]
 
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.functions import text
 from auditloom.operators import crawl, crosspage, guard, networks, ranking, reports
 from auditloom.operators.audit import audited
 from auditloom.operators.linkgraph import LinkGraph
@@ -49,6 +50,20 @@ def test_text_order_knows_neither_case_nor_accents(spark):
     assert [r.page_id for r in reports.sorted_by(df, "v").collect()] == [4, 3, 1, 2, 5]
 
 
+def test_text_order_of_the_sql(spark):
+    """Blanks, signs and letters that languages order in their own ways stand as DuckDB places them."""
+    import duckdb
+
+    texts = ["Achst enbeer", "Achßß enber", "Anorti. Thed", "Anorti. | Ly.", "Anorti.", "été", "Ete", "etd", "a-b", "a b", "ab", "a_b", "æ", "az", "Σας", "σασ", "İx", "iy", "Å", "A", "e\u0301z", "ez", "_", "Z", "", "\u4e00", "\U0001f600", "～"]
+    rows = list(enumerate(texts))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (n BIGINT, v VARCHAR)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = [r[0] for r in db.execute("SELECT n FROM t ORDER BY v COLLATE NOCASE.NOACCENT, n").fetchall()]
+    got = ranking.ranked(spark.createDataFrame(rows, "n bigint, v string"), [*ranking.column_keys("v", text_key=text.plain), F.col("n").asc()], partitions=3)
+    assert [r.n for r in got.orderBy("place").collect()] == want
+
+
 def test_pages_of_rows_by_key(spark, pages, tmp_path):
     path = str(tmp_path / "ranked")
     ranking.ranked(pages.select("page_id", "page_score", "url"), [F.col("page_score").asc(), F.col("page_id").asc()], partitions=4).write.parquet(path)
