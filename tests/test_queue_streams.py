@@ -71,6 +71,15 @@ def test_timers_agree_with_the_batch_reset(spark, tmp_path):
     assert key(again) == key(R.reset_stale(reports, F.lit(NOW))) and len(found) > 40
 
 
+def test_reports_side_by_side_share_a_key(spark, tmp_path):
+    rows = [change(i, NOW, started=NOW - i % 20) for i in range(3000)] + [change(-i, NOW, status=2) for i in range(1, 3000)]
+    spark.createDataFrame(rows, stale.CHANGE.replace("seen_at timestamp", "seen_at bigint")).withColumn("seen_at", F.timestamp_seconds("seen_at")).select(*FIELDS).write.parquet(f"{tmp_path}/in")
+    found = stale.silent(spark.readStream.schema(spark.createDataFrame([], stale.CHANGE).schema).parquet(f"{tmp_path}/in"), late="5 seconds")
+    query = found.writeStream.foreachBatch(lambda df, _: df.collect()).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) < 100
+
+
 def test_timers_by_the_clock(spark, tmp_path):
     now = int(time.time())
     got = told(spark, str(tmp_path), [[change(1, now, started=now - 40), change(2, now, started=now - 40, progress=1), change(3, now, started=now + 1000)]])
