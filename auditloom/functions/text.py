@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 from html.entities import name2codepoint
 
@@ -21,6 +22,11 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIMMED))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once however often body has it; written out, each mention would be computed by itself."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """The column with nulls as empty strings."""
     return F.coalesce(c, F.lit(""))
@@ -41,8 +47,10 @@ def decode_entities(c: Column) -> Column:
         number = F.when(F.lower(r).startswith("&#x"), F.conv(digits(r), 16, 10)).when(r.startswith("&#"), digits(r)).otherwise(F.try_element_at(points, r)).cast("bigint")
         return F.when(number.isNotNull(), character(number)).otherwise(r)
 
-    pieces = F.zip_with(F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), lambda p, r: F.concat(p, F.coalesce(one(r), F.lit(""))))
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+    def pieces(x: Column) -> Column:
+        return F.zip_with(F.split(x, REFERENCE), F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0)), lambda p, r: F.concat(p, F.coalesce(one(r), F.lit(""))))
+
+    return bound(c, lambda x: F.when(x.contains("&"), F.array_join(pieces(x), "")).otherwise(x))
 
 
 def word_count(text: Column) -> Column:
