@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import present, trim
+from auditloom.functions.text import bound, present, trim
 
 #: Scheme, host and path of an absolute URL.
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)"
@@ -43,6 +43,9 @@ def rtrim_slash(url: Column) -> Column:
 SITE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?.*\z"
 WHOLE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?([^?#]*?)/*(?:[?#].*)?\z"
 
+#: URLs that normalize() leaves as they are; most are.
+NORMAL = r"^https?://[A-Za-z0-9.-]+/[^?#\s\x00]*[^/?#\s\x00]\z"
+
 
 def resolve_relative(relative: Column, base: Column) -> Column:
     known = base.rlike(SITE)
@@ -61,10 +64,14 @@ def absolute(url: Column, base: Column) -> Column:
 
 def normalize(url: Column, base: Column) -> Column:
     """scheme://host/path without query, fragment, port and trailing slash; null if that's no URL."""
+
+    def rooted(clean: Column) -> Column:
+        # What isn't a URL stays as it was and has no host; a URL without a path gets its root.
+        return F.when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+\z"), F.concat(clean, F.lit("/"))).when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+/"), clean)
+
     bare = trim(F.regexp_replace(url, "#.*$", ""))
-    clean = F.regexp_replace(absolute(bare, base), WHOLE, "$1://$2$3")
-    # What isn't a URL stays as it was and has no host; a URL without a path gets its root.
-    return F.when(bare != "", F.when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+\z"), F.concat(clean, F.lit("/"))).when(clean.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:@]+/"), clean))
+    slow = bound(bare, lambda b: F.when(b != "", bound(F.regexp_replace(absolute(b, base), WHOLE, "$1://$2$3"), rooted)))
+    return F.when(url.rlike(NORMAL), url).otherwise(slow)
 
 
 def normalize_stored(url: Column) -> Column:

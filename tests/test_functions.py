@@ -168,3 +168,12 @@ def test_stale_runs(spark):
 
 def test_json_of_the_issue_schema(spark):
     assert json.loads(schemas.ISSUES.json())["elementType"]["fields"][0]["name"] == "type"
+
+
+def test_plans_write_no_pattern_out_again_and_again(spark):
+    """normalize() and decode_entities() compute what they mention several times once."""
+    df = spark.createDataFrame([("http://h.com/a/?x#y", "a &amp; b")], "u string, t string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(U.normalize_stored(F.col("u"))).count("#.*$") == 1
+    assert plan(T.decode_entities(F.regexp_replace("t", "q+", ""))).count("q+") == 1
+    assert df.select(U.normalize_stored(F.col("u")), T.decode_entities(F.col("t"))).first() == ("http://h.com/a", "a & b")
