@@ -3,6 +3,7 @@
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from auditloom import schemas
 from auditloom.functions import html as H
 from auditloom.functions import text as T
 from auditloom.functions import urls as U
-from auditloom.operators import guard, reports, rules, scoring, sitechecks
+from auditloom.operators import extract_dom, guard, reports, rules, scoring, sitechecks
 from auditloom.operators.audit import audited
 
 BASE = "https://h.com/a/b"
@@ -177,3 +178,12 @@ def test_plans_write_no_pattern_out_again_and_again(spark):
     assert plan(U.normalize_stored(F.col("u"))).count("#.*$") == 1
     assert plan(T.decode_entities(F.regexp_replace("t", "q+", ""))).count("q+") == 1
     assert df.select(U.normalize_stored(F.col("u")), T.decode_entities(F.col("t"))).first() == ("http://h.com/a", "a & b")
+
+
+def test_parsed_facts_leave_by_few_rows():
+    """A batch of many documents is neither held as text at once nor answered as a whole."""
+    batch = pa.record_batch({"page_id": range(450), "html": [None if i == 7 else f"<title>t{i}</title><a href='/x'>" for i in range(450)]})
+    found = list(extract_dom.fact_batches(batch))
+    assert [b.num_rows for b in found] == [200, 200, 50]
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(450)) and rows[7]["page_title"] == "" and rows[449]["page_title"] == "t449" and rows[449]["hrefs"] == ["/x"]
