@@ -57,14 +57,30 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def window_best(values: np.ndarray, w: int, best: np.ufunc = np.minimum) -> np.ndarray:
+    """The least (or greatest) of each w neighbouring values, by windows of twice the width at each step."""
+    step = 1
+    while 2 * step <= w:
+        values = best(values[:-step], values[step:])
+        step *= 2
+    return best(values[: len(values) - (w - step)], values[w - step :])
+
+
 def minimizers(runs: np.ndarray, w: int = W) -> np.ndarray:
     """Ascending places of the least hash in each w neighbouring runs; of equal hashes within w places only the first."""
     if not len(runs):
         return np.zeros(0, dtype=np.int64)
     w = min(w, len(runs))
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(runs, w).argmin(axis=1) + np.arange(len(runs) - w + 1))
+    # A run is least in one of its windows if it is as great as the greatest of their least ones.
+    least = np.zeros(len(runs) + w - 1, dtype=runs.dtype)
+    least[w - 1 : len(runs)] = window_best(runs, w)
+    at = np.flatnonzero(runs == window_best(least, w, np.maximum))
+    same, apart = runs[at[1:]] == runs[at[:-1]], np.diff(at)
+    if (same & (apart < w)).any():  # a window with equal ones, of which the first counts
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(runs, w).argmin(axis=1) + np.arange(len(runs) - w + 1))
+        same, apart = runs[at[1:]] == runs[at[:-1]], np.diff(at)
     again = np.zeros(len(at), dtype=bool)
-    again[1:] = (runs[at[1:]] == runs[at[:-1]]) & (np.diff(at) <= w)
+    again[1:] = same & (apart <= w)
     return at[~again]
 
 
@@ -130,8 +146,7 @@ def runs(docs: DataFrame, min_words: int, w: int, whole: bool) -> DataFrame:
                 if n < 1:
                     continue
                 short = window_hashes(words, K)
-                least = np.lib.stride_tricks.sliding_window_view(short, w).argmin(axis=1)
-                least = short[least + np.arange(len(least))].view(np.int64)
+                least = window_best(short, w).view(np.int64)
                 hit = np.isin(least, np.array(hashes, dtype=np.int64))
                 if whole:
                     held = np.r_[0, np.cumsum(hit)]

@@ -1016,3 +1016,25 @@ def test_folded_model_equals_embedding_mean():
     for t, (rows, counts) in zip(texts, data):
         mean = model.numbers[rows] @ counts / counts.sum() if len(rows) else 0.0
         assert abs(model.score(t) - 1 / (1 + np.exp(-(mean + model.bias)))) < 1e-9
+
+
+def test_hashes_and_minimizers_by_doubled_windows():
+    """Window hashes and minimizers are those that going through the words one by one gives, equal hashes in a window included."""
+    from auditloom.llm import common
+
+    draw = np.random.default_rng(3)
+    for n in (1, 6, 7, 12, 13, 50, 300):
+        for most in (2, 4, 2**63):
+            words = draw.integers(0, most, n).astype(np.uint64)
+            for size in (1, 2, 7, 50, 64):
+                one = [0] * max(1, n - size + 1)
+                for i in range(len(one)):
+                    for x in words[i : i + size]:
+                        one[i] = (one[i] * int(common._BASE) + int(x)) % (1 << 64)
+                assert np.array_equal(common.window_hashes(words, size), common.mix64(np.array(one, dtype=np.uint64)))
+            for w in (1, 2, 5, 12, 40):
+                wide = min(w, n)
+                least = [min(words[i : i + wide]) for i in range(n - wide + 1)]
+                assert substring_dedup.window_best(words, wide).tolist() == least
+                at = sorted({i + int(np.argmin(words[i : i + wide])) for i in range(n - wide + 1)})
+                assert substring_dedup.minimizers(words, w).tolist() == [p for j, p in enumerate(at) if not (j and words[at[j - 1]] == words[p] and p - at[j - 1] <= wide)]
