@@ -47,13 +47,13 @@ MAX_EDITS, DROP = 24, 6
 _SEED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _CHAIN = pa.schema([(c, pa.int64()) for c in ("doc_id", "source_id", "d0", "d1", "s0", "s1")])
 _PASSAGE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "n_words", "source_id", "source_start", "source_words", "n_equal")])
-_RUN = pa.schema([("hash", pa.int64()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
+_RUN = pa.schema([("hash", pa.int64()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int64()))])
 _RANGES = ("d0", "d1", "s0", "s1", "d_lo", "d_hi", "s_lo", "s_hi")
 _WORDS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "source_id", *_RANGES)), ("words", pa.binary())])
 
 
 def ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<bigint>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -132,9 +132,11 @@ def matches(docs: DataFrame, w: int = W) -> tuple[DataFrame, DataFrame]:
 
 
 def runs(docs: DataFrame, min_words: int, w: int, whole: bool) -> DataFrame:
-    """hash, seed, doc_id, pos of runs of min_words words of docs (doc_id, text, hashes: array of seeds, spans: array of word ranges).
+    """hash, seed, doc_id, places of runs of min_words words of docs (doc_id, text, hashes: array of seeds, spans: array of word ranges).
 
-    whole: the runs whose seeds all are among hashes and which spans don't cover; else those whose first seed is.
+    whole: the runs whose seeds all are among hashes and which spans don't cover, with all their places, ascending; else those
+    whose first seed is, with their first place. A run is one row for each document, however often it stands there: texts
+    that repeat a few words have few runs, each at a great many places.
     """
     n_windows = min_words - K - w + 2  # of w seed places each, that lie within a run and so choose the same seeds wherever it stands
 
@@ -158,8 +160,13 @@ def runs(docs: DataFrame, min_words: int, w: int, whole: bool) -> DataFrame:
                     hit &= left[min_words:] > left[:-min_words]
                 at = np.flatnonzero(hit[:n])
                 if len(at):
-                    long = window_hashes(words, min_words).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(long[at]), pa.array(least[at]), pa.array(np.full(len(at), doc_id, dtype=np.int64)), pa.array(at.astype(np.int64))], schema=_RUN)
+                    long = window_hashes(words, min_words).view(np.int64)[at]
+                    order = np.argsort(long, kind="stable")
+                    first = np.flatnonzero(np.r_[True, np.diff(long[order]) != 0])
+                    places, ends = (at[order], np.r_[first, len(at)]) if whole else (at[order[first]], np.arange(len(first) + 1))
+                    at = at[order[first]]
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(long[order[first]]), pa.array(least[at]), pa.array(np.full(len(at), doc_id, dtype=np.int64)), lists], schema=_RUN)
 
     return docs.select("doc_id", "text", "hashes", "spans").mapInArrow(run, ddl(_RUN))
 
@@ -174,11 +181,12 @@ def split_passages(docs: DataFrame, every: DataFrame, matched: DataFrame, found:
     asked = every.join(wanted.select(F.col("seed").alias("hash")).distinct(), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     offered = runs(docs.join(asked, "doc_id").withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")), min_words, w, whole=False)
     # Combined before they are dealt, and staged, so that a run which most documents have is no hot spot.
-    first = staged(offered.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "first")
-    pairs = wanted.join(first, "hash").where("doc_id > first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
+    first = staged(offered.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("places")[0].alias("pos"))).alias("first")), "first")
+    pairs = wanted.join(first, "hash").where("doc_id > first.doc_id").select("doc_id", "places", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
 
     def run(group: dict[str, list]) -> Iterator[tuple]:
-        d, s = np.array(group["pos"], dtype=np.int64), np.array(group["source_pos"], dtype=np.int64)
+        d = np.concatenate([np.array(places, dtype=np.int64) for places in group["places"]])
+        s = np.repeat(np.array(group["source_pos"], dtype=np.int64), [len(places) for places in group["places"]])
         order = np.lexsort((d, d - s))
         d, s = d[order], s[order]
         cut = np.ones(len(d), dtype=bool)

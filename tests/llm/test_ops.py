@@ -643,6 +643,27 @@ def test_passages_whose_seeds_were_first_seen_in_several_documents(spark):
     assert {r.doc_id: len(r.text.split()) for r in substring_dedup.clean(df).collect()} == {i: len(w) - (90 if i % 4 == 3 else 0) for i, w in rows}
 
 
+def test_runs_of_periodic_texts_are_a_row_for_each_document(spark):
+    """Texts of two or three words that alternate have as few runs, however long they are, and each run keeps all its places."""
+    texts = {i: (["a", "b"] * 500)[: 300 + i] if i % 3 else [f"w{i}"] + ["x", "y", "z"] * 90 for i in range(24)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    every = substring_dedup.seeds(df).select("hash").distinct().agg(F.collect_list("hash").alias("hashes"))
+    asked = df.crossJoin(every).withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    got = substring_dedup.runs(asked, 50, substring_dedup.W, whole=True).collect()
+    assert len(got) == len({(r.doc_id, r.hash) for r in got}) <= 24 * 4
+    text_of, places = {}, collections.defaultdict(list)
+    for r in got:
+        assert {tuple(texts[r.doc_id][p : p + 50]) for p in r.places} == {text_of.setdefault(r.hash, tuple(texts[r.doc_id][r.places[0] :][:50]))}
+        places[r.doc_id] += r.places
+    assert all(sorted(places[i]) == list(range(len(x) - 49)) for i, x in texts.items())
+    firsts = substring_dedup.runs(asked, 50, substring_dedup.W, whole=False).collect()
+    assert {(r.doc_id, r.hash): r.places[0] for r in got}.items() <= {(r.doc_id, r.hash): r.places[0] for r in firsts}.items() and all(len(r.places) == 1 for r in firsts)
+    covered = collections.defaultdict(set)
+    for r in substring_dedup.passages(df).collect():
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    assert all(len(covered[i]) == (0 if i < 2 else len(x) - (i % 3 == 0)) for i, x in texts.items())
+
+
 def test_passages_of_odd_rows(spark):
     odd = frame(spark, [*ODD, (-5, "w " * 200), (2**62, "negative and huge ids " * 40), (2**62 + 1, "negative and huge ids " * 40)])
     assert all(r.doc_id is not None for r in substring_dedup.passages(odd).collect())
